@@ -24,8 +24,9 @@ def read_results_json(spark: SparkSession, path: str) -> DataFrame:
 def write_results_json(results: DataFrame, path: str) -> None:
     """The store as one JSON array in store order; it holds one entry per run."""
     entry = F.struct(STORE_ORDER, "model", "strategy", "metrics", "per_class")
-    ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda r: r.dropFields(STORE_ORDER))
-    results.agg(F.to_json(ordered).alias("value")).write.text(path)
+    by_order = F.array_sort(F.collect_list(entry), lambda a, b: (a[STORE_ORDER] - b[STORE_ORDER]).cast("int"))
+    document = F.transform(by_order, lambda r: r.dropFields(STORE_ORDER))
+    results.agg(F.to_json(document).alias("value")).write.text(path)
 
 
 def overall_rows(results: DataFrame) -> DataFrame:
