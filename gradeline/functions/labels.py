@@ -7,30 +7,31 @@ the later steps of the cascade are evaluated only for rows that reach them.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold_for_words, mentions, strip
+from .text import fold_for_words, mentions, sql_text, strip
 from .vocab import SIGNALLING, Vocabulary
 
 
 def string_list(values) -> Column:
-    items = [F.lit(v) for v in values]
-    return F.array(*items) if items else F.array().cast("array<string>")
+    """A constant list of strings."""
+    items = ", ".join(sql_text(v) for v in values)
+    return F.expr(f"array({items})" if items else "cast(array() AS array<string>)")
 
 
 def keep_labels(codes: Column, vocab: Vocabulary = SIGNALLING) -> Column:
     """Codes that are labels, canonical, each once, in order of appearance; noise and unknown codes go."""
-    cleaned = F.transform(codes, strip)
     if vocab.noise_hides_labels:
-        cleaned = F.filter(cleaned, lambda c: ~F.upper(c).isin(*vocab.noise))
-    return F.array_intersect(F.transform(cleaned, F.lower), string_list(vocab.labels))
+        codes = F.filter(codes, lambda c: ~F.upper(strip(c)).isin(*vocab.noise))
+    return F.array_intersect(F.transform(codes, lambda c: F.lower(strip(c))), string_list(vocab.labels))
 
 
 def filter_noise(codes: Column, vocab: Vocabulary = SIGNALLING) -> Column:
     """``keep_labels``, or the default label when nothing is left."""
-    kept = keep_labels(codes, vocab)
-    return F.when(F.size(kept) > 0, kept).otherwise(string_list([vocab.default]))
+    return F.coalesce(F.nullif(keep_labels(codes, vocab), string_list([])), string_list([vocab.default]))
 
 
 def primary_label(codes: Column, vocab: Vocabulary = SIGNALLING) -> Column:
@@ -82,30 +83,43 @@ def with_json_labels(
     return staged.withColumn(out, accepted).drop(raw, items, kept)
 
 
-def named_labels(lowered: Column, vocab: Vocabulary = SIGNALLING) -> Column:
-    """Labels spelled out in the lower-cased text, in the declared order of the vocabulary."""
-    usable = [label for label in vocab.labels if vocab.usable(label)]
-    if not usable:
-        return string_list([])
-    found = F.array(*[F.when(F.contains(lowered, F.lit(x)), F.lit(x)) for x in usable])
-    return F.array_intersect(found, string_list(usable))
+@lru_cache
+def _named_sql(lowered: str, vocab: Vocabulary) -> str:
+    found = [
+        f"CASE WHEN contains({lowered}, {sql_text(x)}) THEN {sql_text(x)} END" for x in vocab.labels if vocab.usable(x)
+    ]
+    return _without_nulls(found)
 
 
-def synonym_labels(text: Column, folded: Column, vocab: Vocabulary = SIGNALLING) -> Column:
-    """Labels whose phrases occur in the text, in table order, without the default label."""
-    hits, usable = [], []
+@lru_cache
+def _phrased_sql(text: str, folded: str, vocab: Vocabulary) -> str:
+    found = []
     for label, patterns in vocab.synonym_groups():
         canonical = vocab.usable(label)
-        if canonical is None or canonical == vocab.default:
-            continue
-        hit = mentions(text, folded, patterns[0])
-        for pattern in patterns[1:]:
-            hit = hit | mentions(text, folded, pattern)
-        hits.append(F.when(hit, F.lit(canonical)))
-        usable.append(canonical)
-    if not hits:
-        return string_list([])
-    return F.array_intersect(F.array(*hits), string_list(dict.fromkeys(usable)))
+        if canonical is not None and canonical != vocab.default:
+            hit = " OR ".join(mentions(text, folded, p) for p in patterns)
+            found.append(f"CASE WHEN {hit} THEN {sql_text(canonical)} END")
+    return _without_nulls(found)
+
+
+def _without_nulls(items: list[str]) -> str:
+    """SQL list of the items that are not null, each once."""
+    if not items:
+        return "cast(array() AS array<string>)"
+    return f"array_except(array({', '.join(items)}), array(cast(NULL AS string)))"
+
+
+def named_labels(lowered: str, vocab: Vocabulary = SIGNALLING) -> Column:
+    """Labels spelled out in a lower-cased text column, in the declared order of the vocabulary."""
+    return F.expr(_named_sql(lowered, vocab))
+
+
+def synonym_labels(text: str, folded: str, vocab: Vocabulary = SIGNALLING) -> Column:
+    """Labels whose phrases occur in a text column, in table order, without the default label.
+
+    ``folded`` is the column :func:`fold_for_words` makes of the lower-cased text.
+    """
+    return F.expr(_phrased_sql(text, folded, vocab))
 
 
 def extract_labels(
@@ -125,12 +139,12 @@ def extract_labels(
     staged = with_json_labels(staged, "_answer", vocab, "_json")
     undecided = F.col("_json").isNull()
     staged = staged.withColumn("_lower", F.when(undecided, F.lower(F.col("_answer"))))
-    staged = staged.withColumn("_named", F.when(undecided, named_labels(F.col("_lower"), vocab)))
+    staged = staged.withColumn("_named", F.when(undecided, named_labels("_lower", vocab)))
     by_name = (F.size("_named") > 0) & (F.col("_named") != default)
     open_text = undecided & ~by_name
     staged = staged.withColumn("_folded", F.when(open_text, fold_for_words(F.col("_lower"))))
     staged = staged.withColumn(
-        "_phrased", F.when(open_text, synonym_labels(F.col("_answer"), F.col("_folded"), vocab))
+        "_phrased", F.when(open_text, synonym_labels("_answer", "_folded", vocab))
     )
     by_phrase = F.size("_phrased") > 0
     labels = (

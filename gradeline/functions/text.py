@@ -52,20 +52,25 @@ def required_words(pattern: str) -> tuple[str, ...]:
 
 def fold_for_words(lowered: Column) -> Column:
     """Lower-cased text in which every character that matches i, k or s without case is that letter."""
+    odd = ("\u017f", "\u0131", "\u0307")
     is_ascii = F.octet_length(lowered) == F.char_length(lowered)
-    return F.when(is_ascii, lowered).otherwise(F.translate(lowered, "\u017f\u0131\u0307", "si"))
+    plain = is_ascii | ~(F.contains(lowered, F.lit(odd[0])) | F.contains(lowered, F.lit(odd[1])) | F.contains(lowered, F.lit(odd[2])))
+    return F.when(plain, lowered).otherwise(F.translate(lowered, "".join(odd), "si"))
 
 
-def mentions(text: Column, folded: Column, pattern: str) -> Column:
-    """Does ``text`` match ``pattern`` anywhere, ignoring case?
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    The cheap word tests come first: they are necessary conditions, so the regex
-    runs only on the few texts that hold all of its words.
+
+def mentions(text: str, folded: str, pattern: str) -> str:
+    """SQL condition: does the column ``text`` match ``pattern`` anywhere, ignoring case?
+
+    The cheap word tests on ``folded`` come first. They are necessary conditions, so the
+    regex runs only on the few texts that hold all of its words.
     """
-    hit = F.rlike(text, F.lit(search_pattern(pattern)))
-    for word in reversed(required_words(pattern)):
-        hit = F.contains(folded, F.lit(word)) & hit
-    return hit
+    words = [f"contains({folded}, {sql_text(word)})" for word in required_words(pattern)]
+    return "(" + " AND ".join([*words, f"rlike({text}, {sql_text(search_pattern(pattern))})"]) + ")"
 
 
 def strip_fence(text: Column) -> Column:

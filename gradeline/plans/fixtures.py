@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import string_list
-from ..functions.text import FENCE, slug
+from ..functions.text import FENCE, slug, sql_text
 from ..functions.vocab import SIGNALLING, Vocabulary
 from ..sources.workspace import spread
 
@@ -60,14 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def label_at(position: Column, labels: tuple[str, ...] = SIGNALLING.labels) -> Column:
-    return F.element_at(string_list(labels), (position % len(labels) + 1).cast("int"))
+def label_at(position: str, labels: tuple[str, ...] = SIGNALLING.labels) -> Column:
+    """The labels in turn, by a position given as a SQL expression."""
+    return F.expr(f"element_at(array({', '.join(map(sql_text, labels))}), cast(({position}) % {len(labels)} + 1 AS int))")
 
 
 def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ex_id, gold) of every document."""
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ex_id"), label_at(F.col("doc_id")).alias("gold")
+        F.col("doc_id").alias("ex_id"), label_at("doc_id").alias("gold")
     )
 
 
@@ -76,50 +77,45 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ex_id"),
         F.col("text").alias("log"),
-        F.array(label_at(F.col("doc_id"))).alias("root_cause"),
+        F.array(label_at("doc_id")).alias("root_cause"),
     )
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw answers of six runs over all documents, in twelve forms (see FIXTURES.md)."""
     ids = spread(table(spark, sf_dir, "documents").select("doc_id"))
-    run = F.struct(*[F.col(c) for c in ("run", "model", "strategy", "q", "off")])
-    literal = F.array(
-        *[
-            F.struct(F.lit(r).alias("run"), F.lit(m).alias("model"), F.lit(s).alias("strategy"),
-                     F.lit(q).alias("q"), F.lit(off).alias("off"))
-            for r, m, s, q, off in RUNS
-        ]
+    runs = ", ".join(
+        f"named_struct('run', {r}, 'model', '{m}', 'strategy', '{s}', 'q', {q}, 'off', {off})" for r, m, s, q, off in RUNS
     )
-    doc, form, lit = F.col("doc_id"), F.col("form"), F.lit
-    base = ids.select("doc_id", F.inline(literal)).filter("doc_id >= off").select(
+    literal = F.expr(f"array({runs})")
+    answers = ids.select("doc_id", F.inline(literal)).filter("doc_id >= off").select(
         "run", "model", "strategy", "doc_id",
-        label_at(doc).alias("gold"), label_at(doc + 3).alias("nxt"), label_at(doc, PHRASES).alias("prose"),
-        F.when((doc * 31 + F.col("run") * 17) % 10 < F.col("q"), 0).otherwise(F.expr("doc_id div 8") % 12).alias("form"),
+        label_at("doc_id").alias("gold"), label_at("doc_id + 3").alias("nxt"), label_at("doc_id", PHRASES).alias("prose"),
+        F.expr("CASE WHEN (doc_id * 31 + run * 17) % 10 < q THEN 0 ELSE (doc_id div 8) % 12 END").alias("form"),
     )
-    gold, nxt, prose = F.col("gold"), F.col("nxt"), F.col("prose")
-    output = (
-        F.when(form == 0, F.concat(lit('["'), gold, lit('"]')))
-        .when(form == 1, F.concat(lit('["HARQ_NACK", " '), F.upper(gold), lit(' ", "'), nxt, lit('"]')))
-        .when(form == 2, F.concat(lit("<think>maybe "), nxt, lit('\n</think>["'), gold, lit('"]')))
-        .when(form == 3, F.concat(lit("<think>truncated "), nxt))
-        .when(form == 4, F.concat(lit("The root cause is "), gold, lit(".")))
-        .when(form == 5, prose)
-        .when(form == 6, F.concat(lit('[AMF] log line\n["'), gold, lit('"]')))
-        .when(form == 7, lit(""))
-        .when(form == 8, lit('["HEARTBEAT_TIMEOUT"]'))
-        .when(form == 9, F.concat(lit("[] then "), prose))
-        .when(form == 10, F.concat(gold, lit(" or "), nxt))
-        .otherwise(F.concat(lit("AMF link fail\nauth ok; "), prose))
-    )
-    return base.select("run", "model", "strategy", doc.alias("ex_id"), output.alias("output"))
+    output = F.expr(r"""
+        CASE form
+          WHEN 0 THEN concat('["', gold, '"]')
+          WHEN 1 THEN concat('["HARQ_NACK", " ', upper(gold), ' ", "', nxt, '"]')
+          WHEN 2 THEN concat('<think>maybe ', nxt, '\n</think>["', gold, '"]')
+          WHEN 3 THEN concat('<think>truncated ', nxt)
+          WHEN 4 THEN concat('The root cause is ', gold, '.')
+          WHEN 5 THEN prose
+          WHEN 6 THEN concat('[AMF] log line\n["', gold, '"]')
+          WHEN 7 THEN ''
+          WHEN 8 THEN '["HEARTBEAT_TIMEOUT"]'
+          WHEN 9 THEN concat('[] then ', prose)
+          WHEN 10 THEN concat(gold, ' or ', nxt)
+          ELSE concat('AMF link fail\nauth ok; ', prose)
+        END""")
+    return answers.select("run", "model", "strategy", F.col("doc_id").alias("ex_id"), output.alias("output"))
 
 
 def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of which a third has stored labels, a third an empty list and a third none."""
     third = F.col("ex_id") % 3
     stored = (
-        F.when(third == 0, F.array(F.lit("TIMER_EXPIRY"), F.concat(F.lit(" "), F.upper(label_at(F.col("ex_id") + 1)))))
+        F.when(third == 0, F.array(F.lit("TIMER_EXPIRY"), F.concat(F.lit(" "), F.upper(label_at("ex_id + 1")))))
         .when(third == 1, string_list([]))
     )
     return predictions(spark, sf_dir).withColumn("root_cause", stored)
@@ -128,7 +124,7 @@ def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the answer of a generator: plain, fenced, and broken in several ways."""
     doc, lit = F.col("doc_id"), F.lit
-    label, form = label_at(F.expr("doc_id div 10")), F.col("doc_id") % 10
+    label, form = label_at("doc_id div 10"), F.col("doc_id") % 10
     text = F.col("text").alias("log")
     options = {"ignoreNullFields": "false"}
     good = F.to_json(F.struct(text, F.array(label).alias("root_cause")), options)
@@ -175,7 +171,7 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output folders of training jobs, one per order; jobs with status F failed."""
     key = F.col("o_orderkey")
-    model = label_at(F.col("o_custkey"), BASE_MODELS)
+    model = label_at("o_custkey", BASE_MODELS)
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd")
     name = slug(model)
     prefix = F.concat(
@@ -192,7 +188,7 @@ def training_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         key.alias("job_id"),
-        label_at(key, tuple(HOURLY_USD)).alias("instance"),
+        label_at("o_orderkey", tuple(HOURLY_USD)).alias("instance"),
         F.floor(F.col("o_totalprice") / 50).cast("bigint").alias("billable_seconds"),
         (F.col("o_custkey") + 1).alias("n_examples"),
     )

@@ -214,8 +214,17 @@ def k5_report_classes(spark, sf_dir):
 
 @query
 def p1_strip_fence(spark, sf_dir):
-    texts = fx.generated_texts(spark, sf_dir)
-    return texts.select("ex_id", X.strip_fence(F.col("generated")).alias("record"))
+    """Whole documents as answers: plain, fenced, with an open fence, and with text after the fence."""
+    fence, text, lit = F.lit(X.FENCE), F.col("text"), F.lit
+    form = F.col("doc_id") % 4
+    answer = (
+        F.when(form == 0, text)
+        .when(form == 1, F.concat(lit("\n "), fence, lit("json\n"), text, lit("\n"), fence, lit("\t\u00a0")))
+        .when(form == 2, F.concat(fence, text))
+        .otherwise(F.concat(fence, text, fence, lit(" and more")))
+    )
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("ex_id"), X.strip_fence(answer).alias("record"))
 
 
 @query
@@ -230,7 +239,7 @@ def p2_parse_records(spark, sf_dir):
 @query
 def p2_label_consistency(spark, sf_dir):
     """Validation with the optional rule that the label is the one asked for."""
-    texts = fx.generated_texts(spark, sf_dir).withColumn("asked", fx.label_at(F.expr("ex_id div 11")))
+    texts = fx.generated_texts(spark, sf_dir).withColumn("asked", fx.label_at("ex_id div 11"))
     parsed = validate.parse_records(texts, vocab=SIGNALLING, expected="asked")
     return parsed.groupBy("asked", "reason").agg(F.count("*").alias("n"))
 
@@ -246,9 +255,9 @@ def p4_noise_filter(spark, sf_dir):
     """Code lists with noise, blanks, case and repeats."""
     doc = F.col("doc_id")
     codes = F.array(
-        F.lit("HARQ_NACK"), F.when(doc % 3 == 0, F.concat(F.lit("\t "), F.upper(fx.label_at(doc)))),
-        F.when(doc % 5 != 0, fx.label_at(doc)).otherwise("unknown"), F.col("lang"), F.lit(" timer_expiry\n"),
-        F.when(doc % 2 == 0, F.initcap(fx.label_at(doc + 5))),
+        F.lit("HARQ_NACK"), F.when(doc % 3 == 0, F.concat(F.lit("\t "), F.upper(fx.label_at("doc_id")))),
+        F.when(doc % 5 != 0, fx.label_at("doc_id")).otherwise("unknown"), F.col("lang"), F.lit(" timer_expiry\n"),
+        F.when(doc % 2 == 0, F.initcap(fx.label_at("doc_id + 5"))),
     )
     docs = fx.table(spark, sf_dir, "documents").select(doc.alias("ex_id"), codes.alias("codes"))
     return docs.select("ex_id", joined(L.filter_noise(F.col("codes"))).alias("kept"))
@@ -293,13 +302,13 @@ def p7_json_labels(spark, sf_dir):
 @query
 def p8_named_labels(spark, sf_dir):
     answers = L.with_answer_text(fx.predictions(spark, sf_dir)).withColumn("low", F.lower("answer"))
-    return answers.select(*KEY, joined(L.named_labels(F.col("low"))).alias("codes"))
+    return answers.select(*KEY, joined(L.named_labels("low")).alias("codes"))
 
 
 @query
 def p9_phrase_labels(spark, sf_dir):
     answers = L.with_answer_text(fx.predictions(spark, sf_dir)).withColumn("folded", X.fold_for_words(F.lower("answer")))
-    return answers.select(*KEY, joined(L.synonym_labels(F.col("answer"), F.col("folded"))).alias("codes"))
+    return answers.select(*KEY, joined(L.synonym_labels("answer", "folded")).alias("codes"))
 
 
 @query
@@ -339,7 +348,7 @@ def p13_chat_pairs(spark, sf_dir):
     turns = fx.table(spark, sf_dir, "conversations").filter("role = 'user'")
     model = F.when(F.col("conv_id") % 2 == 0, "Qwen/Qwen3-14B").otherwise("acme/base")
     rows = turns.select("conv_id", "turn", model.alias("model"), F.col("text").alias("log"),
-                        F.array(fx.label_at(F.col("conv_id")), F.lit('a "quoted" label')).alias("root_cause"))
+                        F.array(fx.label_at("conv_id"), F.lit('a "quoted" label')).alias("root_cause"))
     return prompts.training_pairs(rows, F.col("model"), keep=["conv_id", "turn"])
 
 
@@ -352,7 +361,7 @@ def p14_inference_prompts(spark, sf_dir):
 def benchmark_shots(spark, sf_dir) -> DataFrame:
     """The first five benchmark items as labelled examples."""
     items = fx.table(spark, sf_dir, "benchmark").select(
-        "item_id", F.col("text").alias("log"), F.array(fx.label_at(F.col("item_id"))).alias("root_cause")
+        "item_id", F.col("text").alias("log"), F.array(fx.label_at("item_id")).alias("root_cause")
     )
     return align.first_rows(items, 5, ["item_id"])
 
@@ -704,7 +713,7 @@ def w5_balanced_schedule(spark, sf_dir):
 
 @query
 def w6_seeded_shuffle(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", fx.label_at(F.col("doc_id")).alias("label"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", fx.label_at("doc_id").alias("label"))
     return schedule.seeded_shuffle(docs, 42, "doc_id")
 
 
