@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import stage
 from .sequence import dense_ordinals
 
 
@@ -28,7 +29,8 @@ def align_by_position(
     """
     numbered_gold = dense_ordinals(gold, gold_order, name="gold_ord")
     n_gold = numbered_gold.agg(F.count("*")).scalar()
-    numbered = dense_ordinals(preds, pred_order, within=run, name="pred_ord", total="n_pred")
+    # Finding the ranges reads the rows one more time: labels are cheap to read again, extraction is not.
+    numbered = dense_ordinals(stage(preds, "labels"), pred_order, within=run, name="pred_ord", total="n_pred")
     offset = n_gold - F.col("n_pred")
     message = F.concat(F.lit("more predictions than gold rows: "), F.concat_ws("/", *run))
     placed = numbered.withColumn(

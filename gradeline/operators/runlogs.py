@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import stage
 from .sequence import previous_values, running_totals
 
 # The shapes of the log lines.
@@ -105,7 +106,8 @@ def progress_counters(parsed: DataFrame, order_by: list[str], within: list[str],
         F.col("reason").isNull().cast("bigint").alias("_written"),
         F.col("reason").isNotNull().cast("bigint").alias("_skipped"),
     )
-    totals = running_totals(flags, {"written": "_written", "skipped": "_skipped"}, order_by, within)
+    # Finding the ranges reads the rows one more time: flags are cheap to read again, records are not.
+    totals = running_totals(stage(flags, "flags"), {"written": "_written", "skipped": "_skipped"}, order_by, within)
     reported = totals.filter((F.col("ord") + 1) % every == 0)
     return reported.select(*within, (F.col("ord") + 1).alias("position"), "written", "skipped")
 
@@ -125,11 +127,12 @@ def require_artifacts(wanted: DataFrame, latest: DataFrame, by: str = "slug") ->
     return joined.withColumn("latest", F.coalesce(F.col("latest"), F.raise_error(message).cast("string")))
 
 
-def training_cost(jobs: DataFrame, hourly_usd: dict[str, float]) -> DataFrame:
-    """Cost of every job: billable seconds at the hourly price of its instance type."""
-    price = F.create_map(*[F.lit(x) for pair in hourly_usd.items() for x in pair])
-    cost = F.col("billable_seconds") * F.try_element_at(price, F.col("instance")) / 3600
-    return jobs.withColumn("cost_usd", F.round(cost, 2))
+def training_cost(jobs: DataFrame, hourly_usd: dict[str, str]) -> DataFrame:
+    """Cost of every job in whole cents: billable seconds at the hourly price of its instance type."""
+    price = F.create_map(*[x for k, v in hourly_usd.items() for x in (F.lit(k), F.lit(v).cast("decimal(12,4)"))])
+    hourly = F.try_element_at(price, F.col("instance"))
+    cost = F.col("billable_seconds").cast("decimal(18,0)") * hourly / F.lit(3600).cast("decimal(4,0)")
+    return jobs.withColumn("cost_usd", F.round(cost, 2).cast("decimal(18,2)"))
 
 
 def steps_per_epoch(n_examples: Column, batch_size: int, accumulation: int) -> Column:
@@ -138,4 +141,5 @@ def steps_per_epoch(n_examples: Column, batch_size: int, accumulation: int) -> C
 
 
 def cost_per_thousand(cost: Column, n_predictions: Column) -> Column:
-    return F.round(cost / n_predictions * 1000, 4)
+    """Cost of a thousand predictions, with four digits."""
+    return F.round(cost * 1000 / n_predictions.cast("decimal(18,0)"), 4).cast("decimal(18,4)")

@@ -189,9 +189,9 @@ CTES: dict[str, str] = {
         CAST(regexp_extract(value, 'epoch''?: ([^ },]+)', 1) AS DOUBLE) AS epoch FROM tlines WHERE value LIKE '%loss%'""",
     "jobs": f"""SELECT o_orderkey AS job_id, {at('o_orderkey', tuple(fx.HOURLY_USD))} AS instance,
         CAST(floor(o_totalprice / 50) AS BIGINT) AS billable_seconds, o_custkey + 1 AS n_examples FROM orders""",
-    "costs": "SELECT *, round(billable_seconds * CASE instance "
-    + " ".join(f"WHEN {lit(k)} THEN CAST({v} AS DOUBLE)" for k, v in fx.HOURLY_USD.items())
-    + " END / 3600, 2) AS cost_usd FROM jobs",
+    "costs": "SELECT *, (2 * billable_seconds * CASE instance "
+    + " ".join(f"WHEN {lit(k)} THEN {round(float(v) * 1000)}" for k, v in fx.HOURLY_USD.items())
+    + " END + 36000) // 72000 AS cents FROM jobs",
     "shots": f"SELECT item_id, text AS log, {at('item_id')} AS code FROM benchmark ORDER BY item_id LIMIT 5",
     "turns": "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'",
     **cascade("lng", "documents", "text", fx.LANGUAGES),
@@ -341,10 +341,11 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT split, 'done', NULL, NULL, count(*) FILTER (reason IS NULL), count(*) FILTER (reason IS NOT NULL), NULL, NULL, NULL,
           concat('data/', split, '.jsonl') FROM checked GROUP BY split""",
     "p21_training_log": "SELECT *, CAST(NULL AS DOUBLE) AS runtime_s, CAST(NULL AS DOUBLE) AS mean_loss FROM tparsed",
-    "p22_training_cost": """SELECT job_id, instance, billable_seconds, cost_usd, CAST(ceil(n_examples / 8) AS BIGINT) AS steps_per_epoch,
-        round(cost_usd / n_examples * 1000, 4) AS cost_per_1000 FROM costs""",
+    "p22_training_cost": """SELECT job_id, instance, billable_seconds, CAST(cents AS DOUBLE) / 100 AS cost_usd,
+        CAST(ceil(n_examples / 8) AS BIGINT) AS steps_per_epoch,
+        CAST((2 * cents * 100000 + n_examples) // (2 * n_examples) AS DOUBLE) / 10000 AS cost_per_1000 FROM costs""",
     "p22_cost_by_instance": """SELECT instance, count(*) AS n_jobs, CAST(sum(billable_seconds) AS BIGINT) AS billable_seconds,
-        round(sum(cost_usd), 2) AS cost_usd FROM costs GROUP BY instance""",
+        CAST(sum(cents) AS DOUBLE) / 100 AS cost_usd FROM costs GROUP BY instance""",
     "p23_generation_prompts": f"SELECT ex_id, label, {GENERATION} AS prompt FROM (SELECT doc_id AS ex_id, {at('doc_id')} AS label FROM documents)",
     "j1_align_by_id": "SELECT model, strategy, ex_id, gold, pred FROM pairs",
     "j1_align_by_position": """SELECT p.model, p.strategy, p.pred_ord, g.gold_ord, g.gold_pos, g.gold, p.pred FROM (

@@ -445,9 +445,9 @@ def p21_training_log(spark, sf_dir):
 def p22_training_cost(spark, sf_dir):
     jobs_ = runlogs.training_cost(fx.training_jobs(spark, sf_dir), fx.HOURLY_USD)
     return jobs_.select(
-        "job_id", "instance", "billable_seconds", "cost_usd",
+        "job_id", "instance", "billable_seconds", F.col("cost_usd").cast("double").alias("cost_usd"),
         runlogs.steps_per_epoch(F.col("n_examples"), 2, 4).alias("steps_per_epoch"),
-        runlogs.cost_per_thousand(F.col("cost_usd"), F.col("n_examples")).alias("cost_per_1000"),
+        runlogs.cost_per_thousand(F.col("cost_usd"), F.col("n_examples")).cast("double").alias("cost_per_1000"),
     )
 
 
@@ -456,7 +456,7 @@ def p22_cost_by_instance(spark, sf_dir):
     jobs_ = runlogs.training_cost(fx.training_jobs(spark, sf_dir), fx.HOURLY_USD)
     return jobs_.groupBy("instance").agg(
         F.count("*").alias("n_jobs"), F.sum("billable_seconds").alias("billable_seconds"),
-        F.round(F.sum("cost_usd"), 2).alias("cost_usd"),
+        F.sum("cost_usd").cast("double").alias("cost_usd"),
     )
 
 

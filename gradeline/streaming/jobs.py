@@ -48,7 +48,8 @@ def score_increments(
     """Turn arriving predictions (run, ex_id, output) into confusion counts.
 
     Extraction is stateless. Every batch writes its counts to a folder of its own
-    number, so a repeated batch replaces itself and counts stay exact.
+    number, so a repeated batch replaces itself and counts stay exact. ``cells`` and
+    ``checkpoint`` belong together: start both anew, or neither.
     """
     extracted = extract_labels(predictions, "output", vocab, "codes")
     labelled = extracted.select(*RUN, "ex_id", F.element_at("codes", 1).alias("pred")).join(gold, "ex_id")
