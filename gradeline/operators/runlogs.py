@@ -12,9 +12,9 @@ from .sequence import previous_values, running_totals
 PROGRESS_LINE = r"Progress: (\d+)/(\d+) \| written=(\d+) skipped=(\d+)"
 FAILED_LINE = r"\[WARN\] Failed after (\d+) attempts for ([^:]+): (.*)"
 DONE_LINE = r"Done: (\d+) examples written to (.*) \((\d+) skipped\)"
-TRAINING_LINE = (
-    r"Step\s+(\d+)\s*\|\s*loss[ =:]+(\S+)\s*\|\s*grad_norm[ =:]+(\S+)\s*\|\s*lr[ =:]+(\S+)\s*\|\s*epoch[ =:]+(\S+)"
-)
+TRAINING_LINE = r"Step\s+\d+\s*\|\s*loss"
+METRICS_LINE, TOTALS_LINE = "{'loss':", "{'train_runtime':"
+TRAINING_VALUE = r"([A-Za-z_]+)(?:'?\s*[:=]\s*|\s+)([-+.\w]+)"
 
 
 def _group(line: Column, pattern: str, index: int, kind: str = "string") -> Column:
@@ -60,23 +60,23 @@ def parse_training(lines: DataFrame, line: str = "value") -> DataFrame:
     text = F.col(line)
     kind = (
         F.when(text.rlike(TRAINING_LINE), "step")
-        .when(text.startswith("{'loss':"), "metrics")
-        .when(text.startswith("{'train_runtime':"), "totals")
+        .when(text.startswith(METRICS_LINE), "metrics")
+        .when(text.startswith(TOTALS_LINE), "totals")
+    )
+    typed = lines.withColumn("kind", kind).filter("kind IS NOT NULL")
+    pairs = typed.withColumns(
+        {f"_{n}": F.regexp_extract_all(text, F.lit(TRAINING_VALUE), F.lit(i)) for n, i in (("names", 1), ("values", 2))}
     )
 
-    def value(index: int | None, key: str) -> Column:
-        entry = _group(text, f"'{key}': ([^,}}]+)", 1, "double")
-        if index is None:
-            return entry
-        return F.when(F.col("kind") == "step", _group(text, TRAINING_LINE, index, "double")).otherwise(entry)
+    def value(*names: str, kind: str = "double") -> Column:
+        places = [F.nullif(F.array_position("_names", n), F.lit(0)) for n in names]
+        return F.try_element_at("_values", F.coalesce(*places).cast("int")).try_cast(kind)
 
-    typed = lines.withColumn("kind", kind).filter("kind IS NOT NULL")
-    return typed.select(
+    return pairs.select(
         *[c for c in lines.columns if c != line], "kind",
-        F.when(F.col("kind") == "step", _group(text, TRAINING_LINE, 1, "bigint")).alias("step"),
-        value(2, "loss").alias("loss"), value(3, "grad_norm").alias("grad_norm"),
-        value(4, "learning_rate").alias("lr"), value(5, "epoch").alias("epoch"),
-        value(None, "train_runtime").alias("runtime_s"), value(None, "train_loss").alias("mean_loss"),
+        value("Step", kind="bigint").alias("step"), value("loss").alias("loss"), value("grad_norm").alias("grad_norm"),
+        value("lr", "learning_rate").alias("lr"), value("epoch").alias("epoch"),
+        value("train_runtime").alias("runtime_s"), value("train_loss").alias("mean_loss"),
     )
 
 
@@ -95,7 +95,8 @@ def training_summary(steps: DataFrame, run: str = "run_id") -> DataFrame:
 
 def loss_progression(steps: DataFrame, run: str = "run_id") -> DataFrame:
     """Change of the loss from one logged step of a run to the next."""
-    chained = previous_values(steps.filter("step IS NOT NULL").select(run, "step", "loss"), {"previous_loss": "loss"}, ["step"], [run])
+    points = stage(steps.filter("step IS NOT NULL").select(run, "step", "loss"), "points")
+    chained = previous_values(points, {"previous_loss": "loss"}, ["step"], [run])
     return chained.withColumn("loss_change", F.round(F.col("loss") - F.col("previous_loss"), 6))
 
 

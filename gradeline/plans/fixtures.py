@@ -165,7 +165,8 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(key % 5 == 0, bar).when(key % 5 == 1, metrics).otherwise(step_line)
     # One job writes more than half of all lines.
     job = F.concat(lit("job-"), F.when(key % 8 < 5, 0).otherwise(key % 8).cast("string"))
-    return table(spark, sf_dir, "orders").select(job.alias("run_id"), line.alias("value"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    return orders.select(job.alias("run_id"), line.alias("value"))
 
 
 def artifact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

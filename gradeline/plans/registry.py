@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..functions.vocab import SIGNALLING
 from ..operators import align, leaderboard, metrics, predict, prompts, runlogs, schedule, sequence, validate
 from ..sources import jsonl, results_store
-from ..sources.workspace import fresh_path, spread
+from ..sources.workspace import fresh_path, spread, stage
 from ..streaming import jobs
 from . import fixtures as fx
 
@@ -178,7 +178,7 @@ def k2_write_predictions(spark, sf_dir):
 def k3_upsert_store(spark, sf_dir):
     """A store of five runs into which one run is scored again and one is added."""
     path = fresh_path(spark, "store")
-    runs = results(spark, sf_dir)
+    runs = stage(results(spark, sf_dir), "runs")
     results_store.write_store(runs.filter("store_ord < 5"), path)
     again = runs.filter("store_ord IN (1, 5)").withColumn("store_ord", F.when(F.col("store_ord") == 1, 0).otherwise(1))
     results_store.upsert_store(spark, again.withColumn("store_ord", F.col("store_ord").cast("bigint")), path)

@@ -42,10 +42,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share out the rows of an input that has far fewer splits than the session has cores.
+    """Share out the rows of an input that has fewer splits than the session has cores.
 
     Meant for work that multiplies or parses the rows of a small file. Large inputs come
-    in many splits and are returned as they are, without a shuffle.
+    in more splits than there are cores and are returned as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gradeline.operators import align, metrics, predict
@@ -37,7 +36,7 @@ def test_bad_lines(spark, tmp_path):
     path.write_text('{"log": "a", "root_cause": ["normal"]}\n\n{"log": "b", \n')
     rows = jsonl.read_examples(spark, str(path), lenient=True).collect()
     assert [r[jsonl.CORRUPT] is not None for r in rows] == [False, True]
-    with pytest.raises(PySparkException, match="FAILFAST|MALFORMED"):
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
         jsonl.read_examples(spark, str(path)).collect()
 
 
