@@ -42,17 +42,21 @@ def primary_label(codes: Column, vocab: Vocabulary = SIGNALLING) -> Column:
 def with_answer_text(df: DataFrame, text: str = "output", out: str = "answer") -> DataFrame:
     """Add the answer without reasoning blocks; the whole text again if nothing else remains."""
     whole = F.col(text)
-    closed = strip(F.regexp_replace(whole, r"(?s)<think>.*?</think>", ""))
-    first = df.withColumn(out, F.when(F.contains(whole, F.lit("<think>")), closed).otherwise(strip(whole)))
+    # A block that is never closed runs to the end of the text, so every character is read once.
+    blocks = strip(F.regexp_replace(whole, r"(?s)<think>.*?(?:</think>|\z)", ""))
+    first = df.withColumn(out, F.when(F.contains(whole, F.lit("<think>")), blocks).otherwise(strip(whole)))
     answer = F.col(out)
+    # Taking a block out can join its surroundings to a new mark.
     cut = strip(F.regexp_replace(answer, r"(?s)<think>.*", ""))
     second = first.withColumn(out, F.when(F.contains(answer, F.lit("<think>")), cut).otherwise(answer))
     return second.withColumn(out, F.when(answer == "", whole).otherwise(answer))
 
 
 def bracketed(answer: Column) -> Column:
-    """The first ``[...]`` of the answer, or null."""
-    return F.nullif(F.regexp_extract(answer, r"(?s)\[.*?\]", 0), F.lit(""))
+    """The first ``[...]`` of the answer, up to its first closing bracket, or null."""
+    start = F.instr(answer, "[")
+    end = F.call_function("locate", F.lit("]"), answer, start)
+    return F.when((start > 0) & (end > 0), F.substring(answer, start, end - start + 1))
 
 
 def string_items(json_array: Column, vocab: Vocabulary) -> Column:

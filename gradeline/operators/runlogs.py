@@ -12,7 +12,7 @@ from .sequence import previous_values, running_totals
 PROGRESS_LINE = r"Progress: (\d+)/(\d+) \| written=(\d+) skipped=(\d+)"
 FAILED_LINE = r"\[WARN\] Failed after (\d+) attempts for ([^:]+): (.*)"
 DONE_LINE = r"Done: (\d+) examples written to (.*) \((\d+) skipped\)"
-TRAINING_LINE = r"Step\s+\d+\s*\|\s*loss"
+TRAINING_LINE = r"Step\s+\d+\s*\|\s*loss|^\{'(loss|train_runtime)':"
 METRICS_LINE, TOTALS_LINE = "{'loss':", "{'train_runtime':"
 TRAINING_VALUE = r"([A-Za-z_]+)(?:'?\s*[:=]\s*|\s+)([-+.\w]+)"
 
@@ -25,11 +25,12 @@ def parse_progress(lines: DataFrame, line: str = "value") -> DataFrame:
     """Type the lines of a generation log; lines of other shapes are dropped."""
     text = F.col(line)
     kind = (
-        F.when(text.rlike(PROGRESS_LINE), "progress")
-        .when(text.rlike(FAILED_LINE), "failed")
-        .when(text.rlike(DONE_LINE), "done")
+        F.when(F.contains(text, F.lit("[WARN] Failed after ")), "failed")
+        .when(F.contains(text, F.lit("Progress: ")), "progress")
+        .otherwise("done")
     )
-    typed = lines.withColumn("kind", kind).filter("kind IS NOT NULL")
+    shapes = "|".join((PROGRESS_LINE, FAILED_LINE, DONE_LINE))
+    typed = lines.filter(text.rlike(shapes)).withColumn("kind", kind)
 
     def number(progress: int | None, done: int | None) -> Column:
         column = F.lit(None).cast("bigint")
@@ -58,12 +59,8 @@ def parse_training(lines: DataFrame, line: str = "value") -> DataFrame:
     literals: ``metrics`` without a step, and one ``totals`` line at the end.
     """
     text = F.col(line)
-    kind = (
-        F.when(text.rlike(TRAINING_LINE), "step")
-        .when(text.startswith(METRICS_LINE), "metrics")
-        .when(text.startswith(TOTALS_LINE), "totals")
-    )
-    typed = lines.withColumn("kind", kind).filter("kind IS NOT NULL")
+    kind = F.when(text.startswith(METRICS_LINE), "metrics").when(text.startswith(TOTALS_LINE), "totals").otherwise("step")
+    typed = lines.filter(text.rlike(TRAINING_LINE)).withColumn("kind", kind)
     pairs = typed.withColumns(
         {f"_{n}": F.regexp_extract_all(text, F.lit(TRAINING_VALUE), F.lit(i)) for n, i in (("names", 1), ("values", 2))}
     )
@@ -82,7 +79,7 @@ def parse_training(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def training_summary(steps: DataFrame, run: str = "run_id") -> DataFrame:
     """First, last, lowest and mean loss of every run."""
-    return steps.filter("step IS NOT NULL").groupBy(run).agg(
+    return steps.filter("kind = 'step'").groupBy(run).agg(
         F.count("*").alias("n_points"),
         F.min_by("loss", "step").alias("first_loss"),
         F.max_by("loss", "step").alias("last_loss"),
@@ -95,7 +92,7 @@ def training_summary(steps: DataFrame, run: str = "run_id") -> DataFrame:
 
 def loss_progression(steps: DataFrame, run: str = "run_id") -> DataFrame:
     """Change of the loss from one logged step of a run to the next."""
-    points = stage(steps.filter("step IS NOT NULL").select(run, "step", "loss"), "points")
+    points = stage(steps.filter("kind = 'step'").select(run, "step", "loss"), "points")
     chained = previous_values(points, {"previous_loss": "loss"}, ["step"], [run])
     return chained.withColumn("loss_change", F.round(F.col("loss") - F.col("previous_loss"), 6))
 

@@ -43,7 +43,7 @@ def dense_ordinals(
     within = list(within)
     rows = _in_ranges(df, within, list(order_by))
     keys = [*within, CHUNK]
-    sizes = stage(rows.groupBy(*keys).agg(F.min(SLOT).alias("_first"), F.count("*").alias("_n")), "chunks")
+    sizes = rows.groupBy(*keys).agg(F.min(SLOT).alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*within).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     chunks = sizes.select(
         *keys, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
@@ -64,7 +64,7 @@ def running_totals(
     rows = _in_ranges(df, within, list(order_by))
     keys = [*within, CHUNK]
     counted = {name: F.lit(1), **{new: F.col(column) for new, column in sums.items()}}
-    sizes = stage(rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in counted.items()]), "chunks")
+    sizes = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in counted.items()])
     earlier = Window.partitionBy(*within).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = stage(
         sizes.select(*keys, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_sum_{n}") for n in counted]),
@@ -87,7 +87,7 @@ def previous_values(
     rows = _in_ranges(df, within, list(order_by))
     keys = [*within, CHUNK]
     values = F.struct(*[F.col(c).alias(n) for n, c in previous.items()])
-    lasts = stage(rows.groupBy(*keys).agg(F.max_by(values, SLOT).alias("_last")), "chunks")
+    lasts = rows.groupBy(*keys).agg(F.max_by(values, SLOT).alias("_last"))
     carried = stage(
         lasts.select(*keys, F.lag("_last").over(Window.partitionBy(*within).orderBy(CHUNK)).alias("_carried")),
         "offsets",

@@ -151,9 +151,13 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of four training logs, one per order: metric lines, progress bars and dictionary lines."""
     key, price, lit = F.col("o_orderkey"), F.col("o_totalprice"), F.lit
     cents = F.round(price * 100).cast("bigint")
-    loss = F.format_string("%.4f", (cents % 50000) / 10000)
-    norm = F.format_string("%.4f", (F.col("o_custkey") % 500) / 100)
-    epoch = F.format_string("%.2f", (key % 400) / 100)
+
+    def decimal(units: Column, digits: int) -> Column:
+        size = 10**digits
+        whole, rest = F.floor(units / size).cast("string"), (units % size).cast("string")
+        return F.concat(whole, lit("."), F.lpad(rest, digits, "0"))
+
+    loss, norm, epoch = decimal(cents % 50000, 4), decimal((F.col("o_custkey") % 500) * 100, 4), decimal(key % 400, 2)
     step_line = F.concat(
         lit("Step "), F.lpad((key * 25).cast("string"), 10, " "), lit("  | loss: "), loss, lit(" | grad_norm: "), norm,
         lit(" | lr: 1."), (key % 9).cast("string"), lit("e-04 | epoch: "), epoch,

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions.vocab import SIGNALLING
 from ..operators import align, leaderboard, metrics, predict, prompts, runlogs, schedule, sequence, validate
 from ..sources import jsonl, results_store
+from ..sources import runlogs as logs
 from ..sources.workspace import fresh_path, spread, stage
 from ..streaming import jobs
 from . import fixtures as fx
@@ -49,6 +50,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion_matrix(paired(spark, sf_dir).select(*RUN, "gold", "pred"))
 
 
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder with the training logs of all runs."""
+    path = fresh_path(spark, "logs")
+    logs.write_run_logs(fx.training_lines(spark, sf_dir), path)
+    return path
+
+
+def training_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlogs.parse_training(logs.read_run_logs(spark, log_files(spark, sf_dir)))
+
+
 def run_order() -> F.Column:
     order = F.create_map(*[F.lit(x) for r, m, s, _, _ in fx.RUNS for x in (f"{m}/{s}", r)])
     return F.try_element_at(order, F.concat_ws("/", *RUN)).cast("bigint")
@@ -130,10 +142,7 @@ def s4_read_results(spark, sf_dir):
 @query
 def s5_training_log_lines(spark, sf_dir):
     """Log files as text, reduced to their metric lines."""
-    path = fresh_path(spark, "logs")
-    fx.training_lines(spark, sf_dir).write.partitionBy("run_id").text(path)
-    lines = spark.read.schema("value STRING, run_id STRING").text(path)
-    return runlogs.parse_training(lines).groupBy("run_id", "kind").agg(
+    return training_steps(spark, sf_dir).groupBy("run_id", "kind").agg(
         F.count("*").alias("n"), F.max("step").alias("last_step"), F.max("loss").alias("max_loss")
     )
 
@@ -438,7 +447,7 @@ def p21_progress_log(spark, sf_dir):
 
 @query
 def p21_training_log(spark, sf_dir):
-    return runlogs.parse_training(fx.training_lines(spark, sf_dir))
+    return training_steps(spark, sf_dir)
 
 
 @query
@@ -667,7 +676,7 @@ def a11_strategy_pivot(spark, sf_dir):
 
 @query
 def a12_training_curves(spark, sf_dir):
-    return runlogs.training_summary(runlogs.parse_training(fx.training_lines(spark, sf_dir)))
+    return runlogs.training_summary(training_steps(spark, sf_dir))
 
 
 @query
@@ -730,8 +739,7 @@ def w8_first_rows(spark, sf_dir):
 
 @query
 def w9_loss_progression(spark, sf_dir):
-    steps = runlogs.parse_training(fx.training_lines(spark, sf_dir))
-    return runlogs.loss_progression(steps)
+    return runlogs.loss_progression(training_steps(spark, sf_dir))
 
 
 @query
@@ -774,9 +782,8 @@ def f1_predict_batches(spark, sf_dir):
 @query
 def t1_follow_training(spark, sf_dir):
     """Training logs followed as a stream; the latest metrics of every run."""
-    logs, store, state = (fresh_path(spark, n) for n in ("logs", "latest", "state"))
-    fx.training_lines(spark, sf_dir).write.partitionBy("run_id").text(logs)
-    lines = spark.readStream.schema("value STRING, run_id STRING").text(logs)
+    store, state = (fresh_path(spark, n) for n in ("latest", "state"))
+    lines = logs.follow_run_logs(spark, log_files(spark, sf_dir))
     jobs.follow_training(lines, store, state, available_now=True).awaitTermination()
     latest = spark.read.schema("last_step BIGINT, last_loss DOUBLE, last_epoch DOUBLE, n_points BIGINT, run_id STRING").parquet(store)
     return latest.select("run_id", "last_step", "last_loss", "last_epoch", "n_points")

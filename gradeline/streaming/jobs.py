@@ -21,7 +21,7 @@ def follow_training(
     the length of its log. A batch rewrites only the folders of the runs it saw, so
     repeating it after a failure changes nothing.
     """
-    steps = parse_training(lines).filter("step IS NOT NULL")
+    steps = parse_training(lines).filter("kind = 'step'")
     latest = steps.groupBy(run).agg(
         F.max("step").alias("last_step"),
         F.max_by("loss", "step").alias("last_loss"),
