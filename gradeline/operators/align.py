@@ -9,14 +9,27 @@ from ..sources.workspace import stage
 from .sequence import dense_ordinals
 
 
-def align_by_id(gold: DataFrame, preds: DataFrame, key: str = "ex_id") -> DataFrame:
+BROADCAST_ROWS = 1_000_000
+
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Does the table hold at most this many rows? Reads no more than that from any partition."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def align_by_id(
+    gold: DataFrame, preds: DataFrame, key: str = "ex_id", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Pair on the example id.
 
     All runs go through one join. Project both sides to labels first: then only ids
-    and labels are shuffled, never texts. The planner broadcasts the gold side when
-    its size allows, and no id can become hot, as it occurs once per run.
+    and labels travel, never texts. A gold side that was counted and found small is
+    broadcast, and the predictions stay where they are. Otherwise both sides are
+    shuffled and merged; no id can become hot, as it occurs once per run.
     """
-    return preds.join(gold, key)
+    if fits(gold, broadcast_rows):
+        return preds.join(F.broadcast(gold), key)
+    return preds.hint("merge").join(gold, key)
 
 
 def align_by_position(
