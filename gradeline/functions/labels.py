@@ -1,8 +1,8 @@
 """From raw answers to canonical labels.
 
-Every step is its own projection. The planner keeps a projection apart when a
-later one uses its result several times, so each regex runs once per row, and
-the later steps of the cascade are evaluated only for rows that reach them.
+Every step is a column that the next one refers to. The planner makes them stacked
+projections and keeps one apart when its result is used several times, so each regex
+runs once per row, and later steps are evaluated only for rows that reach them.
 """
 
 from __future__ import annotations
@@ -42,17 +42,24 @@ def primary_label(codes: Column, vocab: Vocabulary = SIGNALLING) -> Column:
     return F.element_at(filter_noise(codes, vocab), 1)
 
 
-def with_answer_text(df: DataFrame, text: str = "output", out: str = "answer") -> DataFrame:
-    """Add the answer without reasoning blocks; the whole text again if nothing else remains."""
-    whole = F.col(text)
+def _answer_steps(text: str, out: str) -> list[Column]:
+    """Projections that build the answer without reasoning blocks; each uses the one before."""
+    whole, first, second = F.col(text), F.col(f"{out}_1"), F.col(f"{out}_2")
+    mark = F.lit("<think>")
     # A block that is never closed runs to the end of the text, so every character is read once.
     blocks = strip(F.regexp_replace(whole, r"(?s)<think>.*?(?:</think>|\z)", ""))
-    first = df.withColumn(out, F.when(F.contains(whole, F.lit("<think>")), blocks).otherwise(strip(whole)))
-    answer = F.col(out)
     # Taking a block out can join its surroundings to a new mark.
-    cut = strip(F.regexp_replace(answer, r"(?s)<think>.*", ""))
-    second = first.withColumn(out, F.when(F.contains(answer, F.lit("<think>")), cut).otherwise(answer))
-    return second.withColumn(out, F.when(answer == "", whole).otherwise(answer))
+    cut = strip(F.regexp_replace(first, r"(?s)<think>.*", ""))
+    return [
+        F.when(F.contains(whole, mark), blocks).otherwise(strip(whole)).alias(f"{out}_1"),
+        F.when(F.contains(first, mark), cut).otherwise(first).alias(f"{out}_2"),
+        F.when(second == "", whole).otherwise(second).alias(out),
+    ]
+
+
+def with_answer_text(df: DataFrame, text: str = "output", out: str = "answer") -> DataFrame:
+    """Add the answer without reasoning blocks; the whole text again if nothing else remains."""
+    return df.select("*", *_answer_steps(text, out)).drop(f"{out}_1", f"{out}_2")
 
 
 def bracketed(answer: Column) -> Column:
@@ -73,21 +80,23 @@ def string_items(json_array: Column, vocab: Vocabulary) -> Column:
     return texts
 
 
+def _json_steps(answer: str, vocab: Vocabulary, out: str) -> list[Column]:
+    raw, items, kept = (F.col(f"{out}_{n}") for n in ("raw", "items", "kept"))
+    spelled = F.concat_ws(" ", F.lower(raw), F.lower(F.array_join(items, " ")))
+    is_answer = (kept != string_list([vocab.default])) | F.contains(spelled, F.lit(vocab.default))
+    return [
+        bracketed(F.col(answer)).alias(f"{out}_raw"),
+        string_items(raw, vocab).alias(f"{out}_items"),
+        filter_noise(items, vocab).alias(f"{out}_kept"),
+        F.when(items.isNotNull() & is_answer, kept).alias(out),
+    ]
+
+
 def with_json_labels(
     df: DataFrame, answer: str = "answer", vocab: Vocabulary = SIGNALLING, out: str = "json_labels"
 ) -> DataFrame:
     """Labels of the first bracketed JSON list, or null when this step does not decide."""
-    raw, items, kept = f"{out}_raw", f"{out}_items", f"{out}_kept"
-    staged = (
-        df.withColumn(raw, bracketed(F.col(answer)))
-        .withColumn(items, string_items(F.col(raw), vocab))
-        .withColumn(kept, filter_noise(F.col(items), vocab))
-    )
-    spelled = F.concat_ws(" ", F.lower(F.col(raw)), F.lower(F.array_join(F.col(items), " ")))
-    says_default = F.contains(spelled, F.lit(vocab.default))
-    is_answer = (F.col(kept) != string_list([vocab.default])) | says_default
-    accepted = F.when(F.col(items).isNotNull() & is_answer, F.col(kept))
-    return staged.withColumn(out, accepted).drop(raw, items, kept)
+    return df.select("*", *_json_steps(answer, vocab, out)).drop(f"{out}_raw", f"{out}_items", f"{out}_kept")
 
 
 @lru_cache
@@ -135,37 +144,32 @@ def extract_labels(
     ``decided_by`` names an optional column that tells which step decided. A null
     text stays null, which lets a caller skip rows at no cost.
     """
-    default = string_list([vocab.default])
-    staged = with_answer_text(df, text, "_answer")
-    staged = with_json_labels(staged, "_answer", vocab, "_json")
-    undecided = F.col("_json").isNull()
-    staged = staged.withColumn("_lower", F.when(undecided, F.lower(F.col("_answer"))))
-    staged = staged.withColumn("_named", F.when(undecided, named_labels("_lower", vocab)))
-    by_name = (F.size("_named") > 0) & (F.col("_named") != default)
-    open_text = undecided & ~by_name
-    staged = staged.withColumn("_folded", F.when(open_text, fold_for_words(F.col("_lower"))))
-    staged = staged.withColumn(
-        "_phrased", F.when(open_text, synonym_labels("_answer", "_folded", vocab))
+    names = ("answer", "json", "lower", "named", "folded", "phrased")
+    answer, json, lower, named, folded, phrased = (f"_gl_{n}" for n in names)
+    default, missing = string_list([vocab.default]), F.col(text).isNull()
+    by_json = F.col(json).isNotNull()
+    by_name = (F.size(named) > 0) & (F.col(named) != default)
+    by_phrase = F.size(phrased) > 0
+    open_text = ~by_json & ~by_name
+    steps = df.select(
+        "*",
+        *_answer_steps(text, answer),
+        *_json_steps(answer, vocab, json),
+        F.when(~by_json, F.lower(answer)).alias(lower),
+        F.when(~by_json, named_labels(lower, vocab)).alias(named),
+        F.when(open_text, fold_for_words(F.col(lower))).alias(folded),
+        F.when(open_text, synonym_labels(answer, folded, vocab)).alias(phrased),
     )
-    by_phrase = F.size("_phrased") > 0
-    labels = (
-        F.when(F.col(text).isNull(), F.lit(None))
-        .when(~undecided, F.col("_json"))
-        .when(by_name, F.col("_named"))
-        .when(by_phrase, F.col("_phrased"))
-        .otherwise(default)
-    )
-    result = staged.withColumn(out, labels)
+
+    def first_decided(by_json_: Column, by_name_: Column, by_phrase_: Column, otherwise: Column) -> Column:
+        decided = F.when(missing, F.lit(None)).when(by_json, by_json_).when(by_name, by_name_)
+        return decided.when(by_phrase, by_phrase_).otherwise(otherwise)
+
+    results = {out: first_decided(F.col(json), F.col(named), F.col(phrased), default)}
     if decided_by:
-        step = (
-            F.when(F.col(text).isNull(), F.lit(None))
-            .when(~undecided, "json")
-            .when(by_name, "named")
-            .when(by_phrase, "phrase")
-            .otherwise("default")
-        )
-        result = result.withColumn(decided_by, step)
-    return result.drop("_answer", "_json", "_lower", "_named", "_folded", "_phrased")
+        results[decided_by] = first_decided(*[F.lit(n) for n in ("json", "named", "phrase", "default")])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in results]
+    return steps.select(*kept, *[column.alias(name) for name, column in results.items()])
 
 
 def choose_prediction(
