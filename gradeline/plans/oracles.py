@@ -390,6 +390,10 @@ ORACLES: dict[str, str] = {
     "a7_collapse_report": f"""SELECT model, strategy, n, n_default, n_empty, n_labels, {share('n_default', 'n')} AS default_share FROM (
         SELECT model, strategy, count(*) AS n, count(*) FILTER (pred = 'normal') AS n_default, count(*) FILTER (output = '') AS n_empty,
         count(DISTINCT pred) AS n_labels FROM pairs GROUP BY ALL)""",
+    "a7_code_kinds": f"""SELECT lang, CASE WHEN list_contains({lits(SIGNALLING.noise)}, upper({strip('code')})) THEN 'noise'
+        WHEN list_contains({lits(SIGNALLING.labels)}, lower({strip('code')})) THEN 'label' ELSE 'unknown' END AS kind, count(*) AS n
+        FROM (SELECT lang, unnest([upper(source), {at('doc_id')}, CASE WHEN doc_id % 3 = 0 THEN ' Harq_Nack' ELSE 'timer_expiry' END]) AS code
+        FROM documents) GROUP BY ALL""",
     "a8_misclassified": "SELECT model, strategy, count(*) FILTER (gold <> pred) AS n_wrong, count(*) AS n FROM pairs GROUP BY ALL",
     "a8_misclassified_by_class": "SELECT model, strategy, gold, count(*) FILTER (gold <> pred) AS n_wrong, count(*) AS n FROM pairs GROUP BY ALL",
     "a9_written_skipped": """SELECT split, count(*) FILTER (reason IS NULL) AS written, count(*) FILTER (reason IS NOT NULL) AS skipped

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as X
 from ..functions.vocab import SIGNALLING
-from ..operators import align, leaderboard, metrics, predict, prompts, runlogs, schedule, sequence, validate
+from ..operators import align, codes, leaderboard, metrics, predict, prompts, runlogs, schedule, sequence, validate
 from ..sources import jsonl, results_store
 from ..sources import runlogs as logs
 from ..sources.workspace import fresh_path, spread, stage
@@ -79,8 +79,8 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_results(cells(spark, sf_dir)).withColumn("store_ord", run_order())
 
 
-def joined(codes: str) -> F.Column:
-    return F.array_join(codes, "|")
+def joined(items: str | F.Column) -> F.Column:
+    return F.array_join(items, "|")
 
 
 # --- sources and sinks --------------------------------------------------------------------------
@@ -263,32 +263,21 @@ def p3_quarantine(spark, sf_dir):
 def p4_noise_filter(spark, sf_dir):
     """Code lists with noise, blanks, case and repeats."""
     doc = F.col("doc_id")
-    codes = F.array(
+    mixed = F.array(
         F.lit("HARQ_NACK"), F.when(doc % 3 == 0, F.concat(F.lit("\t "), F.upper(fx.label_at("doc_id")))),
         F.when(doc % 5 != 0, fx.label_at("doc_id")).otherwise("unknown"), F.col("lang"), F.lit(" timer_expiry\n"),
         F.when(doc % 2 == 0, F.initcap(fx.label_at("doc_id + 5"))),
     )
-    docs = fx.table(spark, sf_dir, "documents").select(doc.alias("ex_id"), codes.alias("codes"))
+    docs = fx.table(spark, sf_dir, "documents").select(doc.alias("ex_id"), mixed.alias("codes"))
     return docs.select("ex_id", joined(L.filter_noise(F.col("codes"))).alias("kept"))
 
 
 @query
 def p4_event_codes(spark, sf_dir):
-    """The same filter on codes that arrive as rows: labels of every user in order of first appearance.
-
-    Rows are reduced to one per user and label before the lists are built, so a list
-    never holds more than the vocabulary, however many events a user has.
-    """
-    vocab = fx.EVENT_TYPES
-    code = X.strip(F.col("event_type"))
-    label = F.when(~F.upper(code).isin(*vocab.noise) & F.lower(code).isin(*vocab.labels), F.lower(code))
-    events = fx.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", label.alias("label"))
-    firsts = events.groupBy("user_id", "label").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    entry = F.when(F.col("label").isNotNull(), F.struct("first", "label"))
-    lists = firsts.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    codes = F.transform("entries", lambda e: e["label"])
-    kept = F.when(F.size(codes) > 0, codes).otherwise(L.string_list([vocab.default]))
-    return lists.select("user_id", joined(kept).alias("kept"))
+    """The same filter on codes that arrive as rows: event types of every user in order of first appearance."""
+    events = fx.table(spark, sf_dir, "events")
+    kept = codes.filter_noise_rows(events, ["user_id"], "event_type", ["ts", "event_id"], fx.EVENT_TYPES)
+    return kept.select("user_id", joined("codes").alias("kept"))
 
 
 @query
@@ -643,6 +632,16 @@ def a7_collapse_report(spark, sf_dir):
     return metrics.prediction_health(paired(spark, sf_dir))
 
 
+@query
+def a7_code_kinds(spark, sf_dir):
+    """Noise apart from unknown codes, over code lists of documents."""
+    listed = F.array(
+        F.upper("source"), fx.label_at("doc_id"), F.when(F.col("doc_id") % 3 == 0, " Harq_Nack").otherwise("timer_expiry")
+    )
+    docs = fx.table(spark, sf_dir, "documents").select("lang", listed.alias("codes"))
+    return codes.code_kinds(docs, ["lang"], "codes")
+
+
 @query
 def a8_misclassified(spark, sf_dir):
     return metrics.misclassified(cells(spark, sf_dir))
@@ -807,4 +806,5 @@ def t3_label_windows(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     jobs.append_to(jobs.label_windows(events, "event_type"), out, state, available_now=True).awaitTermination()
-    return spark.read.schema("window_start TIMESTAMP, window_end TIMESTAMP, event_type STRING, n BIGINT").parquet(out)
+    closed = spark.read.schema("window_start TIMESTAMP, window_end TIMESTAMP, event_type STRING, n BIGINT").parquet(out)
+    return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

@@ -35,7 +35,7 @@ def rows_of(names: list[str], rows) -> Counter:
     return Counter(tuple(plain(row[i]) for i in order) for row in rows)
 
 
-KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
 
 
 def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradeline.functions import labels as L
 from gradeline.functions import text as X
 from gradeline.functions.vocab import SIGNALLING, Vocabulary
+from gradeline.operators.codes import filter_noise_rows
 from gradeline.plans.fixtures import QUALITY
 
 CASCADE = [
@@ -147,3 +148,11 @@ def test_phrase_search_equals_python_search(spark):
         (r.t, p, hit) for r in hits for p, hit in zip(PATTERNS, r.hits) if hit != bool(re.search(p, r.t, re.IGNORECASE))
     ]
     assert wrong == []
+
+
+def test_rows_of_codes_with_one_large_group(spark):
+    rows = [("hot", i, c) for i, c in enumerate(["HARQ_NACK", " Radio_Failure", "x", "congestion"] * 500)]
+    rows += [("noise", 1, "HARQ_NACK"), ("late", 9, "normal"), ("late", 2, "CONGESTION")]
+    df = spark.createDataFrame(rows, "g STRING, t INT, code STRING")
+    got = {r.g: r.codes for r in filter_noise_rows(df, ["g"], "code", ["t"]).collect()}
+    assert got == {"hot": ["radio_failure", "congestion"], "noise": ["normal"], "late": ["congestion", "normal"]}
