@@ -6,6 +6,8 @@ of scored runs, not with the data those runs were scored on.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def rank_runs(runs: DataFrame, score: str = "f1", order: str = "store_ord") -> D
     return ranked.withColumn("is_best", F.col("rank") == 1)
 
 
-def best_per(runs: DataFrame, by: str, score: str = "f1", tie_break: list[str] = ("strategy",)) -> DataFrame:
+def best_per(runs: DataFrame, by: str, score: str = "f1", tie_break: Sequence[str] = ("strategy",)) -> DataFrame:
     """The best-scored row of every ``by``; pre-aggregated before the shuffle."""
     rest = [c for c in runs.columns if c not in (by, score, *tie_break)]
     candidate = F.struct((-F.col(score)).alias("_loss"), *tie_break, *rest)

@@ -7,6 +7,8 @@ predictions are distributed. Everything after it works on those cells.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +126,7 @@ def run_results(cells: DataFrame, run: list[str] = RUN, labels: tuple[str, ...]
     return totals.select(*run, metrics.alias("metrics")).join(classes, run, "left")
 
 
-def class_distribution(df: DataFrame, label: str = "gold", within: list[str] = ()) -> DataFrame:
+def class_distribution(df: DataFrame, label: str = "gold", within: Sequence[str] = ()) -> DataFrame:
     """Rows per label."""
     return df.groupBy(*within, label).agg(F.count("*").alias("n"))
 

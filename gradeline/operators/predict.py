@@ -18,7 +18,9 @@ def predict_batches(
 
     The predictor sees the prompts of a partition in batches of a fixed size. A batch
     that fails is answered with the default and marked, so that the share of failures
-    stays visible. Rows never leave their partition, and a lost task is repeated.
+    stays visible. Rows never leave their partition, and a lost task is repeated. A worker
+    holds one Arrow batch of rows: lower ``spark.sql.execution.arrow.maxRecordsPerBatch``
+    for very long prompts.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def chat_prompt(log: Column, reasoning: bool = True) -> Column:
 
 
 def training_pairs(
-    examples: DataFrame, model: Column, keep: list[str] = (), chat_models: tuple[str, ...] = T.CHAT_MODELS
+    examples: DataFrame, model: Column, keep: Sequence[str] = (), chat_models: tuple[str, ...] = T.CHAT_MODELS
 ) -> DataFrame:
     """``prompt`` and ``completion`` of every example, in the format of the model; other columns are dropped."""
     is_chat, log, answer = model.isin(*chat_models), F.col("log"), json_string_list(F.col("root_cause"))

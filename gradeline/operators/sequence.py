@@ -8,6 +8,7 @@ is cut into ranges like any other.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -34,7 +35,7 @@ def _join_chunks(rows: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFra
 
 
 def dense_ordinals(
-    df: DataFrame, order_by: list[str], within: list[str] = (), name: str = "ord", total: str | None = None
+    df: DataFrame, order_by: list[str], within: Sequence[str] = (), name: str = "ord", total: str | None = None
 ) -> DataFrame:
     """Number the rows 0, 1, 2, ... in order; ``total`` also adds the length of the sequence.
 
@@ -57,7 +58,7 @@ def dense_ordinals(
 
 
 def running_totals(
-    df: DataFrame, sums: dict[str, str], order_by: list[str], within: list[str] = (), name: str = "ord"
+    df: DataFrame, sums: dict[str, str], order_by: list[str], within: Sequence[str] = (), name: str = "ord"
 ) -> DataFrame:
     """Position of every row and, for each ``{new: column}``, the sum of the column up to and with that row."""
     within = list(within)
@@ -80,7 +81,7 @@ def running_totals(
 
 
 def previous_values(
-    df: DataFrame, previous: dict[str, str], order_by: list[str], within: list[str] = ()
+    df: DataFrame, previous: dict[str, str], order_by: list[str], within: Sequence[str] = ()
 ) -> DataFrame:
     """For each ``{new: column}``, the value of the column in the row before; null in the first row."""
     within = list(within)
@@ -98,7 +99,7 @@ def previous_values(
     return joined.withColumns({n: before[n] for n in previous}).drop(SLOT, CHUNK, "_local", "_carried")
 
 
-def mini_batches(df: DataFrame, size: int, order_by: list[str], within: list[str] = ()) -> DataFrame:
+def mini_batches(df: DataFrame, size: int, order_by: list[str], within: Sequence[str] = ()) -> DataFrame:
     """Consecutive batches of ``size`` rows: batch number and position inside the batch."""
     numbered = dense_ordinals(df, order_by, within)
     return numbered.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -61,7 +61,7 @@ def training_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlogs.parse_training(logs.read_run_logs(spark, log_files(spark, sf_dir)))
 
 
-def run_order() -> F.Column:
+def run_order() -> Column:
     order = F.create_map(*[F.lit(x) for r, m, s, _, _ in fx.RUNS for x in (f"{m}/{s}", r)])
     return F.try_element_at(order, F.concat_ws("/", *RUN)).cast("bigint")
 
@@ -79,7 +79,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_results(cells(spark, sf_dir)).withColumn("store_ord", run_order())
 
 
-def joined(items: str | F.Column) -> F.Column:
+def joined(items: str | Column) -> Column:
     return F.array_join(items, "|")
 
 
