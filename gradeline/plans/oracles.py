@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import templates as T
 from ..functions.text import FENCE, WHITESPACE
 from ..functions.vocab import SIGNALLING
@@ -200,8 +202,6 @@ CTES: dict[str, str] = {
 
 def needed(sql: str) -> list[str]:
     """The CTEs a statement uses, with those that they use, in order of definition."""
-    import re
-
     used, todo = set(), [sql]
     while todo:
         words = set(re.findall(r"\b[a-z]\w*\b", todo.pop()))
@@ -220,8 +220,6 @@ def sql(body: str) -> str:
 
 def fill(template: str, **values: str) -> str:
     """SQL expression for a template with marks replaced by SQL expressions."""
-    import re
-
     parts = re.split(r"\{(\w+)\}", template)
     shown = [values[p] if i % 2 and p in values else text_lit("{" + p + "}" if i % 2 else p) for i, p in enumerate(parts)]
     return "concat(" + ", ".join(s for s in shown if s != "''") + ")"

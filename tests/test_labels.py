@@ -156,3 +156,20 @@ def test_rows_of_codes_with_one_large_group(spark):
     df = spark.createDataFrame(rows, "g STRING, t INT, code STRING")
     got = {r.g: r.codes for r in filter_noise_rows(df, ["g"], "code", ["t"]).collect()}
     assert got == {"hot": ["radio_failure", "congestion"], "noise": ["normal"], "late": ["congestion", "normal"]}
+
+
+def test_long_answers_are_read_to_the_end(spark):
+    filler = "word " * 60_000
+    rows = [
+        (0, "<think>" * 30_000 + "x"),
+        (1, "[" * 60_000 + " congestion"),
+        (2, filler + "RLF"),
+        (3, filler + '["qos_violation"]'),
+        (4, "<think>" + filler + "</think>" + filler + "radio_failure"),
+        (5, "\n" * 60_000 + "jitter" + " " * 60_000),
+    ]
+    df = spark.createDataFrame(rows, "i INT, output STRING").repartition(6)
+    got = {r.i: r.c[0] for r in L.extract_labels(df, out="c").collect()}
+    assert got == {
+        0: "normal", 1: "congestion", 2: "radio_failure", 3: "qos_violation", 4: "radio_failure", 5: "transport_jitter",
+    }
