@@ -79,7 +79,7 @@ def _walked(
     spent = F.expr("round(largest * mass)" if budget is None else f"{int(budget)}D").cast("bigint")
     whole = whole.select("largest", "exponent", "mass", spent.alias("spent"), F.lit(1).alias("one"))
     plan = totals.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").withColumn(  # one row
-        "weight", F.expr("pow(total / largest, exponent) / mass")
+        "weight", F.expr("round(pow(total / largest, exponent) / mass, 12)")
     ).select(
         "key", "total", "weight", "exponent", F.expr("cast(round(weight * spent) AS bigint)").alias("quota"),
         F.expr(f"greatest(1L, cast(ceil(spent / {block_tokens}) AS bigint))").alias("blocks"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, pii, sharding, toxicity, warc
+from . import byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, oracles, pii, sharding, toxicity, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,4 +68,10 @@ QUERIES = {
         op10_byte_level_bpe,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Zstandard, CRC-32, trained trees, sketches, element trees and byte-pair merges are beyond SQL; tests/llm has brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op2_temperature_mixing": oracles.mixture(2.0),
+    "op5_personal_data": oracles.personal_data(),
+    "op9_warc_chunks": oracles.ARCHIVES,
+}
