@@ -113,7 +113,7 @@ class WordKinds(dict):
         inner = odd and any(not c.isalpha() for c in core[1:-1])
         stretched = _stretched(word)
         if not found and (inner or stretched or odd):
-            for form in (core, word):
+            for form in (core, core.rstrip("!|+$@"), word):
                 hit = _lists(_plain(form)) & (INSULT | PROFANITY)
                 if not hit and stretched:
                     single = _single(_plain(form))
