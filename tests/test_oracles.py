@@ -1,11 +1,16 @@
 """Every registered query against its SQL restatement."""
 
+import os
+import subprocess
+import sys
+
 import compare
 import pytest
 
 import __spark_entry__ as entry
+from gradeline.plans import oracles, registry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +27,30 @@ def test_query_equals_sql(name, spark, sf_dir, con):
     assert compare.differences(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == []
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+WITHOUT = """
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("gradeline.llm"):
+            raise ModuleNotFoundError(name=name)
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as entry
+from gradeline.plans import oracles, registry
+assert set(entry.queries()) == set(registry.QUERIES)
+assert entry.oracle_sql() == oracles.oracle_sql()
+"""
+
+
+def test_entry_works_without_the_optional_part():
+    repository = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-B", "-c", WITHOUT], cwd=repository, check=True, timeout=120)
+
+
 def test_entry_ranks_the_runs(spark):
     rows = entry.entry(spark).orderBy("rank").collect()
     assert [(r.rank, r.model, r.strategy, r.n_correct, r.n, r.f1) for r in rows] == [
