@@ -6,30 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import stage
-from .sequence import dense_ordinals
+from .sequence import dense_ordinals, file_ordinals
 
 
-BROADCAST_ROWS = 1_000_000
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Does the table hold at most this many rows? A count needs no columns, and one row per task."""
-    return df.count() <= rows
-
-
-def align_by_id(
-    gold: DataFrame, preds: DataFrame, key: str = "ex_id", broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Pair on the example id.
+def align_by_id(gold: DataFrame, preds: DataFrame, key: str = "ex_id", strict: bool = False) -> DataFrame:
+    """Pair on the example id; predictions without a gold row are left out, or an error with ``strict``.
 
     All runs go through one join. Project both sides to labels first: then only ids
-    and labels travel, never texts. A gold side that was counted and found small is
-    broadcast, and the predictions stay where they are. Otherwise both sides are
-    shuffled and merged; no id can become hot, as it occurs once per run.
+    and labels travel, never texts. The planner picks the join by the sizes it knows and sees at run time; no id can
+    become hot, as it occurs once per run. :func:`unpaired` counts what finds no gold row.
     """
-    if fits(gold, broadcast_rows):
-        return preds.join(F.broadcast(gold), key)
-    return preds.hint("merge").join(gold, key)
+    if not strict:
+        return preds.join(gold, key)
+    marked = preds.join(gold.withColumn("_gold", F.lit(True)), key, "left")
+    message = F.concat(F.lit("no gold row for "), F.col(key).cast("string"))
+    return marked.withColumn("_gold", F.when(F.col("_gold"), True).otherwise(F.raise_error(message))).filter("_gold").drop("_gold")
+
+
+def unpaired(gold: DataFrame, preds: DataFrame, run: list[str], key: str = "ex_id") -> DataFrame:
+    """Rows of every run, and how many of them have no gold row. Of both sides only ids travel."""
+    known = gold.select(key).distinct().withColumn("_known", F.lit(True))
+    joined = preds.select(*run, key).join(known, key, "left")
+    return joined.groupBy(*run).agg(F.count("*").alias("n_rows"), F.count_if(F.col("_known").isNull()).alias("n_unpaired"))
 
 
 def align_by_position(
@@ -44,6 +42,22 @@ def align_by_position(
     n_gold = numbered_gold.agg(F.count("*")).scalar()
     # Finding the ranges reads the rows one more time: labels are cheap to read again, extraction is not.
     numbered = dense_ordinals(stage(preds, "labels"), pred_order, within=run, name="pred_ord", total="n_pred")
+    return _shifted(numbered, numbered_gold, n_gold, run)
+
+
+def align_in_file_order(gold: DataFrame, preds: DataFrame, run: list[str]) -> DataFrame:
+    """Pair lines of files without ids by position, see :func:`align_by_position`.
+
+    Both sides come from :func:`..sources.jsonl.read_lines_in_order` with their labels; they lie in order already, so they
+    are numbered without a sort.
+    """
+    numbered_gold = file_ordinals(stage(gold, "gold"), name="gold_ord").drop("file", "block", "line")
+    n_gold = numbered_gold.agg(F.count("*")).scalar()
+    numbered = file_ordinals(stage(preds, "labels"), within=run, name="pred_ord", total="n_pred").drop("file", "block", "line")
+    return _shifted(numbered, numbered_gold, n_gold, run)
+
+
+def _shifted(numbered: DataFrame, numbered_gold: DataFrame, n_gold: Column, run: list[str]) -> DataFrame:
     offset = n_gold - F.col("n_pred")
     message = F.concat(F.lit("more predictions than gold rows: "), F.concat_ws("/", *run))
     placed = numbered.withColumn(

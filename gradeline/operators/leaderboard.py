@@ -16,10 +16,16 @@ from ..functions.text import percent
 RUN = ["model", "strategy"]
 
 
+def latest_rows(runs: DataFrame, run: list[str] = RUN, order: str = "store_ord") -> DataFrame:
+    """One row per run: the last one."""
+    whole = F.struct(*runs.columns)
+    return runs.groupBy(*run).agg(F.max_by(whole, order).alias("_row")).select("_row.*")
+
+
 def upsert_runs(old: DataFrame, new: DataFrame, run: list[str] = RUN, order: str = "store_ord") -> DataFrame:
-    """Replace runs with equal keys; new rows go to the end of the store in their own order."""
+    """Replace runs with equal keys; new rows go to the end of the store in their own order, the last one of each run only."""
     last = old.agg(F.coalesce(F.max(order), F.lit(-1))).scalar()
-    appended = new.withColumn(order, last + 1 + F.col(order))
+    appended = latest_rows(new, run, order).withColumn(order, last + 1 + F.col(order))
     return old.join(new.select(*run), run, "left_anti").unionByName(appended)
 
 
@@ -69,8 +75,13 @@ def with_display_names(runs: DataFrame, names: DataFrame, key: str, out: str, fa
     return joined.withColumn(out, F.coalesce(F.col(out), F.col(key) if fallback is None else fallback))
 
 
-def label_grid(classes: DataFrame, labels: tuple[str, ...], run: list[str] = RUN, keep_missing: bool = True) -> DataFrame:
-    """One row per run and label in label order; labels a run lacks have n = 0, or are left out."""
+def label_grid(
+    classes: DataFrame, labels: tuple[str, ...], run: list[str] = RUN, keep_missing: bool = True, runs: DataFrame | None = None
+) -> DataFrame:
+    """One row per run and label in label order; labels a run lacks have n = 0, or are left out.
+
+    ``runs`` lists the runs to show, also those without a single class row; by default those that have one.
+    """
     if not keep_missing:
         place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label"))
         return classes.withColumn("label_ord", (place - 1).cast("int")).filter("label_ord >= 0")
@@ -78,6 +89,8 @@ def label_grid(classes: DataFrame, labels: tuple[str, ...], run: list[str] = RUN
     values = [c for c in classes.columns if c not in (*run, "label")]
     entries = F.map_from_entries(F.collect_list(F.struct("label", F.struct(*values))))
     by_run = classes.filter(F.col("label").isin(*labels)).groupBy(*run).agg(entries.alias("_classes"))
+    if runs is not None:
+        by_run = runs.select(*run).distinct().join(by_run, run, "left")
     grid = by_run.select(*run, "_classes", F.posexplode(wanted).alias("label_ord", "label"))
     cell = F.try_element_at("_classes", F.col("label"))
     return grid.select(
@@ -99,9 +112,12 @@ def drop_runs(runs: DataFrame, keys: DataFrame, run: list[str] = RUN) -> DataFra
 def baseline_delta(
     runs: DataFrame, baseline: Column, by: list[str], values: list[str], keep: list[str]
 ) -> DataFrame:
-    """Every row against the baseline row of its group: baseline value and change in points."""
+    """Every row, the baseline included, against the baseline row of its group: baseline value and change in points.
+
+    Both are null in a group without a baseline.
+    """
     base = runs.filter(baseline).select(*by, *[F.col(v).alias(f"baseline_{v}") for v in values])
-    joined = runs.filter(~baseline).join(base, by)
+    joined = runs.join(base, by, "left")
     points = [F.round((F.col(v) - F.col(f"baseline_{v}")) * 100, 2).alias(f"{v}_change") for v in values]
     return joined.select(*by, *keep, *[c for v in values for c in (v, f"baseline_{v}")], *points)
 
@@ -121,10 +137,15 @@ def strategy_pivot(runs: DataFrame, strategies: list[str], score: str = "f1") ->
 
 
 def scenario_matrix(classes: DataFrame, runs: list[tuple[str, str]], score: str = "f1") -> DataFrame:
-    """Labels down, runs across."""
+    """Labels down, runs across: score and status of every cell, and the number of runs that have no error in the label.
+
+    ``classes`` carries ``status``, see :func:`.metrics.class_status`. :func:`perfect_classes` counts by run.
+    """
     names = [f"{model}/{strategy}" for model, strategy in runs]
     keyed = classes.withColumn("_run", F.concat_ws("/", "model", "strategy"))
-    return keyed.groupBy("label").pivot("_run", names).agg(F.first(score))
+    wide = keyed.groupBy("label").pivot("_run", names).agg(F.first(score).alias(score), F.first("status").alias("status"))
+    perfect = [F.coalesce(F.col(f"`{n}_status`") == "PERFECT", F.lit(False)).cast("bigint") for n in names]
+    return wide.withColumn("n_perfect", sum(perfect[1:], perfect[0]))
 
 
 def perfect_classes(classes: DataFrame, run: list[str] = RUN) -> DataFrame:

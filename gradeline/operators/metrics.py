@@ -105,8 +105,8 @@ def averages(classes: DataFrame, run: list[str] = RUN) -> DataFrame:
     columns = []
     for short, long in (("f", "f1"), ("p", "precision"), ("r", "recall")):
         columns += [
-            F.round(F.avg(short), 4).alias(f"macro_{long}"),
-            F.round(F.sum(F.col(short) * F.col("n")) / F.sum("n"), 4).alias(f"weighted_{long}"),
+            F.bround(F.avg(short), 4).alias(f"macro_{long}"),
+            F.bround(F.sum(F.col(short) * F.col("n")) / F.sum("n"), 4).alias(f"weighted_{long}"),
         ]
     return raw.groupBy(*run).agg(F.count("*").alias("n_classes"), *columns)
 
@@ -132,13 +132,18 @@ def class_distribution(df: DataFrame, label: str = "gold", within: Sequence[str]
 
 
 def prediction_health(
-    df: DataFrame, run: list[str] = RUN, text: str = "output", default: str = SIGNALLING.default
+    df: DataFrame, run: list[str] = RUN, default: str = SIGNALLING.default
 ) -> DataFrame:
-    """Signs that a run collapsed: share of the default label, empty answers, number of labels in use."""
+    """Signs that a run collapsed: share of the default label, empty and defaulted answers, number of labels in use.
+
+    Takes (run, ``pred``, ``empty``, ``defaulted``): answers are reduced to flags before anything is shuffled. No gold
+    is needed. ``defaulted`` marks answers that stand in for a failed call, see :func:`.predict.predict_batches`.
+    """
     return df.groupBy(*run).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("pred") == default).alias("n_default"),
-        F.count_if(F.coalesce(F.col(text), F.lit("")) == "").alias("n_empty"),
+        F.count_if("empty").alias("n_empty"),
+        F.count_if("defaulted").alias("n_defaulted"),
         F.count_distinct("pred").alias("n_labels"),
         ratio(F.count_if(F.col("pred") == default), F.count("*")).alias("default_share"),
     )
@@ -166,7 +171,7 @@ def run_invariants(cells: DataFrame, run: list[str] = RUN, labels: tuple[str, ..
     classes = per_class(cells, run, labels)
     sums = classes.groupBy(*run).agg(
         F.sum("n").alias("n_classes_sum"),
-        F.round(F.sum(F.col("tp")) / F.sum("n"), 4).alias("weighted_recall"),
+        F.bround(F.sum(F.col("tp")) / F.sum("n"), 4).alias("weighted_recall"),
     )
     harmonic = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
     return overall(cells, run, labels).join(sums, run).select(

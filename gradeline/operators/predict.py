@@ -7,39 +7,49 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Predictor = Callable[[list[str]], list[str]]
 
 
 def predict_batches(
-    df: DataFrame, predictor: Predictor, prompt: str = "prompt", batch_size: int = 4, default_answer: str = '["normal"]'
+    df: DataFrame, make: Callable[[], Predictor], prompt: str = "prompt", batch_size: int = 4, default_answer: str = '["normal"]'
 ) -> DataFrame:
     """Add ``output`` (the raw answer) and ``defaulted`` (the call failed) to every row.
 
-    The predictor sees the prompts of a partition in batches of a fixed size. A batch
-    that fails is answered with the default and marked, so that the share of failures
-    stays visible. Rows never leave their partition, and a lost task is repeated. A worker
-    holds one Arrow batch of rows: lower ``spark.sql.execution.arrow.maxRecordsPerBatch``
-    for very long prompts.
+    ``make`` is called once per task and returns the predictor, so a model is loaded once, in the worker. Only the
+    prompts go to the worker. The predictor sees the prompts of a task in batches of at most ``batch_size``. A batch that fails is
+    answered with the default and marked, so that the share of failures stays visible; a task of which every batch
+    fails (two at least) is an error with the cause of the last failure. Rows never leave their partition, and a lost task is
+    repeated. A worker holds one Arrow batch of prompts, which Spark bounds in bytes.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    @F.pandas_udf("output string, defaulted boolean")
+    def answer(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predictor = make()
+        failures = batches = 0
+        cause = None
+        for column in columns:
             answers, defaulted = [], []
-            prompts = frame[prompt].tolist()
+            prompts = column.tolist()
             for start in range(0, len(prompts), batch_size):
-                batch = prompts[start:start + batch_size]
+                batch = prompts[start : start + batch_size]
                 try:
                     got = list(predictor(batch))
-                    failed = len(got) != len(batch)
-                except Exception:  # noqa: BLE001 - a failed call is an answer of its own kind
-                    got, failed = [], True
-                answers += [default_answer] * len(batch) if failed else got
+                    if len(got) != len(batch):
+                        raise ValueError(f"{len(got)} answers to {len(batch)} prompts")
+                    failed = False
+                except Exception as error:  # noqa: BLE001 - a failed call is an answer of its own kind
+                    got, failed, cause = [default_answer] * len(batch), True, error
+                batches, failures = batches + 1, failures + failed
+                answers += got
                 defaulted += [failed] * len(batch)
-            yield frame.assign(output=answers, defaulted=defaulted)
+            yield pd.DataFrame({"output": answers, "defaulted": defaulted})
+        if batches > 1 and failures == batches:
+            raise RuntimeError("every batch of the task failed") from cause
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{columns}, output STRING, defaulted BOOLEAN")
+    answered = df.withColumn("_answer", answer(F.col(prompt)))
+    return answered.select(*df.columns, "_answer.output", "_answer.defaulted")
 
 
 def phrase_predictor(rules: list[tuple[str, str]], default: str) -> Predictor:

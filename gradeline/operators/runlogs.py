@@ -14,7 +14,6 @@ FAILED_LINE = r"\[WARN\] Failed after (\d+) attempts for ([^:]+): (.*)"
 DONE_LINE = r"Done: (\d+) examples written to (.*) \((\d+) skipped\)"
 TRAINING_LINE = r"Step\s+\d+\s*\|\s*loss|^\{'(loss|train_runtime)':"
 METRICS_LINE, TOTALS_LINE = "{'loss':", "{'train_runtime':"
-TRAINING_VALUE = r"([A-Za-z_]+)(?:'?\s*[:=]\s*|\s+)([-+.\w]+)"
 
 
 def _group(line: Column, pattern: str, index: int, kind: str = "string") -> Column:
@@ -61,19 +60,22 @@ def parse_training(lines: DataFrame, line: str = "value") -> DataFrame:
     text = F.col(line)
     kind = F.when(text.startswith(METRICS_LINE), "metrics").when(text.startswith(TOTALS_LINE), "totals").otherwise("step")
     typed = lines.filter(text.rlike(TRAINING_LINE)).withColumn("kind", kind)
-    pairs = typed.withColumns(
-        {f"_{n}": F.regexp_extract_all(text, F.lit(TRAINING_VALUE), F.lit(i)) for n, i in (("names", 1), ("values", 2))}
-    )
+    # Both shapes become "name:value,name:value" without a pattern: one pass over the line, one split.
+    flat = F.translate(text, "|{}'\" \t", ",")
+    pairs = typed.withColumn("_parts", F.split(flat, ","))
+
+    def part(name: str) -> Column:
+        first = F.try_element_at(F.filter("_parts", lambda p: p.startswith(name)), F.lit(1))
+        return F.substring(first, len(name) + 1, 64)
 
     def value(*names: str, kind: str = "double") -> Column:
-        places = [F.nullif(F.array_position("_names", n), F.lit(0)) for n in names]
-        return F.try_element_at("_values", F.coalesce(*places).cast("int")).try_cast(kind)
+        return F.coalesce(*map(part, names)).try_cast(kind)
 
     return pairs.select(
         *[c for c in lines.columns if c != line], "kind",
-        value("Step", kind="bigint").alias("step"), value("loss").alias("loss"), value("grad_norm").alias("grad_norm"),
-        value("lr", "learning_rate").alias("lr"), value("epoch").alias("epoch"),
-        value("train_runtime").alias("runtime_s"), value("train_loss").alias("mean_loss"),
+        value("Step", kind="bigint").alias("step"), value("loss:").alias("loss"), value("grad_norm:").alias("grad_norm"),
+        value("lr:", "learning_rate:").alias("lr"), value("epoch:").alias("epoch"),
+        value("train_runtime:").alias("runtime_s"), value("train_loss:").alias("mean_loss"),
     )
 
 

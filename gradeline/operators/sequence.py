@@ -23,8 +23,7 @@ def _in_ranges(df: DataFrame, within: list[str], order_by: list[str]) -> DataFra
     """The rows in ranges of (within, order_by); ``_slot`` is the position inside the range ``_chunk``."""
     keys = [*within, *order_by]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    slotted = ranged.withColumn(SLOT, F.monotonically_increasing_id())
-    return stage(slotted, "ranges").withColumn(CHUNK, F.shiftright(SLOT, 33))
+    return stage(ranged.select("*", F.spark_partition_id().alias(CHUNK), F.monotonically_increasing_id().alias(SLOT)), "ranges")
 
 
 def _join_chunks(rows: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,6 +56,27 @@ def dense_ordinals(
     return numbered.drop(SLOT, CHUNK, "_first", "_before", "_total")
 
 
+def file_ordinals(lines: DataFrame, within: Sequence[str] = (), name: str = "ord", total: str | None = None) -> DataFrame:
+    """Number lines 0, 1, 2, ... in file order; nothing is sorted or moved.
+
+    ``lines`` comes from :func:`..sources.jsonl.read_lines_in_order`, written once: the lines of a block already lie in order,
+    so all that is needed is how many lines the blocks before it hold. There is one row per block of a file; its size
+    decides how the join runs.
+    """
+    keys = [*within, "file", "block"]
+    sizes = lines.groupBy(*keys).agg(F.min("line").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*within).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.select(
+        *keys, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*within)).alias("_total"),
+    )
+    numbered = _join_chunks(lines, stage(blocks, "offsets"), keys)
+    numbered = numbered.withColumn(name, F.col("_before") + F.col("line") - F.col("_first"))
+    if total:
+        numbered = numbered.withColumn(total, F.col("_total"))
+    return numbered.drop("_first", "_before", "_total")
+
+
 def running_totals(
     df: DataFrame, sums: dict[str, str], order_by: list[str], within: Sequence[str] = (), name: str = "ord"
 ) -> DataFrame:

@@ -16,8 +16,12 @@ def parse_records(
     """Add ``record`` (the JSON text), ``log``, ``root_cause`` and ``reason`` (null for a valid record).
 
     A record is a JSON object with the keys ``log`` and ``root_cause``, the latter a
-    list that is not empty. With ``vocab`` and ``expected`` the label is also compared
-    with the one that was asked for.
+    list that is not empty. ``root_cause`` has the texts of that list; ``record`` keeps all of it, and all other keys.
+    With ``vocab`` and ``expected`` the label is also compared with the one that was asked for. A lone surrogate in
+    a record becomes a question mark.
+
+    The results come out of a generator, so that a filter on them is not moved into the parse, which would then run
+    once per test.
     """
     fenced_off = df.withColumn("record", strip_fence(F.col(text)))
     # A JSON reader stops after the first value. The closing element shows that nothing followed the record.
@@ -26,7 +30,9 @@ def parse_records(
     parsed = F.from_json(wrapped, "array<struct<log variant, root_cause variant>>", {"allowSingleQuotes": "false"})
     staged = fenced_off.withColumn("_seal", seal).withColumn("_parsed", parsed)
     closing = F.try_variant_get(F.try_element_at("_parsed", F.lit(2))["root_cause"], "$", "string")
-    whole = (F.size("_parsed") == 2) & (closing == F.col("_seal"))
+    # The reader passes over a broken value inside a record; the count of elements needs all of it to be JSON.
+    sound = F.json_array_length(F.concat(F.lit("["), F.col("record"), F.lit("]"))) == 1
+    whole = sound & (F.size("_parsed") == 2) & (closing == F.col("_seal"))
     staged = staged.withColumn("_r", F.when(whole, F.try_element_at("_parsed", F.lit(1))))
     codes = F.col("_r.root_cause")
     items = F.try_variant_get(codes, "$", "array<variant>")
@@ -40,13 +46,9 @@ def parse_records(
         .when(~F.schema_of_variant(codes).startswith("ARRAY"), "root_cause is not a list")
         .when(F.size(items) == 0, "root_cause is empty")
     )
-    result = staged.select(
-        *df.columns,
-        "record",
-        F.try_variant_get(F.col("_r.log"), "$", "string").alias("log"),
-        texts.alias("root_cause"),
-        reason.alias("reason"),
-    )
+    log = F.try_variant_get(F.col("_r.log"), "$", "string")
+    found = F.struct(F.col("record"), log.alias("log"), texts.alias("root_cause"), reason.alias("reason"))
+    result = staged.select(*df.columns, F.inline(F.array(found)))
     if vocab is not None and expected is not None:
         other = F.col("reason").isNull() & (primary_label(F.col("root_cause"), vocab) != F.col(expected))
         result = result.withColumn("reason", F.when(other, "label differs").otherwise(F.col("reason")))

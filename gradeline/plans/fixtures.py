@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.labels import string_list
 from ..functions.text import FENCE, slug, sql_text
 from ..functions.vocab import SIGNALLING, Vocabulary
-from ..sources.workspace import spread
 
 PHRASES = (
     "AUTH REJECT after wrong RES*, cause value 21",
@@ -83,7 +82,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw answers of six runs over all documents, in twelve forms (see FIXTURES.md)."""
-    ids = spread(table(spark, sf_dir, "documents").select("doc_id"))
+    ids = table(spark, sf_dir, "documents").select("doc_id")
     runs = ", ".join(
         f"named_struct('run', {r}, 'model', '{m}', 'strategy', '{s}', 'q', {q}, 'off', {off})" for r, m, s, q, off in RUNS
     )
@@ -124,10 +123,11 @@ def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the answer of a generator: plain, fenced, and broken in several ways."""
     doc, lit = F.col("doc_id"), F.lit
-    label, form = label_at("doc_id div 10"), F.col("doc_id") % 10
+    label, form = label_at("doc_id div 10"), F.col("doc_id") % 13
     text = F.col("text").alias("log")
     options = {"ignoreNullFields": "false"}
     good = F.to_json(F.struct(text, F.array(label).alias("root_cause")), options)
+    head = F.regexp_replace(F.to_json(F.struct(text), options), r"\}$", "")
     generated = (
         F.when(form == 0, good)
         .when(form == 1, F.concat(lit(f"\n{FENCE}json\n"), good, lit(f"\n{FENCE}\n")))
@@ -139,10 +139,13 @@ def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 7, F.concat(lit(" \t"), F.to_json(F.struct(text, F.array(lit("x"), label).alias("root_cause"),
                                                                doc.alias("extra")), options), lit("\n")))
         .when(form == 8, F.concat(lit("["), good, lit("]")))
-        .otherwise(F.concat(good, lit(" Hope this helps")))
+        .when(form == 9, F.concat(good, lit(" Hope this helps")))
+        .when(form == 10, F.concat(head, lit(',"root_cause":["'), label, lit('" 1]}')))
+        .when(form == 11, F.concat(head, lit(',"root_cause":["'), label, lit('"],"log":[1 2]}')))
+        .otherwise(F.concat(head, lit(',\n "root_cause":["'), label, lit('",1,null],"extra":{"k":['), doc.cast("string"), lit("]}}")))
     )
     split = F.when(doc % 3 == 0, "test").otherwise("train")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", "text").select(
         split.alias("split"), doc.alias("ex_id"), label.alias("label"), generated.alias("generated")
     )
 
@@ -169,7 +172,7 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(key % 5 == 0, bar).when(key % 5 == 1, metrics).otherwise(step_line)
     # One job writes more than half of all lines.
     job = F.concat(lit("job-"), F.when(key % 8 < 5, 0).otherwise(key % 8).cast("string"))
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return orders.select(job.alias("run_id"), line.alias("value"))
 
 

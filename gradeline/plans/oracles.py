@@ -151,7 +151,7 @@ CTES: dict[str, str] = {
         CASE ex_id % 3 WHEN 0 THEN ['TIMER_EXPIRY', concat(' ', upper({at('ex_id + 1')}))] WHEN 1 THEN CAST([] AS VARCHAR[]) END AS root_cause FROM preds""",
     "texts0": f"""SELECT doc_id, text, {at('doc_id // 10')} AS label, json_object('log', text, 'root_cause', [{at('doc_id // 10')}])::VARCHAR AS good
         FROM documents""",
-    "texts": f"""SELECT CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, doc_id AS ex_id, label, CASE doc_id % 10
+    "texts": f"""SELECT CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, doc_id AS ex_id, label, CASE doc_id % 13
         WHEN 0 THEN good
         WHEN 1 THEN concat(chr(10), {lit(FENCE + 'json')}, chr(10), good, chr(10), {lit(FENCE)}, chr(10))
         WHEN 2 THEN concat({lit(FENCE)}, good, {lit(FENCE)})
@@ -161,7 +161,11 @@ CTES: dict[str, str] = {
         WHEN 6 THEN json_object('log', text, 'root_cause', [])::VARCHAR
         WHEN 7 THEN concat(' ', chr(9), json_object('log', text, 'root_cause', ['x', label], 'extra', doc_id)::VARCHAR, chr(10))
         WHEN 8 THEN concat('[', good, ']')
-        ELSE concat(good, ' Hope this helps') END AS generated FROM texts0""",
+        WHEN 9 THEN concat(good, ' Hope this helps')
+        WHEN 10 THEN concat(left(json_object('log', text)::VARCHAR, -1), ',"root_cause":["', label, '" 1]}}')
+        WHEN 11 THEN concat(left(json_object('log', text)::VARCHAR, -1), ',"root_cause":["', label, '"],"log":[1 2]}}')
+        ELSE concat(left(json_object('log', text)::VARCHAR, -1), ',', chr(10), ' "root_cause":["', label, '",1,null],"extra":{{"k":[', doc_id, ']}}}}')
+        END AS generated FROM texts0""",
     "fenced": f"SELECT *, {strip('generated')} AS t FROM texts",
     "records": f"""SELECT * EXCLUDE (t), CASE WHEN starts_with(t, {lit(FENCE)}) THEN
         {strip("regexp_replace(string_split(t, " + lit(FENCE) + ")[2], '^json', '')")} ELSE t END AS record FROM fenced""",
@@ -170,7 +174,10 @@ CTES: dict[str, str] = {
         WHEN json_type(record, '$.root_cause') <> 'ARRAY' THEN 'root_cause is not a list'
         WHEN json_array_length(record, '$.root_cause') = 0 THEN 'root_cause is empty' END AS reason FROM records""",
     "parsed": """SELECT split, ex_id, label, reason, CASE WHEN reason IS NULL THEN json_extract_string(record, '$.log') END AS log,
-        CASE WHEN reason IS NULL THEN from_json(json_extract(record, '$.root_cause'), '["VARCHAR"]') END AS root_cause FROM checked""",
+        CASE WHEN reason IS NULL THEN list_filter(list_transform(json_extract(record, '$.root_cause[*]'),
+          lambda j: CASE WHEN json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$') END), lambda x: x IS NOT NULL) END AS root_cause,
+        CASE WHEN reason IS NULL THEN json_extract(record, '$.root_cause')::VARCHAR END AS items,
+        CASE WHEN reason IS NULL THEN json_extract(record, '$.extra')::VARCHAR END AS extra FROM checked""",
     "counters": """SELECT split, ord AS position, written, skipped FROM (SELECT split,
         row_number() OVER w AS ord, CAST(count(*) FILTER (reason IS NULL) OVER w AS BIGINT) AS written,
         CAST(count(*) FILTER (reason IS NOT NULL) OVER w AS BIGINT) AS skipped
@@ -195,6 +202,17 @@ CTES: dict[str, str] = {
     + " ".join(f"WHEN {lit(k)} THEN {round(float(v) * 1000)}" for k, v in fx.HOURLY_USD.items())
     + " END + 36000) // 72000 AS cents FROM jobs",
     "shots": f"SELECT item_id, text AS log, {at('item_id')} AS code FROM benchmark ORDER BY item_id LIMIT 5",
+    "long0": f"""SELECT doc_id, text, {at('doc_id')} AS label, {at('doc_id', fx.PHRASES)} AS prose FROM documents""",
+    "longs": """SELECT doc_id, CASE doc_id % 8
+        WHEN 0 THEN concat(text, chr(10), '["', label, '"]')
+        WHEN 1 THEN concat('["', label, '"]', chr(10), text)
+        WHEN 2 THEN concat('<think>', text, '</think>["', label, '"]')
+        WHEN 3 THEN concat('<think>["', label, '"]', text)
+        WHEN 4 THEN concat(text, ' so the cause is ', label, '.')
+        WHEN 5 THEN concat(text, chr(10), prose, chr(10), text)
+        WHEN 6 THEN concat('<think>', prose, '</think>', text)
+        ELSE concat('[AMF] ', text, ' [', text, '] ', prose) END AS output FROM long0""",
+    **cascade("lngx", "longs", "output"),
     "turns": "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'",
     **cascade("lng", "documents", "text", fx.LANGUAGES),
 }
@@ -268,16 +286,22 @@ ORACLES: dict[str, str] = {
         FROM {EXAMPLES}, (VALUES ('folder'), ('glob')) v(via) GROUP BY ALL""",
     "s4_read_results": """SELECT model, strategy, CAST(run AS BIGINT) AS store_ord, label, f1, "precision", recall, n FROM classes""",
     "s5_training_log_lines": """SELECT run_id, kind, count(*) AS n, max(step) AS last_step, max(loss) AS max_loss FROM tparsed GROUP BY ALL""",
-    "s6_rows_per_run": """SELECT model, strategy, count(*) AS n_rows, (SELECT count(*) FROM documents) AS n_expected,
-        count(*) = (SELECT count(*) FROM documents) AS complete FROM preds GROUP BY ALL""",
+    "s6_rows_per_run": """SELECT *, n_rows = n_expected AS complete FROM (SELECT model, strategy, count(*) AS n_rows,
+        (SELECT count(*) FROM documents) - CASE WHEN strategy LIKE '%five%' THEN 5 ELSE 0 END AS n_expected FROM preds GROUP BY ALL)""",
     "s7_latest_artifact": f"""SELECT slug, max(concat('output/', slug, '/train-', left(slug, 28), '-', strftime(o_orderdate, '%Y-%m-%d'), '-',
         lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), '/')) AS latest, count(*) AS n_candidates
         FROM (SELECT *, {SLUG.format(at('o_custkey', fx.BASE_MODELS))} AS slug FROM orders) WHERE o_orderstatus <> 'F' GROUP BY slug""",
-    "k1_write_examples": f"SELECT ex_id, log, {JOIN.format('root_cause')} AS codes FROM parsed WHERE reason IS NULL",
+    "s7_required_artifacts": f"""SELECT slug, max(concat('output/', slug, '/train-', left(slug, 28), '-', strftime(o_orderdate, '%Y-%m-%d'), '-',
+        lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), '/')) AS latest, count(*) AS n_candidates
+        FROM (SELECT *, {SLUG.format(at('o_custkey', fx.BASE_MODELS))} AS slug FROM orders) WHERE o_orderstatus <> 'F' GROUP BY slug""",
+    "k1_write_examples": f"SELECT log, {JOIN.format('root_cause')} AS codes, items, extra FROM parsed WHERE reason IS NULL",
     "k2_write_predictions": f"""SELECT model, strategy, ex_id, {JOIN.format('codes')} AS codes,
         CASE WHEN strategy LIKE '%cot%' THEN output ELSE '' END AS raw FROM ext""",
     "k3_upsert_store": """SELECT model, strategy, f1, "precision", recall, exact_match, n,
         CASE WHEN store_ord = 1 THEN 5 WHEN store_ord = 5 THEN 6 ELSE store_ord END AS store_ord FROM scored""",
+    "k3_first_run": """SELECT model, strategy, f1, "precision", recall, exact_match, n, store_ord FROM scored WHERE store_ord IN (2, 4)""",
+    "k3_repeated_key": """SELECT model, strategy, f1, "precision", recall, exact_match, n, CASE WHEN store_ord = 3 THEN 19 ELSE store_ord + 10 END AS store_ord
+        FROM scored""",
     "k4_read_one_run": "SELECT model, strategy, ex_id, output FROM preds WHERE model = 'm1' AND strategy = 'five_shot'",
     "k5_report_summary": f"""SELECT CAST(rank AS INTEGER) AS rank, rank = 1 AS is_best, {NAME_OF['model_name']} AS model_name,
         {NAME_OF['kind']} AS kind, {NAME_OF['strategy_name']} AS strategy_name, {PCT.format('f1')} AS f1_pct,
@@ -308,6 +332,7 @@ ORACLES: dict[str, str] = {
     "p8_named_labels": f"SELECT model, strategy, ex_id, {JOIN.format('nm')} AS codes FROM ext",
     "p9_phrase_labels": f"SELECT model, strategy, ex_id, {JOIN.format('ph')} AS codes FROM ext",
     "p10_extract_cascade": f"SELECT model, strategy, ex_id, {JOIN.format('codes')} AS codes, step FROM ext",
+    "p10_long_answers": f"SELECT doc_id, {JOIN.format('codes')} AS codes, step FROM lngx",
     "p10_extract_language": f"SELECT doc_id, lang, {JOIN.format('codes')} AS codes, step FROM lng",
     "p11_choose_prediction": f"""SELECT model, strategy, ex_id, {JOIN.format('chosen')} AS codes, ({or_default(keep('chosen'))})[1] AS pred FROM (
         SELECT s.model, s.strategy, s.ex_id, CASE WHEN len(s.root_cause) > 0 THEN s.root_cause ELSE e.codes END AS chosen
@@ -333,7 +358,8 @@ ORACLES: dict[str, str] = {
     "p19_prune_columns": f"SELECT {INSTRUCTION} AS prompt, {ANSWER} AS completion FROM {EXAMPLES}",
     "p20_rounding": f"""SELECT o_orderkey, part, whole, {share('part', 'whole')} AS share FROM (SELECT o_orderkey, o_orderkey % 33 AS part,
         CASE WHEN o_custkey % 2 = 0 THEN 32 ELSE o_custkey % 100 END AS whole FROM orders)""",
-    "p21_progress_log": """SELECT split, 'progress' AS kind, position, CAST(1300 AS BIGINT) AS total, written, skipped, CAST(NULL AS INTEGER) AS attempts,
+    "p21_progress_log": """SELECT split, 'progress' AS kind, position, (SELECT count(*) FROM checked k WHERE k.split = counters.split) AS total,
+        written, skipped, CAST(NULL AS INTEGER) AS attempts,
         CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS target FROM counters
         UNION ALL SELECT split, 'failed', NULL, NULL, NULL, NULL, 3, label, reason, NULL FROM checked WHERE reason IS NOT NULL
         UNION ALL SELECT split, 'done', NULL, NULL, count(*) FILTER (reason IS NULL), count(*) FILTER (reason IS NOT NULL), NULL, NULL, NULL,
@@ -346,28 +372,32 @@ ORACLES: dict[str, str] = {
         CAST(sum(cents) AS DOUBLE) / 100 AS cost_usd FROM costs GROUP BY instance""",
     "p23_generation_prompts": f"SELECT ex_id, label, {GENERATION} AS prompt FROM (SELECT doc_id AS ex_id, {at('doc_id')} AS label FROM documents)",
     "j1_align_by_id": "SELECT model, strategy, ex_id, gold, pred FROM pairs",
+    "j1_unpaired": "SELECT model, strategy, count(*) AS n_rows, count(*) FILTER (ex_id % 7 = 3) AS n_unpaired FROM preds GROUP BY ALL",
     "j1_align_by_position": """SELECT p.model, p.strategy, p.pred_ord, g.gold_ord, g.gold_pos, g.gold, p.pred FROM (
           SELECT model, strategy, codes[1] AS pred, row_number() OVER (PARTITION BY model, strategy ORDER BY ex_id) - 1 AS pred_ord,
             (SELECT count(*) FROM documents) - count(*) OVER (PARTITION BY model, strategy) AS shift FROM ext) p
         JOIN (SELECT ex_id AS gold_pos, gold, row_number() OVER (ORDER BY ex_id) - 1 AS gold_ord FROM gold) g ON g.gold_ord = p.pred_ord + p.shift""",
+    "j1_align_files": """SELECT p.model, p.strategy, p.pred_ord, g.gold_ord, g.gold, p.pred FROM (
+          SELECT model, strategy, codes[1] AS pred, row_number() OVER (PARTITION BY model, strategy ORDER BY ex_id) - 1 AS pred_ord,
+            (SELECT count(*) FROM documents) - count(*) OVER (PARTITION BY model, strategy) AS shift FROM ext) p
+        JOIN (SELECT gold, row_number() OVER (ORDER BY ex_id) - 1 AS gold_ord FROM gold) g ON g.gold_ord = p.pred_ord + p.shift""",
     "j2_few_shot_split": "SELECT ex_id, gold, row_number() OVER (ORDER BY ex_id) <= 5 AS is_shot FROM gold",
     "j3_attach_shots": """SELECT conv_id, turn, CAST(5 AS INTEGER) AS n_shots, (SELECT log FROM shots ORDER BY item_id LIMIT 1) AS first_log,
         (SELECT string_agg(code, '|' ORDER BY item_id) FROM shots) AS shot_codes FROM conversations""",
     "j4_display_names": f"SELECT model, strategy, {NAME_OF['model_name']} AS model_name, {NAME_OF['kind']} AS kind, f1 FROM scored",
     "j5_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "j6_label_grid": f"""SELECT r.model, r.strategy, label_ord, l.label, tp, pp, f1, "precision", recall, coalesce(n, 0) AS n
-        FROM (SELECT DISTINCT model, strategy FROM classes WHERE n > tp) r CROSS JOIN {LABEL_ROWS}
-        LEFT JOIN (SELECT * FROM classes WHERE n > tp) c ON c.model = r.model AND c.strategy = r.strategy AND c.label = l.label""",
-    "j6_label_grid_present": f"""SELECT model, strategy, label, tp, pp, n, f1, "precision", recall, label_ord FROM classes JOIN {LABEL_ROWS} USING (label)
-        WHERE n > tp""",
+        FROM (SELECT model, strategy FROM scored UNION ALL SELECT 'm9', 'unscored') r CROSS JOIN {LABEL_ROWS}
+        LEFT JOIN classes c ON c.model = r.model AND c.strategy = r.strategy AND c.label = l.label""",
+    "j6_label_grid_present": f"""SELECT model, strategy, label, tp, pp, n, f1, "precision", recall, label_ord FROM classes JOIN {LABEL_ROWS} USING (label)""",
     "j7_highlighted_classes": """SELECT model, strategy, label, tp, pp, n, f1, "precision", recall FROM classes
         WHERE (model, strategy) IN (('m0', 'slm'), ('m1', 'five_shot'), ('m2', 'five_shot_cot'))""",
     "j8_baseline_delta": f"""SELECT r.model, r.strategy, r.f1, b.f1 AS baseline_f1, r."precision", b."precision" AS baseline_precision,
         {points('r.f1', 'b.f1')} AS f1_change, {points('r."precision"', 'b."precision"')} AS precision_change
-        FROM scored r JOIN scored b USING (model) WHERE r.strategy <> 'zero_shot' AND b.strategy = 'zero_shot'""",
+        FROM scored r LEFT JOIN (SELECT * FROM scored WHERE strategy = 'zero_shot') b USING (model)""",
     "j8_class_delta": f"""SELECT r.model, r.label, r.strategy, r.f1, b.f1 AS baseline_f1, r.recall, b.recall AS baseline_recall,
         {points('r.f1', 'b.f1')} AS f1_change, {points('r.recall', 'b.recall')} AS recall_change
-        FROM classes r JOIN classes b USING (model, label) WHERE r.strategy <> 'zero_shot' AND b.strategy = 'zero_shot'""",
+        FROM classes r LEFT JOIN (SELECT * FROM classes WHERE strategy = 'zero_shot') b USING (model, label)""",
     "j9_curated_subset": "SELECT * FROM best",
     "a1_overall_scores": 'SELECT model, strategy, f1, "precision", recall, n FROM scored',
     "a2_exact_match": "SELECT model, strategy, exact_match, n_correct, n FROM scored",
@@ -378,16 +408,21 @@ ORACLES: dict[str, str] = {
         "length", "rule",
     ),
     "a4_confusion_matrix": "SELECT model, strategy, gold, pred, n FROM cells",
-    "a5_averages": """SELECT model, strategy, count(*) AS n_classes, round(avg(f), 4) AS macro_f1, round(sum(f * n) / sum(n), 4) AS weighted_f1,
-        round(avg(p), 4) AS macro_precision, round(sum(p * n) / sum(n), 4) AS weighted_precision, round(avg(r), 4) AS macro_recall,
-        round(sum(r * n) / sum(n), 4) AS weighted_recall FROM (SELECT model, strategy, n, 2 * tp / (pp + n) AS f,
+    "a5_averages": """SELECT model, strategy, count(*) AS n_classes, round_even(avg(f), 4) AS macro_f1, round_even(sum(f * n) / sum(n), 4) AS weighted_f1,
+        round_even(avg(p), 4) AS macro_precision, round_even(sum(p * n) / sum(n), 4) AS weighted_precision, round_even(avg(r), 4) AS macro_recall,
+        round_even(sum(r * n) / sum(n), 4) AS weighted_recall FROM (SELECT model, strategy, n, 2 * tp / (pp + n) AS f,
           CASE WHEN pp = 0 THEN 0 ELSE tp / pp END AS p, tp / n AS r FROM counts) GROUP BY ALL""",
     "a6_class_distribution": "SELECT gold, count(*) AS n FROM gold GROUP BY gold",
     "a6_embedding_labels": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "a7_predicted_labels": "SELECT model, strategy, codes[1] AS pred, count(*) AS n FROM ext GROUP BY ALL",
-    "a7_collapse_report": f"""SELECT model, strategy, n, n_default, n_empty, n_labels, {share('n_default', 'n')} AS default_share FROM (
-        SELECT model, strategy, count(*) AS n, count(*) FILTER (pred = 'normal') AS n_default, count(*) FILTER (output = '') AS n_empty,
-        count(DISTINCT pred) AS n_labels FROM pairs GROUP BY ALL)""",
+    "a7_collapse_report": f"""SELECT *, {share('n_default', 'n')} AS default_share FROM (SELECT model, strategy, count(*) AS n,
+        count(*) FILTER (codes[1] = 'normal') AS n_default, count(*) FILTER (output = '') AS n_empty, CAST(0 AS BIGINT) AS n_defaulted,
+        count(DISTINCT codes[1]) AS n_labels FROM ext GROUP BY ALL)""",
+    "a7_defaulted_answers": f"""SELECT *, {share('n_default', 'n')} AS default_share FROM (SELECT lang, count(*) AS n,
+        count(*) FILTER (len(text) % 5 = 0 OR len(text) % 3 = 0) AS n_default, count(*) FILTER (len(text) % 5 <> 0 AND len(text) % 3 = 0) AS n_empty,
+        count(*) FILTER (len(text) % 5 = 0) AS n_defaulted,
+        count(DISTINCT CASE WHEN len(text) % 5 = 0 OR len(text) % 3 = 0 THEN 'normal' ELSE 'congestion' END) AS n_labels
+        FROM documents GROUP BY lang)""",
     "a7_code_kinds": f"""SELECT lang, CASE WHEN list_contains({lits(SIGNALLING.noise)}, upper({strip('code')})) THEN 'noise'
         WHEN list_contains({lits(SIGNALLING.labels)}, lower({strip('code')})) THEN 'label' ELSE 'unknown' END AS kind, count(*) AS n
         FROM (SELECT lang, unnest([upper(source), {at('doc_id')}, CASE WHEN doc_id % 3 = 0 THEN ' Harq_Nack' ELSE 'timer_expiry' END]) AS code
@@ -410,8 +445,11 @@ ORACLES: dict[str, str] = {
         FROM scored s JOIN (SELECT model, strategy, CAST(sum(n) AS BIGINT) AS n_sum, sum(tp) / sum(n) AS recall FROM counts GROUP BY ALL) c
         USING (model, strategy)""",
     "a14_scenario_matrix": "SELECT label, "
-    + ", ".join(f"max(f1) FILTER (model = '{m}' AND strategy = '{s}') AS \"{m}/{s}\"" for _, m, s, _, _ in fx.RUNS)
-    + " FROM classes GROUP BY label",
+    + ", ".join(
+        f"max({c}) FILTER (model = '{m}' AND strategy = '{s}') AS \"{m}/{s}_{c}\"" for _, m, s, _, _ in fx.RUNS for c in ("f1", "status")
+    )
+    + """, count(*) FILTER (f1 = 1) AS n_perfect FROM (SELECT *, CASE WHEN f1 = 1 THEN 'PERFECT' WHEN tp = 0 AND pp > 0 THEN 'ALL FP'
+        WHEN f1 < 0.6 THEN 'NEAR FAIL' ELSE '' END AS status FROM classes) GROUP BY label""",
     "w1_rank_runs": """SELECT CAST(row_number() OVER (ORDER BY f1 DESC, store_ord) AS INTEGER) AS rank, model, strategy, f1, n, n_correct FROM scored""",
     "w2_best_run": "SELECT model, strategy, f1, true AS is_best FROM scored ORDER BY f1 DESC, store_ord LIMIT 1",
     "w3_best_per_model": "SELECT model, strategy, f1, n FROM best",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..functions.vocab import SIGNALLING
 from ..operators import align, codes, leaderboard, metrics, predict, prompts, runlogs, schedule, sequence, validate
 from ..sources import jsonl, results_store
 from ..sources import runlogs as logs
-from ..sources.workspace import fresh_path, spread, stage
+from ..sources.workspace import fresh_path, stage
 from ..streaming import jobs
 from . import fixtures as fx
 
@@ -41,8 +42,8 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, ex_id, gold, pred, output): only ids and labels take part in the join, apart from the short answer."""
-    preds = extracted(spark, sf_dir).select(*KEY, "output", F.element_at("codes", 1).alias("pred"))
+    """(run, ex_id, gold, pred): only ids and labels take part in the join."""
+    preds = extracted(spark, sf_dir).select(*KEY, F.element_at("codes", 1).alias("pred"))
     return align.align_by_id(fx.gold_labels(spark, sf_dir), preds)
 
 
@@ -149,10 +150,9 @@ def s5_training_log_lines(spark, sf_dir):
 
 @query
 def s6_rows_per_run(spark, sf_dir):
-    """Row counts of every run against the size of the gold set."""
-    expected = fx.gold_labels(spark, sf_dir).agg(F.count("*")).scalar()
-    counts = jsonl.rows_per_run(fx.predictions(spark, sf_dir), RUN, 0)
-    return counts.withColumn("n_expected", expected).withColumn("complete", F.col("n_rows") == F.col("n_expected"))
+    """Row counts of every run against the size of the gold set, without the examples shown to the model."""
+    gold = fx.gold_labels(spark, sf_dir).agg(F.count("*")).scalar()
+    return jsonl.rows_per_run(fx.predictions(spark, sf_dir), RUN, gold - align.shots_in(F.col("strategy")))
 
 
 @query
@@ -164,11 +164,14 @@ def s7_latest_artifact(spark, sf_dir):
 
 @query
 def k1_write_examples(spark, sf_dir):
-    """Valid generated records written as JSON lines and read back."""
+    """Valid generated records written whole as JSON lines and read back, with all their keys and items."""
     path = fresh_path(spark, "examples")
     valid = validate.valid_records(validate.parse_records(fx.generated_texts(spark, sf_dir)))
-    jsonl.write_examples(valid.select("ex_id", "log", "root_cause"), path)
-    return jsonl.read_examples(spark, path, "ex_id BIGINT").select("ex_id", "log", joined("root_cause").alias("codes"))
+    jsonl.write_records(valid, path)
+    part = lambda key: F.to_json(F.try_variant_get("record", f"$.{key}", "variant"))
+    return jsonl.read_records(spark, path).select(
+        "log", joined("root_cause").alias("codes"), part("root_cause").alias("items"), part("extra").alias("extra")
+    )
 
 
 @query
@@ -194,6 +197,26 @@ def k3_upsert_store(spark, sf_dir):
     return results_store.overall_rows(results_store.read_store(spark, path))
 
 
+@query
+def k3_first_run(spark, sf_dir):
+    """The first runs go into a store that is not there yet."""
+    path = fresh_path(spark, "store")
+    results_store.upsert_store(spark, results(spark, sf_dir).filter("store_ord IN (2, 4)"), path)
+    return results_store.overall_rows(results_store.read_store(spark, path))
+
+
+@query
+def k3_repeated_key(spark, sf_dir):
+    """A run that comes twice in one call, and again in a second call: its last row stays."""
+    path = fresh_path(spark, "store")
+    runs = stage(results(spark, sf_dir), "runs")
+    better = F.col("metrics").withField("f1", F.lit(2.0))
+    twice = runs.withColumn("metrics", better).unionByName(runs.withColumn("store_ord", F.col("store_ord") + 10))
+    results_store.upsert_store(spark, twice, path)
+    results_store.upsert_store(spark, runs.filter("store_ord = 3"), path)
+    return results_store.overall_rows(results_store.read_store(spark, path))
+
+
 @query
 def k4_read_one_run(spark, sf_dir):
     """One run of partitioned predictions: only its folder is read."""
@@ -218,6 +241,14 @@ def k5_report_classes(spark, sf_dir):
     return grid.select(*RUN, "label_ord", "label", *shown, "n", F.coalesce(F.col("f1") == 1.0, F.lit(False)).alias("perfect"))
 
 
+@query
+def s7_required_artifacts(spark, sf_dir):
+    """The newest usable output folder of every base model; a model without one would be an error."""
+    listing = fx.artifact_listing(spark, sf_dir)
+    wanted = listing.select("slug").distinct()
+    return runlogs.require_artifacts(wanted, runlogs.latest_artifacts(listing, usable=F.col("status") != "F"))
+
+
 # --- text and labels ----------------------------------------------------------------------------
 
 
@@ -317,11 +348,31 @@ def p10_extract_cascade(spark, sf_dir):
 @query
 def p10_extract_language(spark, sf_dir):
     """The cascade with another vocabulary over whole documents."""
-    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labelled = L.extract_labels(docs, "text", fx.LANGUAGES, "codes", decided_by="step")
     return labelled.select("doc_id", "lang", joined("codes").alias("codes"), "step")
 
 
+@query
+def p10_long_answers(spark, sf_dir):
+    """The cascade on whole documents: the answer forms before, behind and around the text, in and out of reasoning blocks."""
+    text, label, form, lit = F.col("text"), fx.label_at("doc_id"), F.col("doc_id") % 8, F.lit
+    listed = F.concat(lit('["'), label, lit('"]'))
+    prose = fx.label_at("doc_id", fx.PHRASES)
+    output = (
+        F.when(form == 0, F.concat(text, lit("\n"), listed))
+        .when(form == 1, F.concat(listed, lit("\n"), text))
+        .when(form == 2, F.concat(lit("<think>"), text, lit("</think>"), listed))
+        .when(form == 3, F.concat(lit("<think>"), listed, text))
+        .when(form == 4, F.concat(text, lit(" so the cause is "), label, lit(".")))
+        .when(form == 5, F.concat(text, lit("\n"), prose, lit("\n"), text))
+        .when(form == 6, F.concat(lit("<think>"), prose, lit("</think>"), text))
+        .otherwise(F.concat(lit("[AMF] "), text, lit(" ["), text, lit("] "), prose))
+    )
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", output.alias("output"))
+    return L.extract_labels(docs, out="codes", decided_by="step").select("doc_id", joined("codes").alias("codes"), "step")
+
+
 @query
 def p11_choose_prediction(spark, sf_dir):
     chosen = L.choose_prediction(fx.stored_predictions(spark, sf_dir))
@@ -412,11 +463,14 @@ def p20_rounding(spark, sf_dir):
 
 
 def progress_lines(spark, sf_dir) -> DataFrame:
-    """The log of a generation run: counters, failures and the closing line of each split."""
+    """The log of a generation run: counters, failures and the closing line of each split. The texts are parsed once."""
     parsed = validate.parse_records(fx.generated_texts(spark, sf_dir)).select("split", "ex_id", "label", "reason")
+    parsed = stage(parsed, "parsed")
     n = F.lit
-    counters = runlogs.progress_counters(parsed, ["ex_id"], ["split"]).select(
-        "split", F.concat(n("  Progress: "), "position", n("/1300 | written="), "written", n(" skipped="), "skipped").alias("value")
+    sizes = validate.written_and_skipped(parsed, ["split"]).select("split", (F.col("written") + F.col("skipped")).alias("total"))
+    counters = runlogs.progress_counters(parsed, ["ex_id"], ["split"]).join(sizes, "split").select(
+        "split",
+        F.concat(n("  Progress: "), "position", n("/"), "total", n(" | written="), "written", n(" skipped="), "skipped").alias("value"),
     )
     failed = validate.quarantined(parsed).select(
         "split", F.concat(n("  [WARN] Failed after 3 attempts for "), "label", n(": "), "reason").alias("value")
@@ -431,7 +485,10 @@ def progress_lines(spark, sf_dir) -> DataFrame:
 
 @query
 def p21_progress_log(spark, sf_dir):
-    return runlogs.parse_progress(progress_lines(spark, sf_dir))
+    """The log files of a generation run, one folder per split, as text."""
+    path = fresh_path(spark, "progress")
+    logs.write_run_logs(progress_lines(spark, sf_dir).withColumnRenamed("split", "run_id"), path)
+    return runlogs.parse_progress(logs.read_run_logs(spark, path)).withColumnRenamed("run_id", "split")
 
 
 @query
@@ -474,6 +531,13 @@ def j1_align_by_id(spark, sf_dir):
     return paired(spark, sf_dir).select(*KEY, "gold", "pred")
 
 
+@query
+def j1_unpaired(spark, sf_dir):
+    """Predictions of every run that no gold row covers."""
+    gold = fx.gold_labels(spark, sf_dir).filter("ex_id % 7 <> 3")
+    return align.unpaired(gold, fx.predictions(spark, sf_dir), RUN)
+
+
 @query
 def j1_align_by_position(spark, sf_dir):
     """Predictions without ids: the k-th prediction of a short run belongs to a later gold row."""
@@ -483,6 +547,23 @@ def j1_align_by_position(spark, sf_dir):
     return aligned.select(*RUN, "pred_ord", "gold_ord", "gold_pos", "gold", "pred")
 
 
+@query
+def j1_align_files(spark, sf_dir):
+    """The same from files without ids, end to end: gold and predictions are numbered by their place in the files."""
+    gold_path, path = fresh_path(spark, "gold"), fresh_path(spark, "predictions")
+    record = F.to_json(F.struct(F.lit("log").alias("log"), F.array("gold").alias("root_cause")))
+    fx.gold_labels(spark, sf_dir).orderBy("ex_id").select(record.alias("value")).write.text(gold_path)
+    answers = fx.predictions(spark, sf_dir).orderBy(*KEY).select(*RUN, F.to_json(F.struct("output")).alias("value"))
+    answers.write.partitionBy(*RUN).text(path)
+
+    lines = jsonl.read_lines_in_order(spark, gold_path)
+    gold = lines.select("file", "block", "line", F.from_json("value", jsonl.EXAMPLES)["root_cause"][0].alias("gold"))
+    read = jsonl.read_lines_in_order(spark, path, "model STRING, strategy STRING")
+    read = read.select(*RUN, "file", "block", "line", F.from_json("value", jsonl.PREDICTIONS)["output"].alias("output"))
+    preds = L.extract_labels(read, out="codes").select(*RUN, "file", "block", "line", F.element_at("codes", 1).alias("pred"))
+    return align.align_in_file_order(gold, preds, RUN).select(*RUN, "pred_ord", "gold_ord", "gold", "pred")
+
+
 @query
 def j2_few_shot_split(spark, sf_dir):
     shots, rest = align.split_shots(fx.gold_labels(spark, sf_dir), 5, ["ex_id"])
@@ -519,16 +600,15 @@ def j5_anti_join(spark, sf_dir):
 
 @query
 def j6_label_grid(spark, sf_dir):
-    """All labels of every run in fixed order, with n = 0 for labels without gold rows."""
-    rare = classes(spark, sf_dir).filter("n > tp")
-    return leaderboard.label_grid(rare, SIGNALLING.labels)
+    """All labels of every run in fixed order, n = 0 for labels without gold rows; one run has no class row at all."""
+    runs = scored(spark, sf_dir).select(*RUN).union(spark.createDataFrame([("m9", "unscored")], "model STRING, strategy STRING"))
+    return leaderboard.label_grid(classes(spark, sf_dir), SIGNALLING.labels, runs=runs)
 
 
 @query
 def j6_label_grid_present(spark, sf_dir):
     """The same without the missing labels."""
-    rare = classes(spark, sf_dir).filter("n > tp")
-    return leaderboard.label_grid(rare, SIGNALLING.labels, keep_missing=False)
+    return leaderboard.label_grid(classes(spark, sf_dir), SIGNALLING.labels, keep_missing=False)
 
 
 @query
@@ -579,7 +659,7 @@ def a3_per_class(spark, sf_dir):
 def a3_language_scores(spark, sf_dir):
     """Per-class scores of phrase matching on real documents."""
     vocab = fx.LANGUAGES
-    docs = spread(fx.table(spark, sf_dir, "documents").select("lang", "text"))
+    docs = fx.table(spark, sf_dir, "documents").select("lang", "text")
     labelled = L.extract_labels(docs, "text", vocab, "codes").select(
         F.lit("phrases").alias("model"), F.lit("whole_text").alias("strategy"),
         F.concat(F.lit("language_"), "lang").alias("gold"), F.element_at("codes", 1).alias("pred"),
@@ -629,7 +709,32 @@ def a7_predicted_labels(spark, sf_dir):
 
 @query
 def a7_collapse_report(spark, sf_dir):
-    return metrics.prediction_health(paired(spark, sf_dir))
+    preds = extracted(spark, sf_dir).select(
+        *RUN, F.element_at("codes", 1).alias("pred"), (F.col("output") == "").alias("empty"), F.lit(False).alias("defaulted")
+    )
+    return metrics.prediction_health(preds)
+
+
+def moody_predictor():
+    """Fails for prompts whose length is a multiple of five, and answers with the default for every third."""
+
+    def predict_one(prompts_: list[str]) -> list[str]:
+        if any(len(p) % 5 == 0 for p in prompts_):
+            raise ValueError("no answer")
+        return ["" if len(p) % 3 == 0 else '["congestion"]' for p in prompts_]
+
+    return predict_one
+
+
+@query
+def a7_defaulted_answers(spark, sf_dir):
+    """Failed calls of a predictor, by language: they are answered with the default and counted apart."""
+    docs = fx.table(spark, sf_dir, "documents").select("lang", F.col("text").alias("prompt"))
+    answered = predict.predict_batches(docs, moody_predictor, batch_size=1).select(
+        "lang", "output", "defaulted", (F.col("output") == "").alias("empty")
+    )
+    labelled = L.extract_labels(answered, out="codes").select("lang", "empty", "defaulted", F.element_at("codes", 1).alias("pred"))
+    return metrics.prediction_health(labelled, ["lang"])
 
 
 @query
@@ -685,7 +790,8 @@ def a13_run_invariants(spark, sf_dir):
 
 @query
 def a14_scenario_matrix(spark, sf_dir):
-    return leaderboard.scenario_matrix(classes(spark, sf_dir), [(m, s) for _, m, s, _, _ in fx.RUNS])
+    rows = metrics.class_status(classes(spark, sf_dir), 0.6)
+    return leaderboard.scenario_matrix(rows, [(m, s) for _, m, s, _, _ in fx.RUNS])
 
 
 # --- ranking, windows, sequences ----------------------------------------------------------------
@@ -771,9 +877,9 @@ def u2_dropped_runs(spark, sf_dir):
 def f1_predict_batches(spark, sf_dir):
     """Phrase rules as a stand-in for a model: predict in batches, then extract labels from the answers."""
     vocab = fx.LANGUAGES
-    predictor = predict.phrase_predictor(list(vocab.synonyms), vocab.default)
-    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt")))
-    answered = predict.predict_batches(docs, predictor, batch_size=64, default_answer=f'["{vocab.default}"]')
+    make = partial(predict.phrase_predictor, list(vocab.synonyms), vocab.default)
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    answered = predict.predict_batches(docs, make, batch_size=64, default_answer=f'["{vocab.default}"]')
     labelled = L.extract_labels(answered.drop("prompt"), "output", vocab, "codes")
     return labelled.select("doc_id", "output", "defaulted", joined("codes").alias("codes"))
 
@@ -790,13 +896,15 @@ def t1_follow_training(spark, sf_dir):
 
 @query
 def t2_incremental_scores(spark, sf_dir):
-    """Predictions scored as they arrive, then taken from the counts of all batches."""
-    arriving, counts, state = (fresh_path(spark, n) for n in ("arriving", "cells", "state"))
-    fx.predictions(spark, sf_dir).select(*KEY, "output").write.partitionBy("model", "strategy").parquet(arriving)
+    """Predictions scored as they arrive; every batch puts the runs it saw into the results store."""
+    arriving, counts, state, store = (fresh_path(spark, n) for n in ("arriving", "cells", "state", "store"))
+    arrived = fx.predictions(spark, sf_dir).select(*KEY, "output").hint("rebalance", "model", "strategy")
+    arrived.write.partitionBy("model", "strategy").parquet(arriving)
     schema = "ex_id BIGINT, output STRING, model STRING, strategy STRING"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(arriving)
-    jobs.score_increments(stream, fx.gold_labels(spark, sf_dir), counts, state, available_now=True).awaitTermination()
-    return results_store.overall_rows(jobs.scored_runs(spark, counts).withColumn("store_ord", run_order()))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(arriving)
+    gold = fx.gold_labels(spark, sf_dir)
+    jobs.score_increments(stream, gold, counts, state, store, available_now=True).awaitTermination()
+    return results_store.overall_rows(results_store.read_store(spark, store).withColumn("store_ord", run_order()))
 
 
 @query

@@ -35,10 +35,15 @@ def read_predictions(spark: SparkSession, path: str | list[str], extra: str = ""
     return read_jsonl(spark, path, ", ".join(x for x in (extra, PREDICTIONS) if x), lenient)
 
 
-def read_lines_in_order(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Non-blank lines with columns that sort in file order: ``file``, ``block`` and ``line``."""
-    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
+def read_lines_in_order(spark: SparkSession, path: str | list[str], folders: str = "") -> DataFrame:
+    """Non-blank lines with columns that sort in file order: ``file``, ``block`` and ``line``.
+
+    ``folders`` declares the columns in folder names, such as ``model STRING``.
+    """
+    schema = ", ".join(x for x in ("value STRING", folders) if x)
+    lines = spark.read.schema(schema).text(path).filter(strip(F.col("value")) != "")
     return lines.select(
+        *[c for c in lines.columns if c != "value"],
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -52,19 +57,41 @@ def kept_raw(strategy: Column, raw: Column) -> Column:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """One folder per (model, strategy), so that readers of one run touch only its files."""
-    df.write.partitionBy("model", "strategy").option("ignoreNullFields", "false").json(path)
+    """One folder per (model, strategy), so that readers of one run touch only its files.
+
+    Rows are first brought together by run, a large run in several parts, so that not every task writes to every folder.
+    """
+    df.hint("rebalance", "model", "strategy").write.partitionBy("model", "strategy").option("ignoreNullFields", "false").json(path)
 
 
 def write_examples(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
-def rows_per_run(df: DataFrame, run_keys: list[str], expected: DataFrame | int) -> DataFrame:
-    """Rows of every run against the number it should have."""
+def write_records(records: DataFrame, path: str, record: str = "record") -> None:
+    """Whole JSON records, one per line, with every key and item they came with.
+
+    Line ends inside a JSON record can only stand between its parts, where they mean nothing.
+    """
+    records.select(F.regexp_replace(record, r"[\r\n]+", " ").alias("value")).write.text(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Whole records: ``log``, the texts of ``root_cause``, and everything as the variant ``record``."""
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
+    parsed = lines.select(F.parse_json("value").alias("record"))
+    items = F.try_variant_get("record", "$.root_cause", "array<variant>")
+    texts = F.filter(
+        F.transform(items, lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))), lambda s: s.isNotNull()
+    )
+    return parsed.select(F.try_variant_get("record", "$.log", "string").alias("log"), texts.alias("root_cause"), "record")
+
+
+def rows_per_run(df: DataFrame, run_keys: list[str], expected: DataFrame | Column) -> DataFrame:
+    """Rows of every run against the number it should have, given as a table by run or as an expression over its keys."""
     counts = df.groupBy(*run_keys).agg(F.count("*").alias("n_rows"))
-    if isinstance(expected, int):
-        counts = counts.withColumn("n_expected", F.lit(expected).cast("bigint"))
+    if isinstance(expected, Column):
+        counts = counts.withColumn("n_expected", expected.cast("bigint"))
     else:
         counts = counts.join(expected, run_keys, "full_outer").fillna({"n_rows": 0, "n_expected": 0})
     return counts.withColumn("complete", F.col("n_rows") == F.col("n_expected"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.leaderboard import latest_rows
+from .workspace import exists
+
 SCORES = "f1 DOUBLE, precision DOUBLE, recall DOUBLE"
 RESULTS = (
     f"model STRING, strategy STRING, metrics STRUCT<{SCORES}, exact_match DOUBLE, n BIGINT>, "
@@ -22,9 +25,13 @@ def read_results_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results_json(results: DataFrame, path: str) -> None:
-    """The store as one JSON array in store order; it holds one entry per run."""
+    """Export the store as one JSON array in store order.
+
+    The document is a single value with one entry per run, and is made in one task; the store itself is
+    :func:`write_store`.
+    """
     entry = F.struct(STORE_ORDER, "model", "strategy", "metrics", "per_class")
-    by_order = F.array_sort(F.collect_list(entry), lambda a, b: (a[STORE_ORDER] - b[STORE_ORDER]).cast("int"))
+    by_order = F.array_sort(F.collect_list(entry), lambda a, b: F.signum(a[STORE_ORDER] - b[STORE_ORDER]).cast("int"))
     document = F.transform(by_order, lambda r: r.dropFields(STORE_ORDER))
     results.agg(F.to_json(document).alias("value")).write.text(path)
 
@@ -43,7 +50,7 @@ def class_rows(results: DataFrame) -> DataFrame:
 
 def write_store(results: DataFrame, path: str) -> None:
     """Create a store with one folder per run."""
-    results.write.partitionBy("model", "strategy").parquet(path)
+    results.hint("rebalance", "model", "strategy").write.partitionBy("model", "strategy").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -52,13 +59,14 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_store(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Replace or add runs in place.
+    """Replace or add runs in place; a store that is not there yet is created.
 
-    Only the folders of the given runs are rewritten, so the cost does not depend on
-    the size of the store, and nothing reads the path it overwrites except for the
-    highest store position, which is fixed before the write starts.
+    Of several rows of one run the last one counts. Only the folders of the given runs are rewritten. Nothing reads the
+    path it overwrites except for the highest store position, one number per run, which is fixed before the write starts.
     """
-    last = read_store(spark, path).agg(F.coalesce(F.max(STORE_ORDER), F.lit(-1))).first()[0]
-    placed = new.withColumn(STORE_ORDER, F.lit(last + 1).cast("bigint") + F.col(STORE_ORDER))
-    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    last = -1
+    if exists(spark, path):
+        last = read_store(spark, path).agg(F.coalesce(F.max(STORE_ORDER), F.lit(-1))).first()[0]
+    placed = latest_rows(new).withColumn(STORE_ORDER, F.lit(last + 1).cast("bigint") + F.col(STORE_ORDER))
+    writer = placed.hint("rebalance", "model", "strategy").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("model", "strategy").parquet(path)

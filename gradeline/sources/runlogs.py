@@ -18,4 +18,5 @@ def follow_run_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_run_logs(lines: DataFrame, path: str) -> None:
-    lines.write.partitionBy("run_id").text(path)
+    """One folder per run; a run's lines are first brought together, those of a large run in several parts."""
+    lines.hint("rebalance", "run_id").write.partitionBy("run_id").text(path)

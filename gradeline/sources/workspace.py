@@ -2,31 +2,65 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+_own: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder named by the session; a fresh local one only for local sessions that name none."""
+    """The shared folder named by the session.
+
+    A session on one machine that names none gets a folder of its own; its only executor is the driver's JVM. Any
+    other session has to name a folder that all executors reach.
+    """
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="gradeline-")
-    return _local_folders[app]
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="gradeline-")
+    return _own[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the workspace; nothing is ever written to it twice."""
-    return f"{workspace(spark)}/gradeline/{name}-{uuid.uuid4().hex}"
+    """A new path in the workspace; nothing is ever written to it twice, and it goes when the driver's process ends."""
+    root = f"{workspace(spark)}/gradeline/{spark.sparkContext.applicationId}"
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    context = spark.sparkContext
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        jvm = context._jvm or SparkContext._jvm
+        settings = context._jsc.hadoopConfiguration() if context._jsc else jvm.org.apache.hadoop.conf.Configuration()
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(settings).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -39,13 +73,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share out the rows of an input that has fewer splits than the session has cores.
-
-    Meant for work that multiplies or parses the rows of a small file. Large inputs come
-    in more splits than there are cores and are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,8 @@ from ..functions.labels import extract_labels
 from ..functions.vocab import SIGNALLING, Vocabulary
 from ..operators.metrics import RUN, confusion_matrix, run_results
 from ..operators.runlogs import parse_training
+from ..sources import results_store
+from ..sources.workspace import remove, stage
 
 
 def follow_training(
@@ -42,34 +44,58 @@ def score_increments(
     gold: DataFrame,
     cells: str,
     checkpoint: str,
+    store: str,
     vocab: Vocabulary = SIGNALLING,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Turn arriving predictions (run, ex_id, output) into confusion counts.
+    """Score arriving predictions (run, ex_id, output) and keep the results of all runs in the store.
 
-    Extraction is stateless. Every batch writes its counts to a folder of its own
-    number, so a repeated batch replaces itself and counts stay exact. ``cells`` and
-    ``checkpoint`` belong together: start both anew, or neither.
+    Extraction is stateless. Every batch writes the confusion counts of all batches so far, labels x labels rows a
+    run at most, to a folder of its own number, then scores the runs it saw and puts them into the store; the counts
+    before the last ones are removed. A repeated batch starts from the same counts and replaces what it wrote. Predictions without a
+    gold row are counted with a null gold label and take no part in the scores. ``cells``, ``checkpoint`` and ``store`` belong
+    together: start all anew, or none.
     """
     extracted = extract_labels(predictions, "output", vocab, "codes")
-    labelled = extracted.select(*RUN, "ex_id", F.element_at("codes", 1).alias("pred")).join(gold, "ex_id")
+    labelled = extracted.select(*RUN, "ex_id", F.element_at("codes", 1).alias("pred")).join(gold, "ex_id", "left")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        confusion_matrix(batch).write.mode("overwrite").parquet(f"{cells}/batch={batch_id}")
+        spark = batch.sparkSession
+        new = stage(confusion_matrix(batch), "increment")
+        whole = new if not batch_id else _sum_cells(_read_cells(spark, f"{cells}/batch={batch_id - 1}").unionByName(new))
+        whole.coalesce(1).write.mode("overwrite").parquet(f"{cells}/batch={batch_id}")
+        seen = new.select(*RUN).distinct()
+        scores = scored_runs(spark, cells, vocab, batch_id).join(seen, RUN, "left_semi")
+        order = F.lit(0).cast("bigint")
+        results_store.upsert_store(spark, stage(scores.withColumn(results_store.STORE_ORDER, order), "scores"), store)
+        if batch_id > 1:
+            remove(spark, f"{cells}/batch={batch_id - 2}")
 
     writer = labelled.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
     return _start(writer, available_now)
 
 
-def total_cells(spark: SparkSession, cells: str) -> DataFrame:
-    """The confusion matrix over all batches so far."""
-    schema = "model STRING, strategy STRING, gold STRING, pred STRING, n BIGINT, batch BIGINT"
-    return spark.read.schema(schema).parquet(cells).groupBy(*RUN, "gold", "pred").agg(F.sum("n").alias("n"))
+CELLS = "model STRING, strategy STRING, gold STRING, pred STRING, n BIGINT"
 
 
-def scored_runs(spark: SparkSession, cells: str, vocab: Vocabulary = SIGNALLING) -> DataFrame:
+def _read_cells(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CELLS).parquet(path)
+
+
+def _sum_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(*RUN, "gold", "pred").agg(F.sum("n").alias("n"))
+
+
+def total_cells(spark: SparkSession, cells: str, batch: int | None = None) -> DataFrame:
+    """The confusion matrix over all batches so far; ``gold`` is null for predictions without a gold row."""
+    if batch is None:
+        batch = spark.read.schema(f"{CELLS}, batch BIGINT").parquet(cells).agg(F.max("batch")).first()[0]
+    return _read_cells(spark, f"{cells}/batch={batch}")
+
+
+def scored_runs(spark: SparkSession, cells: str, vocab: Vocabulary = SIGNALLING, batch: int | None = None) -> DataFrame:
     """Results of all runs seen so far, ready for the results store."""
-    return run_results(total_cells(spark, cells), labels=vocab.labels)
+    return run_results(total_cells(spark, cells, batch).filter("gold IS NOT NULL"), labels=vocab.labels)
 
 
 def label_windows(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeline.operators import align, metrics, predict
 from gradeline.plans import fixtures as fx
-from gradeline.sources import jsonl
+from gradeline.sources import jsonl, results_store
 from gradeline.streaming import jobs
 
 
@@ -42,7 +42,7 @@ def test_bad_lines(spark, tmp_path):
 
 def test_rows_per_run(spark):
     preds = spark.createDataFrame([("a",), ("a",), ("b",)], "model STRING")
-    got = {r.model: r.complete for r in jsonl.rows_per_run(preds, ["model"], 2).collect()}
+    got = {r.model: r.complete for r in jsonl.rows_per_run(preds, ["model"], F.lit(2)).collect()}
     assert got == {"a": True, "b": False}
     expected = spark.createDataFrame([("a", 2), ("c", 1)], "model STRING, n_expected BIGINT")
     got = {r.model: (r.n_rows, r.n_expected) for r in jsonl.rows_per_run(preds, ["model"], expected).collect()}
@@ -56,21 +56,42 @@ def test_failed_batches_are_answered_and_marked(spark):
         return [f'["{p}"]' for p in prompts]
 
     df = spark.createDataFrame([(i, "bad" if i == 5 else "ok") for i in range(12)], "i INT, prompt STRING").coalesce(1)
-    got = {r.i: (r.output, r.defaulted) for r in predict.predict_batches(df, predictor, batch_size=4).collect()}
+    got = {r.i: (r.output, r.defaulted) for r in predict.predict_batches(df, lambda: predictor, batch_size=4).collect()}
     assert all(got[i] == ('["normal"]', True) for i in range(4, 8))
     assert all(got[i] == ('["ok"]', False) for i in (0, 1, 2, 3, 8, 9, 10, 11))
 
 
+def test_a_task_without_a_single_answer_is_an_error(spark):
+    def broken(prompts):
+        raise TypeError("a slip in the code")
+
+    df = spark.createDataFrame([(i, "ok") for i in range(12)], "i INT, prompt STRING").coalesce(1)
+    with pytest.raises(Exception, match="every batch of the task failed"):
+        predict.predict_batches(df, lambda: broken, batch_size=4).collect()
+
+
+def test_unpaired_predictions_are_counted_or_an_error(spark):
+    gold = spark.createDataFrame([(1, "a"), (2, "b")], "ex_id INT, gold STRING")
+    preds = spark.createDataFrame([("m", 1, "a"), ("m", 3, "b"), ("n", 2, "b")], "model STRING, ex_id INT, pred STRING")
+    assert {r.model: (r.n_rows, r.n_unpaired) for r in align.unpaired(gold, preds, ["model"]).collect()} == {"m": (2, 1), "n": (1, 0)}
+    assert align.align_by_id(gold, preds).count() == 2
+    with pytest.raises(Exception, match="no gold row for 3"):
+        align.align_by_id(gold, preds, strict=True).collect()
+
+
 def test_scores_grow_with_arriving_files(spark, sf_dir, tmp_path):
     arriving, cells, state = (str(tmp_path / n) for n in ("arriving", "cells", "state"))
+    kept = str(tmp_path / "store")
     preds = fx.predictions(spark, sf_dir).select("model", "strategy", "ex_id", "output")
     gold = fx.gold_labels(spark, sf_dir)
     schema = "model STRING, strategy STRING, ex_id BIGINT, output STRING"
 
     def run():
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(arriving)
-        jobs.score_increments(stream, gold, cells, state, available_now=True).awaitTermination()
-        return {(r.model, r.strategy): (r.metrics.n, r.metrics.f1) for r in jobs.scored_runs(spark, cells).collect()}
+        jobs.score_increments(stream, gold, cells, state, kept, available_now=True).awaitTermination()
+        stored = {(r.model, r.strategy): (r.metrics.n, r.metrics.f1) for r in results_store.read_store(spark, kept).collect()}
+        assert stored == {(r.model, r.strategy): (r.metrics.n, r.metrics.f1) for r in jobs.scored_runs(spark, cells).collect()}
+        return stored
 
     preds.filter("ex_id < 100").repartition(3).write.parquet(arriving)
     first = run()
@@ -79,6 +100,10 @@ def test_scores_grow_with_arriving_files(spark, sf_dir, tmp_path):
     assert first["m0", "slm"][0] == 100 and second["m0", "slm"] == (200, 0.955)
     assert second["m2", "five_shot_cot"] == (195, 0.6974)
     assert run() == second
+    preds.filter("ex_id < 2").withColumn("ex_id", F.col("ex_id") + 9000).write.mode("append").parquet(arriving)
+    assert run() == second
+    assert jobs.total_cells(spark, cells).filter("gold IS NULL").agg(F.sum("n")).first()[0] == 8
+    assert len(list((tmp_path / "cells").glob("batch=*"))) <= 2
 
 
 def test_windows_close_with_the_watermark(spark, tmp_path):
@@ -94,5 +119,5 @@ def test_windows_close_with_the_watermark(spark, tmp_path):
 def test_collapsed_run_is_visible(spark):
     rows = [("m", "s", "normal", "")] * 9 + [("m", "s", "congestion", "x")]
     df = spark.createDataFrame(rows, "model STRING, strategy STRING, pred STRING, output STRING")
-    row = metrics.prediction_health(df).first()
-    assert (row.n_default, row.n_empty, row.n_labels, row.default_share) == (9, 9, 2, 0.9)
+    row = metrics.prediction_health(df.selectExpr("*", "output = '' AS empty", "output = 'x' AS defaulted")).first()
+    assert (row.n_default, row.n_empty, row.n_defaulted, row.n_labels, row.default_share) == (9, 9, 1, 2, 0.9)

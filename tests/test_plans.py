@@ -6,7 +6,7 @@ import pytest
 
 from gradeline.plans import registry
 
-PYTHON_ALLOWED = {"f1_predict_batches"}
+PYTHON_ALLOWED = {"f1_predict_batches", "a7_defaulted_answers"}
 # The leaderboard has one row per run; a ranking of it is the only single-partition step.
 RANKED = {"w1_rank_runs", "w2_best_run", "k5_report_summary"}
 ROW_QUERIES = [n for n in registry.QUERIES if n[0] in "pajuw" and not n.startswith(("p21_progress", "w4", "w5", "w6", "w7", "w9"))]
@@ -37,6 +37,18 @@ def test_scores_shuffle_prediction_rows_once(spark, sf_dir):
     assert "ReusedExchange" in final
 
 
+def test_answers_stay_where_they_are(spark, sf_dir):
+    """No exchange of the collapse report or of the paired labels holds an answer."""
+    for df in (registry.QUERIES["a7_collapse_report"](spark, sf_dir), registry.paired(spark, sf_dir)):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not [line for line in lines if "Exchange" in line and "output#" in line]
+
+
+def test_no_size_switch_is_left(spark, sf_dir):
+    """The join of predictions and gold carries no hint: the planner chooses by bytes."""
+    assert "hint" not in registry.paired(spark, sf_dir)._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_only_needed_columns_are_read(spark, sf_dir):
     plan = registry.QUERIES["a4_confusion_matrix"](spark, sf_dir)._jdf.queryExecution().toString()
     assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)) == {"struct<doc_id:bigint>"}

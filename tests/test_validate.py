@@ -1,5 +1,8 @@
+import json
+
 from gradeline.functions.vocab import SIGNALLING
 from gradeline.operators import validate as V
+from gradeline.sources import jsonl
 
 CASES = [
     ('{"log": "x", "root_cause": ["congestion"]}', None, "x", ["congestion"]),
@@ -18,6 +21,11 @@ CASES = [
     ('{"log": "x", "root_cause": ["a"]}] tail', "not a JSON object", None, None),
     ('{"log": "x", "root_cause": ["a"]}, {"log": "y"}', "not a JSON object", None, None),
     ('{"log": "x", "root_cause": ["a"]},{"root_cause": "b"}]', "not a JSON object", None, None),
+    ('{"log": "x", "root_cause": ["a",]}', "not a JSON object", None, None),
+    ('{"log": "x", "root_cause": ["a" 1]}', "not a JSON object", None, None),
+    ('{"log": "x", "root_cause": ["a"], "log": [1 2]}', "not a JSON object", None, None),
+    ('{"log": "x", "root_cause": ["a"], "more": {"k": }}', "not a JSON object", None, None),
+    ('{"log": "x", "root_cause": ["a", 1, null], "more": 2}', None, "x", ["a"]),
     ("['log', 'root_cause']", "not a JSON object", None, None),
     ('["log", "root_cause"]', "not a JSON object", None, None),
     ('"log root_cause"', "not a JSON object", None, None),
@@ -44,3 +52,20 @@ def test_label_rule_and_counts(spark):
     ]
     assert [tuple(r) for r in V.written_and_skipped(parsed, []).collect()] == [(1, 2)]
     assert V.valid_records(parsed).count() == 1
+
+
+def test_whole_records_survive(spark, tmp_path):
+    text = '{"log": "x\\ny",\n "root_cause": ["a", 1, null],\r\n "more": {"k": [true]}}'
+    parsed = V.parse_records(spark.createDataFrame([(text,), ("junk",)], "generated STRING"))
+    path = str(tmp_path / "records")
+    jsonl.write_records(V.valid_records(parsed), path)
+    (row,) = jsonl.read_records(spark, path).selectExpr("log", "root_cause", "to_json(record) AS record").collect()
+    assert (row.log, row.root_cause) == ("x\ny", ["a"])
+    assert json.loads(row.record) == {"log": "x\ny", "root_cause": ["a", 1, None], "more": {"k": [True]}}
+
+
+def test_records_are_parsed_once(spark):
+    df = spark.createDataFrame([("junk", "a")], "generated STRING, label STRING")
+    parsed = V.parse_records(df)
+    for result in (V.valid_records(parsed), V.quarantine_report(parsed, ["label"]), V.written_and_skipped(parsed, ["label"])):
+        assert result._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
