@@ -75,6 +75,11 @@ def chat_messages(log: Column, turns: Column | None, reasoning: Column) -> Colum
     return F.array(question) if turns is None else F.concat(turns, F.array(question))
 
 
+def hosted_request(messages: Column, system: str = T.HOSTED_SYSTEM) -> Column:
+    """What a hosted model is sent: its standing instruction and the messages of :func:`chat_messages`."""
+    return F.struct(F.array(F.struct(F.lit(system).alias("text"))).alias("system"), messages.alias("messages"))
+
+
 def generation_prompt(label: Column, vocab: Vocabulary = SIGNALLING, scenarios: dict[str, str] = T.SCENARIOS) -> Column:
     """The request for one synthetic example of a label."""
     pairs = F.create_map(*[F.lit(x) for pair in scenarios.items() for x in pair])

@@ -349,6 +349,8 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, 2 * item_id AS pos, 'user' AS role, log AS text FROM turns CROSS JOIN shots
         UNION ALL SELECT conv_id, turn, 2 * item_id + 1, 'assistant', {ANSWER} FROM turns CROSS JOIN shots
         UNION ALL SELECT conv_id, turn, 10, 'user', concat(text, CASE WHEN conv_id % 2 = 0 THEN {text_lit(T.REASONING_SUFFIX)} ELSE '' END) FROM turns)""",
+    "p15_hosted_requests": f"""SELECT conv_id, turn, {text_lit(T.HOSTED_SYSTEM)} AS system, CAST(1 AS INTEGER) AS n_messages,
+        concat(text, CASE WHEN conv_id % 2 = 0 THEN {text_lit(T.REASONING_SUFFIX)} ELSE '' END) AS text FROM turns""",
     "p16_decode_strategy": """SELECT strategy, CASE WHEN strategy LIKE '%five%' THEN 5 ELSE 0 END AS n_shots,
         strategy LIKE '%cot%' AS use_cot, count(*) AS n FROM preds GROUP BY ALL""",
     "p17_slug": f"""SELECT page_id, {SLUG.format('url')} AS slug, left({SLUG.format('url')}, 28) AS slug_28,
@@ -455,6 +457,8 @@ ORACLES: dict[str, str] = {
     "w3_best_per_model": "SELECT model, strategy, f1, n FROM best",
     "w4_running_counters": "SELECT split, position, written, skipped FROM counters",
     "w5_balanced_schedule": f"""SELECT doc_id, pos, {at('pos')} AS label FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)""",
+    "w5_schedule_range": f"""SELECT label, count(*) AS n, min(pos) AS first, max(pos) AS last FROM (
+        SELECT pos, {at('pos')} AS label FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)) GROUP BY label""",
     "w6_seeded_shuffle": f"""SELECT doc_id, {at('doc_id')} AS label, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) - 1 AS place FROM documents""",
     "w7_mini_batches": """SELECT doc_id, lang, ord, ord // 4 AS batch, ord % 4 AS batch_pos
         FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents)""",

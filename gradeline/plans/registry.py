@@ -425,6 +425,18 @@ def p15_chat_messages(spark, sf_dir):
     return rows.select("conv_id", "turn", "pos", "message.role", F.col("message.content")[0]["text"].alias("text"))
 
 
+@query
+def p15_hosted_requests(spark, sf_dir):
+    """The same as requests to a hosted model, without examples, one row per user turn."""
+    turns = fx.table(spark, sf_dir, "conversations").filter("role = 'user'")
+    request = prompts.hosted_request(prompts.chat_messages(F.col("text"), None, F.col("conv_id") % 2 == 0))
+    last = F.element_at("request.messages", -1)
+    return turns.select("conv_id", "turn", request.alias("request")).select(
+        "conv_id", "turn", F.col("request.system")[0]["text"].alias("system"), F.size("request.messages").alias("n_messages"),
+        last["content"][0]["text"].alias("text"),
+    )
+
+
 @query
 def p16_decode_strategy(spark, sf_dir):
     strategy = F.col("strategy")
@@ -825,6 +837,13 @@ def w5_balanced_schedule(spark, sf_dir):
     return places.select("doc_id", "pos", schedule.scheduled_label(F.col("pos")).alias("label"))
 
 
+@query
+def w5_schedule_range(spark, sf_dir):
+    """A schedule as long as the documents table, by label: counts differ by one at most."""
+    places = schedule.balanced_schedule(spark, fx.table(spark, sf_dir, "documents").count())
+    return places.groupBy("label").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
 @query
 def w6_seeded_shuffle(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", fx.label_at("doc_id").alias("label"))
