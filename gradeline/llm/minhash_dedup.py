@@ -63,7 +63,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 SIGNATURE = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())),
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())),
 ])
 SET = pa.schema([("node", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
@@ -77,10 +77,10 @@ def _signer(width: int, n_permutations: int, band_rows: int) -> Callable:
     def make():
         hashes, (a, b) = WordHashes(), permutations(n_permutations)
 
-        def of_row(doc_id, text):
+        def of_row(doc_id, text_key, text):
             values, node = _set_of(hashes, text, width)
             bands = band_keys(min_max(values, a, b), band_rows).tolist() if node else []
-            return doc_id, len(values), node, bands
+            return doc_id, text_key, len(values), node, bands
 
         return of_row
 
@@ -205,9 +205,19 @@ def near_duplicates(
     their own; copies among them are kept or dropped together. Other columns are not read.
     Equal sets, ties and an empty table need no special care.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _with_components(docs, id_col, text_col, width, percent, n_permutations, band_rows)
+    return found.drop("text_key")
+
+
+def _with_components(
+    docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, n_permutations: int, band_rows: int
+) -> DataFrame:
+    """As :func:`near_duplicates`, with a hash of the text that tells rows with the same id apart."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     signed = stage(rows.mapInArrow(
-        _signer(width, n_permutations, band_rows), "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>"
+        _signer(width, n_permutations, band_rows),
+        "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>",
     ), "signatures")
     linkable = signed.filter("doc_id IS NOT NULL AND node IS NOT NULL")
     classes = stage(linkable.groupBy("node").agg(
@@ -242,17 +252,23 @@ def near_duplicates(
     nodes = stage(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component"))
     component = nodes.join(least, "root").select("node", "component")
-    return signed.select("doc_id", "n_shingles", "node").join(component, "node", "left").select(
-        "doc_id", "n_shingles",
+    return signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left").select(
+        "doc_id", "text_key", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
+    n_permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS,
+) -> DataFrame:
     """``docs`` without the documents that are not the first of their component. See :func:`near_duplicates`.
 
-    Rows that repeat the id of a kept document stay with it; rows without an id stay.
+    Rows with the same id and text stay or go together, those with the same id and another text are judged on their own;
+    rows without an id stay. All columns stay as they are.
     """
-    dropped = near_duplicates(docs, id_col, text_col, **how).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, docs[id_col].cast("bigint") == dropped["doc_id"], "left_anti")
+    found = _with_components(docs, id_col, text_col, width, percent, n_permutations, band_rows)
+    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("__dup_id"), F.col("text_key").alias("__dup_key")).distinct()
+    same = (docs[id_col].cast("bigint") == F.col("__dup_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__dup_key"))
+    return docs.join(dropped, same, "left_anti")

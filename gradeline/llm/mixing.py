@@ -56,6 +56,12 @@ def _source_key(source_col: str) -> Column:
     return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
 
 
+def _tokens(tokens: Column | None, text_col: str) -> Column:
+    """At least one token a document."""
+    one = F.lit(1).cast("bigint")
+    return text_tokens(F.col(text_col).cast("string")) if tokens is None else F.greatest(F.coalesce(tokens.cast("bigint"), one), one)
+
+
 def _name(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint").cast("string"), F.lit(""))
 
@@ -65,7 +71,7 @@ def _walked(
     max_repetition: float | None, budget: int | None, block_tokens: int, seed: int,
 ) -> DataFrame:
     """A row per copy, with its place in the walk of its source."""
-    size = tokens if tokens is not None else text_tokens(F.col(text_col).cast("string"))
+    size = _tokens(tokens, text_col)
     rows = stage(docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         _source_key(source_col).alias("key"), size.cast("bigint").alias("tokens"),
@@ -138,7 +144,7 @@ def mixed_documents(
     least = F.lit(-(2**63)).cast("bigint")
     place = F.struct("epoch", "walk", F.coalesce("doc_id", least).alias("id"), "tokens")
     ends = stage(walked.groupBy(F.col("key").alias("__mix_key")).agg(F.max(place).alias("__mix_end")), "ends")
-    size = tokens if tokens is not None else text_tokens(F.col(text_col).cast("string"))
+    size = _tokens(tokens, text_col)
     joined = docs.withColumns({
         "__mix_key": _source_key(source_col), "__mix_tokens": size.cast("bigint"),
         "__mix_id": F.coalesce(F.col(id_col).cast("bigint"), least), "__mix_name": _name(F.col(id_col)),

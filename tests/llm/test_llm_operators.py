@@ -161,6 +161,12 @@ def test_drop_near_duplicates_keeps_all_columns(awkward):
     assert list(kept[0]) == awkward.columns
 
 
+def test_a_used_id_with_another_text_is_judged_on_its_own(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text it is"), (2, "a b c d e f g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_key", F.lit(1))
+    assert sorted(r["text"] for r in rows_of(minhash_dedup.drop_near_duplicates(df))) == ["a b c d e f g", "quite another text it is"]
+
+
 # mixing
 
 
