@@ -26,6 +26,18 @@ def test_no_python_no_cross_join_no_single_task(name, spark, sf_dir):
         assert "Window" not in body or "SinglePartition" not in body
 
 
+OTHERS = [n for n in registry.QUERIES if n not in ROW_QUERIES and n[0] != "t"]
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_sequences_sources_and_sinks_pair_by_keys(name, spark, sf_dir):
+    """No cross join; windows without a key only over the written offsets, one row per range or block."""
+    plan = plan_of(registry.QUERIES[name](spark, sf_dir))
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert not re.search(r"BatchEvalPython|MapInPandas", plan)
+    assert name in RANKED or not re.search(r"Window .*\n.*Exchange SinglePartition", plan)
+
+
 def test_scores_shuffle_prediction_rows_once(spark, sf_dir):
     """With the gold side small enough to broadcast, only the confusion cells are shuffled."""
     df = registry.results(spark, sf_dir)
