@@ -69,7 +69,8 @@ def assign_shards(rows: DataFrame, n_shards: int, group: Column, size: Column, o
         F.array_sort(F.collect_list(F.struct("atom", "bytes", "rows"))).alias("atoms"),
         F.sum("bytes").alias("total"), F.max("bytes").alias("largest"),
     )
-    index = index.withColumn("capacity", F.expr(smallest_capacity(n_shards))).withColumn("cuts", F.expr(_cuts()))
+    # One row, written: else the search would be moved into the pass that cuts, and run once per atom.
+    index = stage(index.withColumn("capacity", F.expr(smallest_capacity(n_shards))), "capacity").withColumn("cuts", F.expr(_cuts()))
     placed = index.select("cuts", F.inline("atoms")).select(
         "atom", "rows", F.expr("size(filter(cuts, c -> c <= atom))").alias("shard"),
         F.ceil(F.col("rows") / ROWS_IN_ORDER).alias("parts"),
