@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.workspace import stage
 
-__all__ = ["WordHashes", "per_row", "shingles", "stage", "table", "words"]
+__all__ = ["WordHashes", "per_row", "shingles", "small_batches", "stage", "table", "words"]
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 20_000
+ROWS_IN_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -22,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """For jobs that run inside: fewer rows at a time go to Python, as texts are long. The session's setting comes back after."""
+    before = spark.conf.get(ROWS_IN_BATCH)
+    spark.conf.set(ROWS_IN_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_IN_BATCH, before)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Bytes know no other white space or capitals than these."""
     return text.encode().lower().split() if text else []
@@ -59,7 +72,7 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(runs + np.uint64(width))
 
 
-def per_row(make: Callable[[], Callable[..., tuple]], schema: pa.Schema, rows: int = 1000) -> Callable:
+def per_row(make: Callable[[], Callable[..., tuple]], schema: pa.Schema, rows: int = 200) -> Callable:
     """A function for ``mapInArrow``: ``make`` is called once per task and returns a function of one row's values.
 
     Rows go out in batches of a bounded number of rows.
@@ -74,5 +87,6 @@ def per_row(make: Callable[[], Callable[..., tuple]], schema: pa.Schema, rows: i
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema
                 )
+        pa.default_memory_pool().release_unused()
 
     return run

@@ -19,7 +19,7 @@ group is held in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, per_row, shingles, stage, words
+from .common import WordHashes, mixed, per_row, shingles, small_batches, stage, words
 from .components import components
 
 PERMUTATIONS = 64
 BAND_ROWS = 4
 BLOCK_SETS = 256
-BLOCK_HASHES = 400_000
+BLOCK_HASHES = 200_000
 AT_ONCE = 4096
 
 
@@ -171,7 +171,8 @@ def _rest(members: DataFrame, hubs: DataFrame, roots: DataFrame, sets: DataFrame
         "hub", "main", blocks(F.col("rows"), F.col("hashes")).alias("n_all"),
         blocks(F.col("rows") - F.col("main_rows"), F.col("hashes") - F.col("main_hashes")).alias("n_outer"),
     )
-    placed = near.join(cut, "hub")
+    # Written, so that its size is known and a hub with many members is not tied to the task that counted them.
+    placed = near.join(stage(cut, "cut"), "hub")
     own = F.xxhash64("node")
     everything = placed.select(
         "hub", "node", "component", F.lit(False).alias("outer"), F.pmod(own, "n_all").alias("all_block"),
@@ -215,10 +216,11 @@ def _with_components(
     """As :func:`near_duplicates`, with a hash of the text that tells rows with the same id apart."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    signed = stage(rows.mapInArrow(
-        _signer(width, n_permutations, band_rows),
-        "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>",
-    ), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = stage(rows.mapInArrow(
+            _signer(width, n_permutations, band_rows),
+            "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>",
+        ), "signatures")
     linkable = signed.filter("doc_id IS NOT NULL AND node IS NOT NULL")
     classes = stage(linkable.groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
@@ -232,10 +234,11 @@ def _with_components(
     hubs = stage(hubs.join(classes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub"), "hubs")
 
     candidates = members.select(F.col("first_id").alias("doc_id")).distinct()
-    sets = stage(
-        rows.join(candidates, "doc_id", "left_semi").select("text").mapInArrow(_sets(width), "node binary, hashes array<bigint>")
-        .filter("node IS NOT NULL").dropDuplicates(["node"]), "sets",
-    )
+    wanted = rows.join(candidates, "doc_id", "left_semi").select("text")
+    with small_batches(docs.sparkSession):
+        sets = stage(
+            wanted.mapInArrow(_sets(width), "node binary, hashes array<bigint>").filter("node IS NOT NULL").dropDuplicates(["node"]), "sets"
+        )
     pairs = (
         members.join(hubs, "key").filter("node != hub")
         .filter(100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n"))
