@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 ATOM_BITS = 16
-ROWS_IN_ORDER = 10_000
+ROWS_IN_ORDER = 1_000
 
 
 def _greedy(capacity: str) -> str:
