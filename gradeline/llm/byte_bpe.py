@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import models
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -68,6 +68,9 @@ class ByteBpe:
         self.model = models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0)
         to_byte = {c: b for b, c in enumerate(self.alphabet)}
         self.bytes_of = {rank: bytes(to_byte[c] for c in word) for word, rank in vocab.items()}
+        self.sizes = np.zeros(max(vocab.values(), default=-1) + 1, np.int32)
+        for rank, token in self.bytes_of.items():
+            self.sizes[rank] = len(token)
         self.names = {rank: str(rank) for rank in vocab.values()}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -88,14 +91,15 @@ class ByteBpe:
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """(start, end) of every token in code points; a token with part of a character spans all of it."""
+    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every token in code points; a token with part of a character spans all of it."""
         lead = np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80
-        begun = np.concatenate([[0], np.cumsum(lead)])
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        first = begun[np.minimum(starts + 1, len(lead))] - 1
-        return list(zip(first.tolist(), begun[ends].tolist())) if ids else []
+        begun = np.zeros(len(lead) + 1, np.int32)
+        np.cumsum(lead, out=begun[1:])
+        sizes = self.sizes[np.array(ids, np.int32)]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        first = begun[np.minimum(ends - sizes + 1, len(lead))] - 1
+        return first, begun[ends]
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +108,7 @@ def tokenizer(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def _with(path: str, pattern: str, schema: pa.Schema, values: Callable[[ByteBpe, tuple], tuple], rows: int = 200) -> Callable:
+def _with(path: str, pattern: str, schema: pa.Schema, values: Callable[[ByteBpe, tuple], tuple], rows: int = 64) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
@@ -112,6 +116,9 @@ def _with(path: str, pattern: str, schema: pa.Schema, values: Callable[[ByteBpe,
                 part = batch.slice(start, rows)
                 out = zip(*(values(bpe, row) for row in zip(*(c.to_pylist() for c in part.columns))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        # the worker serves other jobs after this task
+        bpe.known.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -131,8 +138,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def values(bpe, row):
         text = row[1] or ""
         ids = bpe.encode(text)
-        spans = bpe.offsets(text, ids)
-        return row[0], ids, [s for s, _ in spans], [e for _, e in spans]
+        return row[0], np.array(ids, np.int32), *bpe.offsets(text, ids)
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", ints), ("starts", ints), ("ends", ints)])
     return _rows(docs, id_col, text_col, "string").mapInArrow(

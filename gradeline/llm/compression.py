@@ -129,14 +129,12 @@ def drop_rejected(docs: DataFrame, text_col: str = "text", bands: Bands = BANDS)
     """``docs`` without the documents that :func:`compression_quality` rejects; all columns stay as they are."""
     measured = None
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
         nonlocal measured
         if measured is None:
             measured = _measure(bands)
-        ids = pa.nulls(len(texts), pa.int64())
-        batch = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], names=["doc_id", "text"])
-        kept = [x for out in measured(iter([batch])) for x in out.column("kept").to_pylist()]
-        return texts.__class__(kept, index=texts.index, dtype=bool)
+        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"])
+        return pa.concat_arrays([out.column("kept") for out in measured(iter([batch]))] or [pa.array([], pa.bool_())])
 
     return docs.filter(passes(F.col(text_col).cast("string")))

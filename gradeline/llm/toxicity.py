@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, stage
+from .common import per_row, small_batches, stage
 
 TRAINING_ROWS = 20_000
 LEARNT_TERMS = 2_000
@@ -28,7 +28,7 @@ LEAST_RATIO = 8.0
 BEGINNINGS = (4, 5, 6)
 LIMIT = 0.7
 NEAR_WORDS = 5
-CACHED_WORDS = 400_000
+CACHED_WORDS = 50_000
 
 INSULTS = frozenset(
     "airhead arsehole asshole bastard bitch bonehead bozo brute buffoon chump clown coward creep cretin crook deadbeat degenerate"
@@ -251,8 +251,9 @@ def toxicity(
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(sample.filter("fold < 2")), "doc_id"
     )
-    learnt = learnt_terms(texts.select("text", "label"))
-    measured = stage(features(docs, learnt, id_col, text_col), "features")
+    with small_batches(docs.sparkSession):
+        learnt = learnt_terms(texts.select("text", "label"))
+        measured = stage(features(docs, learnt, id_col, text_col), "features")
     rows = stage(measured.join(F.broadcast(sample.filter("fold >= 2")), "doc_id").coalesce(4), "training")
     parts = rows.select(array_to_vector("features").alias("vector"), "label", (F.col("fold") == 4).alias("calibrates"))
     seen = {(r["calibrates"], r["label"]): r["count"] for r in parts.groupBy("calibrates", "label").count().collect()}

@@ -657,7 +657,7 @@ def test_random_texts_and_offsets(reference):
         ids = bpe.encode(text)
         assert ids == reference.encode_ordinary(text) and bpe.decode_bytes(ids) == text.encode()
         at = 0
-        for i, (start, end) in zip(ids, bpe.offsets(text, ids)):
+        for i, (start, end) in zip(ids, zip(*bpe.offsets(text, ids))):
             own = bpe.bytes_of[i]
             covered = text[start:end].encode()
             assert own in covered and text.encode()[at : at + len(own)] == own
