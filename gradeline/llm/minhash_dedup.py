@@ -35,6 +35,8 @@ BAND_ROWS = 4
 BLOCK_SETS = 256
 BLOCK_HASHES = 200_000
 AT_ONCE = 4096
+#: At most so many numbers are broadcast.
+ID_SLOTS = 1 << 19
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +236,11 @@ def _with_components(
     hubs = stage(hubs.join(classes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub"), "hubs")
 
     candidates = members.select(F.col("first_id").alias("doc_id")).distinct()
-    wanted = rows.join(candidates, "doc_id", "left_semi").select("text")
+    # First by a hash of the id with a bounded number of values, so that the texts of most other documents stay where they are.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLOTS))
+    slots = candidates.select(slot.alias("slot")).distinct()
+    wanted = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
+    wanted = wanted.join(candidates, "doc_id", "left_semi").select("text")
     with small_batches(docs.sparkSession):
         sets = stage(
             wanted.mapInArrow(_sets(width), "node binary, hashes array<bigint>").filter("node IS NOT NULL").dropDuplicates(["node"]), "sets"
