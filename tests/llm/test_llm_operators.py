@@ -295,6 +295,30 @@ def test_rejected_documents_go(awkward):
     assert out.columns == awkward.columns and Counter(r["doc_id"] for r in rows_of(out)) == want and want
 
 
+def test_a_bad_part_of_a_long_text_is_found(spark):
+    rng = random.Random(17)
+    prose = sentence(rng, 9000, 3000)[:45_000]
+    noise = base64.b64encode(rng.randbytes(40_000)).decode()
+    spaced = " ".join(noise[k : k + 8] for k in range(0, len(noise), 8))
+    rows = [prose, prose[:20_481], prose[:4097], prose[:20_000]]
+    for share in (0.2, 0.4):
+        n = int(45_000 * share)
+        for junk in (spaced, "buy it now and here " * 1000):
+            rows += [prose[:-n] + junk[:n], prose[:9000] + junk[:n] + prose[9000:-n]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in rows_of(compression.compression_quality(frame))}
+    assert all(got[k]["kept"] and got[k]["n_bad_chunks"] == 0 for k in range(4))
+    assert all(got[k]["verdict"] == "chunks" and 2 * got[k]["n_bad_chunks"] <= got[k]["n_chunks"] for k in range(4, len(rows)))
+    assert sorted(r["doc_id"] for r in rows_of(compression.drop_rejected(frame))) == [0, 1, 2, 3]
+
+
+def test_clean_texts_of_the_documents_table_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = rows_of(compression.compression_quality(docs).filter("n_chunks > 0"))
+    clean = [r for r in long if not r["base_failed"] and r["verdict"] != "whole"]
+    assert clean and all(r["kept"] for r in clean)
+
+
 # sharding
 
 
