@@ -4,7 +4,9 @@ Rows are ordered by a hash of their group, and atoms are the ranges of that orde
 leading bits, so equal groups are never cut. The sizes of the atoms come from one aggregation with
 partial sums; there are 65,536 of them at most, whatever the input, so they fit one array. A binary
 search over the capacity, each step a greedy pass over that array, finds the smallest capacity with
-which the atoms fit the shards; the greedy cuts at that capacity are the shards.
+which the atoms fit the shards. One further pass cuts: a shard ends where it comes nearest to an even
+share of what is left, if the rest still fits the shards left, and never passes the capacity. So one
+large group, which sets the capacity, does not fill other shards as high and leave the rest empty.
 """
 
 from __future__ import annotations
@@ -41,12 +43,50 @@ def smallest_capacity(n_shards: int) -> str:
     return f"aggregate(sequence(1, 63), named_struct('lo', {least}, 'hi', {least} + largest), (b, i) -> {step}, b -> b.lo)"
 
 
-def _cuts() -> str:
-    """SQL for the first atom of every shard but the first."""
+def _cuts(n_shards: int) -> str:
+    """SQL for the first atom of every shard but the first.
+
+    ``starts`` holds the first atom of every shard, the last shard first, when shards are filled from the end: what
+    begins at ``starts[k]`` or later fits k + 1 shards. ``large`` holds the bytes from each atom above the mean to the end,
+    and that atom's. Such an atom counts as a shard of its own; what lies before the next one is shared out evenly over
+    the nearest whole number of shards.
+    """
+    starts = (
+        "aggregate(reverse(atoms), named_struct('load', 0L, 'first', -1, 'starts', cast(array() AS array<int>)), (g, x) ->"
+        " if(g.load + x.bytes <= capacity, named_struct('load', g.load + x.bytes, 'first', x.atom, 'starts', g.starts),"
+        " named_struct('load', x.bytes, 'first', x.atom, 'starts', concat(g.starts, array(g.first)))), g -> g.starts)"
+    )
+    large = (
+        "aggregate(atoms, named_struct('rest', total, 'large', cast(array() AS array<struct<rest:bigint,bytes:bigint>>)), (g, x) ->"
+        f" named_struct('rest', g.rest - x.bytes, 'large', if(x.bytes > total / {n_shards},"
+        " concat(g.large, array(named_struct('rest', g.rest, 'bytes', x.bytes))), g.large)), g -> g.large)"
+    )
+
+    def target(shards: str) -> str:
+        """Of a shard that begins where ``g.rest`` bytes and so many shards are left."""
+        ahead = "filter(g.large, l -> l.rest <= g.rest)"
+        gap = f"(g.rest - coalesce(array_max(transform({ahead}, l -> l.rest)), 0L))"
+        even = f"((g.rest - aggregate({ahead}, 0L, (s, l) -> s + l.bytes)) / greatest({shards} - size({ahead}), 1))"
+        return f"if({gap} = 0, 0.0D, {gap} / greatest(round({gap} / {even}), 1.0D))"
+
+    def state(shards: str, load: str, target: str, rest: str, seen: str, cuts: str) -> str:
+        return (
+            f"named_struct('shards', {shards}, 'load', {load}, 'target', {target}, 'rest', {rest}, 'seen', {seen}, 'cuts', {cuts},"
+            " 'starts', g.starts, 'large', g.large, 'n', g.n)"
+        )
+
+    # shards: those after the one being filled; rest: bytes from this atom on; seen: atoms before it.
+    begin = f"named_struct('rest', total, 'starts', {starts}, 'large', {large}, 'n', size(atoms))"
+    first = state(str(n_shards - 1), "0L", target(str(n_shards)), "g.rest", "0", "cast(array() AS array<int>)")
+    added = state("g.shards", "g.load + x.bytes", "g.target", "g.rest - x.bytes", "g.seen + 1", "g.cuts")
+    closed = state("g.shards - 1", "x.bytes", target("g.shards"), "g.rest - x.bytes", "g.seen + 1", "concat(g.cuts, array(x.atom))")
+    ends = (
+        "g.seen > 0 AND g.shards > 0 AND (g.load + x.bytes > capacity OR g.n - g.seen <= g.shards"
+        " OR (2 * g.load + x.bytes > 2 * g.target AND x.atom >= coalesce(get(g.starts, g.shards - 1), -1)))"
+    )
+    # The array of one entry holds what is the same for all atoms, so that it is computed once.
     return (
-        "aggregate(atoms, named_struct('load', 0L, 'cuts', cast(array() AS array<int>)), (g, x) ->"
-        " if(g.load + x.bytes <= capacity, named_struct('load', g.load + x.bytes, 'cuts', g.cuts),"
-        " named_struct('load', x.bytes, 'cuts', concat(g.cuts, array(x.atom)))), g -> g.cuts)"
+        f"transform(array({begin}), g -> aggregate(atoms, {first}, (g, x) -> if({ends}, {closed}, {added}), g -> g.cuts))[0]"
     )
 
 
@@ -55,9 +95,9 @@ def assign_shards(rows: DataFrame, n_shards: int, group: Column, size: Column, o
 
     ``group`` tells which rows must stay together and ``size`` (not negative) what they weigh; slots follow the
     hash of the group and then ``order``. Give the narrow columns that are needed: the rows are
-    written once, so that their texts are read once. A shard has more than the smallest capacity
-    only if one atom alone has. An empty table gives an empty one. Names that begin with ``__shard`` are
-    taken.
+    written once, so that their texts are read once. No shard has more than the smallest capacity, and none
+    is empty unless there are fewer atoms than shards. An empty table gives an empty one. Names that begin with
+    ``__shard`` are taken.
     """
     hashed = F.xxhash64(group)
     atom = F.shiftrightunsigned(hashed, 64 - ATOM_BITS).cast("int")
@@ -70,7 +110,7 @@ def assign_shards(rows: DataFrame, n_shards: int, group: Column, size: Column, o
         F.sum("bytes").alias("total"), F.max("bytes").alias("largest"),
     )
     # One row, written: else the search would be moved into the pass that cuts, and run once per atom.
-    index = stage(index.withColumn("capacity", F.expr(smallest_capacity(n_shards))), "capacity").withColumn("cuts", F.expr(_cuts()))
+    index = stage(index.withColumn("capacity", F.expr(smallest_capacity(n_shards))), "capacity").withColumn("cuts", F.expr(_cuts(n_shards)))
     placed = index.select("cuts", F.inline("atoms")).select(
         "atom", "rows", F.expr("size(filter(cuts, c -> c <= atom))").alias("shard"),
         F.ceil(F.col("rows") / ROWS_IN_ORDER).alias("parts"),

@@ -367,6 +367,33 @@ def test_smallest_capacity(spark, n):
         assert df.select(F.expr(sharding.smallest_capacity(n))).first()[0] == least_capacity(sizes, n)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 24])
+def test_cuts_fill_all_shards_within_the_capacity(spark, n):
+    rng = random.Random(40 + n)
+    tables = [[rng.choice([1, 5, 50, 500]) * rng.randrange(0, 9) for _ in range(rng.randrange(1, 60))] for _ in range(12)]
+    tables += [[9] * 30, [0] * 30, [500] + [1] * 40, [1] * 40 + [500], [500, 1, 500, 1, 500] * 6]
+    for sizes in tables:
+        df = spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "atom int, bytes bigint").agg(
+            F.array_sort(F.collect_list(F.struct("atom", "bytes"))).alias("atoms"), F.sum("bytes").alias("total")
+        ).withColumn("capacity", F.lit(least_capacity(sizes, n)).cast("bigint"))
+        cuts = df.select(F.expr(sharding._cuts(n))).first()[0]
+        bounds = [0, *cuts, len(sizes)]
+        shards = [sizes[a:b] for a, b in zip(bounds, bounds[1:])]
+        assert bounds == sorted(set(bounds)) and len(shards) == min(n, len(sizes))
+        assert max(map(sum, shards)) == least_capacity(sizes, n)
+
+
+def test_a_group_of_a_third_leaves_the_other_shards_even(spark):
+    rng = random.Random(24)
+    texts = [sentence(rng, 20) for _ in range(6000)]
+    rows = list(enumerate(texts + ["one text for a third of all rows " * 3] * 3000))
+    loads = Counter()
+    for r in rows_of(sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 24)):
+        loads[r["shard"]] += r["size"]
+    *others, top = sorted(loads.values())
+    assert len(loads) == 24 and top > sum(loads.values()) / 4 and others[-1] < 1.1 * others[0]
+
+
 # personal data
 
 PATTERNS = {
