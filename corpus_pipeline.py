@@ -25,7 +25,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources come up to twice, the largest once; nothing is left out."""
+    """Small sources come up to twice, the largest once; nothing is left out. Rows lie in the order of block and slot."""
     return mixing.mixed_documents(docs, max_repetition=2.0)
 
 

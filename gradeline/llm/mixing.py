@@ -66,6 +66,19 @@ def _name(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint").cast("string"), F.lit(""))
 
 
+def _block() -> Column:
+    return F.expr("cast((cast(at AS decimal(19,0)) * blocks) div quota AS bigint)")
+
+
+def _turn(seed: int, epoch: Column, name: Column) -> Column:
+    """What the copies of a block are ordered by."""
+    return _hash(F.lit(str(seed)), F.lit("block"), epoch.cast("string"), name)
+
+
+def _part(walk: str, parts: str) -> Column:
+    return F.expr(f"shiftright(shiftright({walk}, 29) * {parts}, 31)")
+
+
 def _walked(
     docs: DataFrame, source_col: str, id_col: str, tokens: Column | None, text_col: str, target_entropy: float | None,
     max_repetition: float | None, budget: int | None, block_tokens: int, seed: int,
@@ -95,7 +108,7 @@ def _walked(
     copies = rows.join(plan, "key").select("*", F.explode(F.expr("sequence(0L, greatest(epochs, 1L) - 1)")).alias("epoch"))
     walk = _hash(F.lit(str(seed)), F.col("epoch").cast("string"), _name(F.col("doc_id")))
     # A source is walked in parts of equal ranges of the hash, so that no task holds all of a large source.
-    copies = copies.withColumn("walk", walk).withColumn("part", F.expr("shiftright(shiftright(walk, 29) * parts, 31)"))
+    copies = copies.withColumn("walk", walk).withColumn("part", _part("walk", "parts"))
     part_sums = copies.groupBy("key", "epoch", "part").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("key", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     part_starts = part_sums.select("key", "epoch", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
@@ -122,8 +135,8 @@ def mix(
     are not read.
     """
     walked = _walked(docs, source_col, id_col, tokens, text_col, target_entropy, max_repetition, budget, block_tokens, seed)
-    walked = walked.withColumn("block", F.expr("cast((cast(at AS decimal(19,0)) * blocks) div quota AS bigint)"))
-    turn = _hash(F.lit(str(seed)), F.lit("block"), F.col("epoch").cast("string"), _name(F.col("doc_id")))
+    walked = walked.withColumn("block", _block())
+    turn = _turn(seed, F.col("epoch"), _name(F.col("doc_id")))
     in_block = Window.partitionBy("block").orderBy("turn", "doc_id", "epoch", "key", "tokens")
     return walked.withColumn("turn", turn).withColumn("slot", F.row_number().over(in_block).cast("bigint") - 1).select(
         "doc_id", "source", "tokens", "epoch", "block", "slot", "weight", "exponent"
@@ -132,28 +145,49 @@ def mix(
 
 def mixed_documents(
     docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tokens: Column | None = None, text_col: str = "text",
-    target_entropy: float | None = None, max_repetition: float | None = 2.0, budget: int | None = None, seed: int = 0,
+    target_entropy: float | None = None, max_repetition: float | None = 2.0, budget: int | None = None,
+    block_tokens: int = BLOCK_TOKENS, seed: int = 0,
 ) -> DataFrame:
-    """The documents themselves, each as often as :func:`mix` places it; the columns of ``docs`` only.
+    """The documents themselves, each as often as :func:`mix` places it and in its order; the columns of ``docs`` only.
 
-    The copies taken of a source are a prefix of its walk, so the last copy of each source decides for every
-    row on its own: texts are neither sorted nor joined by id, and the table of last copies has a row per source. Rows that
-    equal the last copy in id and tokens all count as it does. Names that begin with ``__mix`` are taken.
+    The partitions are ranges of blocks, and the rows of each lie in the order of block and slot. The copies
+    taken of a source are a prefix of its walk, so the last copy of each source decides for every row on its own, and
+    the first copies of its blocks, listed by part of the walk, tell the block: texts are not joined by id and move
+    once, to their place. Rows that equal the last copy in id and tokens all count as it does, and rows that equal each other
+    in both lie in one block. Names that begin with ``__mix`` are taken.
     """
-    walked = _walked(docs, source_col, id_col, tokens, text_col, target_entropy, max_repetition, budget, BLOCK_TOKENS, seed)
+    walked = _walked(docs, source_col, id_col, tokens, text_col, target_entropy, max_repetition, budget, block_tokens, seed)
     least = F.lit(-(2**63)).cast("bigint")
     place = F.struct("epoch", "walk", F.coalesce("doc_id", least).alias("id"), "tokens")
-    ends = stage(walked.groupBy(F.col("key").alias("__mix_key")).agg(F.max(place).alias("__mix_end")), "ends")
+    begun = stage(walked.withColumn("block", _block()).groupBy("key", "epoch", "part", "block").agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.max("parts").alias("parts"), F.max("blocks").alias("blocks"),
+    ), "blocks")
+    ends = begun.groupBy(F.col("key").alias("__mix_key")).agg(
+        F.max("last").alias("__mix_end"), F.max("parts").alias("__mix_parts"), F.max("blocks").alias("__mix_blocks"),
+    )
+    listed = stage(begun.groupBy(F.col("key").alias("__mix_key"), F.col("epoch").alias("__mix_epoch"), F.col("part").alias("__mix_part")).agg(
+        F.collect_list(F.struct("first", "block")).alias("__mix_listed")
+    ), "listed")
     size = _tokens(tokens, text_col)
     joined = docs.withColumns({
         "__mix_key": _source_key(source_col), "__mix_tokens": size.cast("bigint"),
         "__mix_id": F.coalesce(F.col(id_col).cast("bigint"), least), "__mix_name": _name(F.col(id_col)),
-    }).join(ends, "__mix_key")
+    }).join(stage(ends, "ends"), "__mix_key")
 
-    def taken(epoch: Column) -> Column:
+    def at(epoch: Column) -> Column:
         walk = _hash(F.lit(str(seed)), epoch.cast("string"), F.col("__mix_name"))
-        here = F.struct(epoch.alias("epoch"), walk.alias("walk"), F.col("__mix_id").alias("id"), F.col("__mix_tokens").alias("tokens"))
-        return here <= F.col("__mix_end")
-
-    epochs = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("__mix_end.epoch")), taken)
-    return joined.select(*docs.columns, F.explode(epochs).alias("__mix_epoch")).drop("__mix_epoch")
+        return F.struct(epoch.alias("epoch"), walk.alias("walk"), F.col("__mix_id").alias("id"), F.col("__mix_tokens").alias("tokens"))
+
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("__mix_end.epoch")), at)
+    copies = joined.withColumn("__mix_at", F.explode(F.filter(places, lambda here: here <= F.col("__mix_end"))))
+    copies = copies.withColumns({
+        "__mix_epoch": F.col("__mix_at.epoch"), "__mix_part": _part("__mix_at.walk", "__mix_parts"),
+        "__mix_turn": _turn(seed, F.col("__mix_at.epoch"), F.col("__mix_name")),
+    }).join(listed, ["__mix_key", "__mix_epoch", "__mix_part"])
+    block = F.expr("array_max(transform(filter(__mix_listed, b -> b.first <= __mix_at), b -> b.block))")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Blocks are alike in tokens, so equal ranges of them are even without a look at the rows.
+    ordered = copies.withColumn("__mix_block", block).drop("__mix_listed").repartitionById(
+        n, F.expr(f"cast(least(__mix_block * {n} div __mix_blocks, {n - 1}) AS int)")
+    ).sortWithinPartitions("__mix_block", "__mix_turn", "__mix_id", "__mix_epoch", "__mix_key", "__mix_tokens")
+    return ordered.select(*docs.columns)

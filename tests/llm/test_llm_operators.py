@@ -239,6 +239,15 @@ def test_mixed_documents_come_as_often_as_placed(awkward):
 # quality
 
 
+def test_mixed_documents_lie_in_blocks_and_slots(awkward):
+    options = {"max_repetition": 2.0, "block_tokens": 64}
+    awkward = awkward.withColumn("n", mixing.text_tokens(F.col("text"))).dropDuplicates(["doc_id", "n"]).drop("n").cache()
+    placed = rows_of(mixing.mix(awkward, **options).orderBy("block", "slot"))
+    assert len({r["block"] for r in placed}) > 20
+    got = [(r["doc_id"], r["source"], max(1, -(-len((r["text"] or "").encode()) // 4))) for r in rows_of(mixing.mixed_documents(awkward, **options))]
+    assert got == [(r["doc_id"], r["source"], r["tokens"]) for r in placed]
+
+
 def brute_quality(text, bands):
     text = text or ""
     w = WORD.findall(text)
