@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, starts, ends) of every document of the mixture."""
+    """(doc_id, ids, starts, ends, decoded_sha256) of every document of the mixture."""
     return byte_bpe.encode(docs, VOCABULARY, PATTERN)
 
 

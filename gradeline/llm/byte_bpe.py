@@ -91,6 +91,11 @@ class ByteBpe:
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode(self, ids: list[int]) -> tuple[bytes, str]:
+        """The bytes, and the text with U+FFFD for what is not UTF-8."""
+        data = self.decode_bytes(ids)
+        return data, data.decode("utf-8", "replace")
+
     def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every token in code points; a token with part of a character spans all of it."""
         lead = np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80
@@ -128,7 +133,8 @@ def _rows(df: DataFrame, id_col: str, value_col: str, kind: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, starts, ends) of every row: token ids, and the code points that each token covers.
+    """(doc_id, ids, starts, ends, decoded_sha256) of every row: token ids, the code points that each token covers, and
+    a digest of the text that the ids decode to.
 
     A null text counts as an empty one and has no tokens. Null ids stay, repeated rows give repeated
     results, other columns are not read. Special tokens are ordinary text.
@@ -138,11 +144,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def values(bpe, row):
         text = row[1] or ""
         ids = bpe.encode(text)
-        return row[0], np.array(ids, np.int32), *bpe.offsets(text, ids)
+        decoded = hashlib.sha256(bpe.decode(ids)[1].encode()).hexdigest()
+        return row[0], np.array(ids, np.int32), *bpe.offsets(text, ids), decoded
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", ints), ("starts", ints), ("ends", ints)])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", ints), ("starts", ints), ("ends", ints), ("decoded_sha256", pa.string())])
     return _rows(docs, id_col, text_col, "string").mapInArrow(
-        _with(path, pattern, schema, values), "doc_id bigint, ids array<int>, starts array<int>, ends array<int>"
+        _with(path, pattern, schema, values),
+        "doc_id bigint, ids array<int>, starts array<int>, ends array<int>, decoded_sha256 string",
     )
 
 
@@ -153,8 +161,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
     """
 
     def values(bpe, row):
-        data = bpe.decode_bytes(row[1] or [])
-        return row[0], data, data.decode("utf-8", "replace")
+        return row[0], *bpe.decode(row[1] or [])
 
     schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary()), ("text", pa.string())])
     return _rows(tokens, id_col, ids_col, "array<int>").mapInArrow(
@@ -163,7 +170,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded again in one pass.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded to text again in one pass.
 
     Only digests leave the worker. Nulls and repeated rows as in :func:`encode`.
     """
@@ -171,7 +178,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def values(bpe, row):
         ids = bpe.encode(row[1] or "")
         listed = " ".join(map(bpe.names.__getitem__, ids)).encode()
-        return row[0], len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode_bytes(ids)).hexdigest()
+        return row[0], len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids)[1].encode()).hexdigest()
 
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),

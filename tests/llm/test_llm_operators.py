@@ -735,6 +735,12 @@ def test_encode_and_decode_tables(awkward):
     assert {r["doc_id"]: r["text"] for r in rows_of(byte_bpe.decode(half, VOCABULARY, PATTERN))} == {1: "�", 2: ""}
 
 
+def test_digests_are_of_the_decoded_texts(awkward):
+    tokens = byte_bpe.encode(awkward, VOCABULARY, PATTERN)
+    digests = Counter((r["doc_id"], r["decoded_sha256"]) for r in rows_of(tokens))
+    assert digests == Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows_of(awkward))
+
+
 # all
 
 
