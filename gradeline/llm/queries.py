@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, oracles, pii, sharding, toxicity, warc
+from . import byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, oracles, pii, sharding, simhash_dedup, toxicity, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +53,10 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
 
 
+def op12_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES = {
         op8_html_main_text,
         op9_warc_chunks,
         op10_byte_level_bpe,
+        op12_simhash_bit_sliced,
     )
 }
 #: Zstandard, CRC-32, trained trees, sketches, element trees and byte-pair merges are beyond SQL; tests/llm has brute force.
