@@ -70,6 +70,7 @@ def texts():
                 w = w[:at] + (w[at + 1 :] if what < 0.5 else "e" + w[at + (what < 0.8) :])
             words.append(w.upper() if rng.random() < 0.1 else w)
         out.append((k, rng.choice([" ", "-", "1", "语"]).join(words)))
+    out.append((1000, "chained " * 300 + "chainedd " * 50 + "chaineddd " * 8))
     return out + ROWS
 
 
