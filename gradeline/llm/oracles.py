@@ -148,6 +148,27 @@ FROM kept
 """
 
 
+TERMS = rf"regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = f"""
+WITH found AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM found GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM tfs GROUP BY term), totals
+), asked AS (SELECT item_id, term, count(*)::BIGINT AS q FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id), totals
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
 SPELLING = rf"""
 WITH RECURSIVE found AS (
   SELECT doc_id, translate(run, '{UPPER}', '{UPPER.lower()}') AS run, count(*) AS n

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, oracles, pii, sharding, simhash_dedup, spelling, toxicity, warc
+from . import ball_search, byte_bpe, compression, fingerprints, html_extract, minhash_dedup, mixing, oracles, pii, sharding, simhash_dedup, spelling, toxicity, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,6 +53,10 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
 
 
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -74,6 +78,7 @@ QUERIES = {
         op8_html_main_text,
         op9_warc_chunks,
         op10_byte_level_bpe,
+        op11_ball_tree_search,
         op12_simhash_bit_sliced,
         op13_spelling_variants,
     )
@@ -84,5 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_temperature_mixing": oracles.mixture(2.0),
     "op5_personal_data": oracles.personal_data(),
     "op9_warc_chunks": oracles.ARCHIVES,
+    "op11_ball_tree_search": oracles.SEARCH,
     "op13_spelling_variants": oracles.SPELLING,
 }
