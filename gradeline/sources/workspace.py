@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _cleaned: set[str] = set()
+_scratch: list[list[tuple[SparkSession, str]]] = []
+
+
+def on_one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def workspace(spark: SparkSession) -> str:
@@ -24,8 +31,7 @@ def workspace(spark: SparkSession) -> str:
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         return shared.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
+    if not on_one_machine(spark):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -63,13 +69,32 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside go at the end, but for lasting ones. Whatever reads them has to be written by then."""
+    mine: list[tuple[SparkSession, str]] = []
+    _scratch.append(mine)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for spark, path in mine:
+            with contextlib.suppress(Exception):  # a folder that stays is no reason to fail
+                remove(spark, path)
+
+
+def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write the rows once and read them back.
 
+    Inside of :func:`scratch` the table goes with it; a ``lasting`` one goes with the scratch around that, if there is one.
+
     Cuts the lineage, fixes whatever is not deterministic in the plan, survives the
     loss of executors, and gives the planner the true size of the result, so that
     it broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = fresh_path(df.sparkSession, name)
+    around = _scratch[:-1] if lasting else _scratch
+    if around:
+        around[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
