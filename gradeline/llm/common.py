@@ -8,13 +8,16 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.workspace import stage
+from ..sources.workspace import scratch, stage
 
-__all__ = ["WordHashes", "per_row", "shingles", "small_batches", "stage", "table", "words"]
+__all__ = ["WordHashes", "in_slots", "per_row", "scratch", "shingles", "slots_of", "small_batches", "stage", "table", "words"]
 
 CACHED_WORDS = 20_000
+#: Bits of a hash that tell slots apart: 33 million slots, in at most 524,288 rows of 64 slots.
+SLOT_BITS = 25
 ROWS_IN_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -35,6 +38,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(ROWS_IN_BATCH, before)
 
 
+def _slot(hashed: Column) -> tuple[Column, Column]:
+    slot = F.pmod(hashed, F.lit(1 << SLOT_BITS))
+    return F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def slots_of(rows: DataFrame, hashed: Column) -> DataFrame:
+    """(__slots, __bits): the slots that the hashes of the rows fall into, in a table of bounded size however many rows there are."""
+    place, bit = _slot(hashed)
+    return rows.select(place.alias("__slots"), bit.alias("__bit")).groupBy("__slots").agg(F.bit_or("__bit").alias("__bits"))
+
+
+def in_slots(rows: DataFrame, hashed: str, slots: DataFrame) -> DataFrame:
+    """The rows with a column ``__hit``: false only if the column ``hashed`` equals none of the hashes that ``slots`` is made of.
+
+    It tells which rows have to take part in a join, so that most of the others stay where they are.
+    """
+    place, bit = _slot(F.col(hashed))
+    marked = rows.withColumn("__slots", place).join(F.broadcast(slots), "__slots", "left")  # at most 2**(SLOT_BITS - 6) rows
+    return marked.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__slots", "__bits")
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Bytes know no other white space or capitals than these."""
     return text.encode().lower().split() if text else []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, per_row, shingles, small_batches, stage, words
+from .common import WordHashes, in_slots, mixed, per_row, scratch, shingles, slots_of, small_batches, stage, words
 from .components import components
 
 PERMUTATIONS = 64
@@ -35,8 +35,6 @@ BAND_ROWS = 4
 BLOCK_SETS = 256
 BLOCK_HASHES = 200_000
 AT_ONCE = 4096
-#: At most so many numbers are broadcast.
-ID_SLOTS = 1 << 19
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +214,13 @@ def _with_components(
     docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, n_permutations: int, band_rows: int
 ) -> DataFrame:
     """As :func:`near_duplicates`, with a hash of the text that tells rows with the same id apart."""
+    with scratch():
+        return _found(docs, id_col, text_col, width, percent, n_permutations, band_rows)
+
+
+def _found(
+    docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, n_permutations: int, band_rows: int
+) -> DataFrame:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     with small_batches(docs.sparkSession):
@@ -236,11 +241,10 @@ def _with_components(
     hubs = stage(hubs.join(classes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub"), "hubs")
 
     candidates = members.select(F.col("first_id").alias("doc_id")).distinct()
-    # First by a hash of the id with a bounded number of values, so that the texts of most other documents stay where they are.
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLOTS))
-    slots = candidates.select(slot.alias("slot")).distinct()
-    wanted = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
-    wanted = wanted.join(candidates, "doc_id", "left_semi").select("text")
+    # First by slots of the hashed id, so that the texts of other documents stay where they are.
+    hashed = F.xxhash64("doc_id")
+    asked = in_slots(rows.withColumn("hashed", hashed), "hashed", slots_of(candidates, hashed)).filter("__hit")
+    wanted = asked.join(candidates, "doc_id", "left_semi").select("text")
     with small_batches(docs.sparkSession):
         sets = stage(
             wanted.mapInArrow(_sets(width), "node binary, hashes array<bigint>").filter("node IS NOT NULL").dropDuplicates(["node"]), "sets"
@@ -261,11 +265,12 @@ def _with_components(
     nodes = stage(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component"))
     component = nodes.join(least, "root").select("node", "component")
-    return signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left").select(
+    found = signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left").select(
         "doc_id", "text_key", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
     )
+    return stage(found, "components", lasting=True)  # narrow; all other tables of the search can go
 
 
 def drop_near_duplicates(
@@ -275,9 +280,16 @@ def drop_near_duplicates(
     """``docs`` without the documents that are not the first of their component. See :func:`near_duplicates`.
 
     Rows with the same id and text stay or go together, those with the same id and another text are judged on their own;
-    rows without an id stay. All columns stay as they are.
+    rows without an id stay. All columns stay as they are. Only the texts of rows that are dropped, and of few others, leave their place.
     """
     found = _with_components(docs, id_col, text_col, width, percent, n_permutations, band_rows)
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("__dup_id"), F.col("text_key").alias("__dup_key")).distinct()
-    same = (docs[id_col].cast("bigint") == F.col("__dup_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__dup_key"))
-    return docs.join(dropped, same, "left_anti")
+    hashed = F.xxhash64("doc_id", "text_key")
+    dropped = found.filter("NOT kept").select("doc_id", "text_key").distinct().withColumn("hashed", hashed)
+    dropped = stage(dropped, "dropped")
+    # The documents travel as one column, so that their names cannot clash.
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key")
+    ).withColumn("hashed", hashed)
+    rows = in_slots(rows, "hashed", slots_of(dropped, F.col("hashed")))
+    unsure = rows.filter("__hit").join(dropped, ["hashed", "doc_id", "text_key"], "left_anti")
+    return rows.filter("NOT __hit").select("row.*").unionAll(unsure.select("row.*"))

@@ -13,12 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 
 BLOCK_TOKENS = 1 << 18
 STEPS = 48
 WALK_PARTS = 1 << 16
 PART_TOKENS = 1 << 18
+#: Blocks of written-out documents; a larger mixture has larger blocks.
+MOST_BLOCKS = 1 << 16
+#: Rows of about 50 bytes that are handed to every task at most.
+HANDED_OUT = 1 << 20
 
 
 def text_tokens(text: Column) -> Column:
@@ -81,7 +85,7 @@ def _part(walk: str, parts: str) -> Column:
 
 def _walked(
     docs: DataFrame, source_col: str, id_col: str, tokens: Column | None, text_col: str, target_entropy: float | None,
-    max_repetition: float | None, budget: int | None, block_tokens: int, seed: int,
+    max_repetition: float | None, budget: int | None, block_tokens: int, seed: int, most_blocks: int | None = None,
 ) -> DataFrame:
     """A row per copy, with its place in the walk of its source."""
     size = _tokens(tokens, text_col)
@@ -97,11 +101,12 @@ def _walked(
     whole = whole.withColumn("mass", F.expr("aggregate(sizes, 0.0D, (s, x) -> s + x.n * pow(x.t / largest, exponent))"))
     spent = F.expr("round(largest * mass)" if budget is None else f"{int(budget)}D").cast("bigint")
     whole = whole.select("largest", "exponent", "mass", spent.alias("spent"), F.lit(1).alias("one"))
+    blocks = f"greatest(1L, cast(ceil(spent / {block_tokens}) AS bigint))"
     plan = totals.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").withColumn(  # one row
         "weight", F.expr("round(pow(total / largest, exponent) / mass, 12)")
     ).select(
         "key", "total", "weight", "exponent", F.expr("cast(round(weight * spent) AS bigint)").alias("quota"),
-        F.expr(f"greatest(1L, cast(ceil(spent / {block_tokens}) AS bigint))").alias("blocks"),
+        F.expr(f"least({most_blocks}L, {blocks})" if most_blocks else blocks).alias("blocks"),
         F.expr(f"least({WALK_PARTS}L, cast(ceil(total / {PART_TOKENS}) AS bigint))").alias("parts"),
     )
     plan = stage(plan.withColumn("epochs", F.expr("cast(ceil(quota / total) AS bigint)")), "plan")
@@ -153,41 +158,47 @@ def mixed_documents(
     The partitions are ranges of blocks, and the rows of each lie in the order of block and slot. The copies
     taken of a source are a prefix of its walk, so the last copy of each source decides for every row on its own, and
     the first copies of its blocks, listed by part of the walk, tell the block: texts are not joined by id and move
-    once, to their place. Rows that equal the last copy in id and tokens all count as it does, and rows that equal each other
-    in both lie in one block. Names that begin with ``__mix`` are taken.
+    once, to their place. The lists are handed to every task if they have at most ``HANDED_OUT`` entries, else the planner joins them.
+    Rows that equal the last copy in id and tokens all count as it does, and rows that equal each other in both lie in one block.
+    There are at most ``MOST_BLOCKS`` blocks.
     """
-    walked = _walked(docs, source_col, id_col, tokens, text_col, target_entropy, max_repetition, budget, block_tokens, seed)
     least = F.lit(-(2**63)).cast("bigint")
-    place = F.struct("epoch", "walk", F.coalesce("doc_id", least).alias("id"), "tokens")
-    begun = stage(walked.withColumn("block", _block()).groupBy("key", "epoch", "part", "block").agg(
-        F.min(place).alias("first"), F.max(place).alias("last"), F.max("parts").alias("parts"), F.max("blocks").alias("blocks"),
-    ), "blocks")
-    ends = begun.groupBy(F.col("key").alias("__mix_key")).agg(
-        F.max("last").alias("__mix_end"), F.max("parts").alias("__mix_parts"), F.max("blocks").alias("__mix_blocks"),
-    )
-    listed = stage(begun.groupBy(F.col("key").alias("__mix_key"), F.col("epoch").alias("__mix_epoch"), F.col("part").alias("__mix_part")).agg(
-        F.collect_list(F.struct("first", "block")).alias("__mix_listed")
-    ), "listed")
-    size = _tokens(tokens, text_col)
-    joined = docs.withColumns({
-        "__mix_key": _source_key(source_col), "__mix_tokens": size.cast("bigint"),
-        "__mix_id": F.coalesce(F.col(id_col).cast("bigint"), least), "__mix_name": _name(F.col(id_col)),
-    }).join(stage(ends, "ends"), "__mix_key")
+    with scratch():
+        walked = _walked(
+            docs, source_col, id_col, tokens, text_col, target_entropy, max_repetition, budget, block_tokens, seed, MOST_BLOCKS
+        )
+        place = F.struct("epoch", "walk", F.coalesce("doc_id", least).alias("id"), "tokens")
+        begun = stage(walked.withColumn("block", _block()).groupBy("key", "epoch", "part", "block").agg(
+            F.min(place).alias("first"), F.max(place).alias("last"), F.max("parts").alias("parts"), F.max("blocks").alias("blocks"),
+        ), "blocks")
+        ends = stage(begun.groupBy("key").agg(
+            F.max("last").alias("end"), F.max("parts").alias("parts"), F.max("blocks").alias("blocks"),
+        ), "ends", lasting=True)
+        listed = stage(begun.groupBy("key", "epoch", "part").agg(
+            F.array_sort(F.collect_list(F.struct("first", "block"))).alias("listed")
+        ), "listed", lasting=True)
+        entries = begun.count()
+    if entries <= HANDED_OUT:  # ends and lists have no more entries than that
+        ends, listed = F.broadcast(ends), F.broadcast(listed)
+    # The documents travel as one column, so that their names cannot clash.
+    joined = docs.select(
+        F.struct("*").alias("row"), _source_key(source_col).alias("key"), _tokens(tokens, text_col).cast("bigint").alias("tokens"),
+        F.coalesce(F.col(id_col).cast("bigint"), least).alias("id"), _name(F.col(id_col)).alias("name"),
+    ).join(ends, "key")
 
     def at(epoch: Column) -> Column:
-        walk = _hash(F.lit(str(seed)), epoch.cast("string"), F.col("__mix_name"))
-        return F.struct(epoch.alias("epoch"), walk.alias("walk"), F.col("__mix_id").alias("id"), F.col("__mix_tokens").alias("tokens"))
+        walk = _hash(F.lit(str(seed)), epoch.cast("string"), F.col("name"))
+        return F.struct(epoch.alias("epoch"), walk.alias("walk"), F.col("id"), F.col("tokens"))
 
-    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("__mix_end.epoch")), at)
-    copies = joined.withColumn("__mix_at", F.explode(F.filter(places, lambda here: here <= F.col("__mix_end"))))
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("end.epoch")), at)
+    copies = joined.withColumn("at", F.explode(F.filter(places, lambda here: here <= F.col("end"))))
     copies = copies.withColumns({
-        "__mix_epoch": F.col("__mix_at.epoch"), "__mix_part": _part("__mix_at.walk", "__mix_parts"),
-        "__mix_turn": _turn(seed, F.col("__mix_at.epoch"), F.col("__mix_name")),
-    }).join(listed, ["__mix_key", "__mix_epoch", "__mix_part"])
-    block = F.expr("array_max(transform(filter(__mix_listed, b -> b.first <= __mix_at), b -> b.block))")
+        "epoch": F.col("at.epoch"), "part": _part("at.walk", "parts"), "turn": _turn(seed, F.col("at.epoch"), F.col("name")),
+    }).join(listed, ["key", "epoch", "part"])
+    block = F.expr("array_max(transform(filter(listed, b -> b.first <= at), b -> b.block))")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Blocks are alike in tokens, so equal ranges of them are even without a look at the rows.
-    ordered = copies.withColumn("__mix_block", block).drop("__mix_listed").repartitionById(
-        n, F.expr(f"cast(least(__mix_block * {n} div __mix_blocks, {n - 1}) AS int)")
-    ).sortWithinPartitions("__mix_block", "__mix_turn", "__mix_id", "__mix_epoch", "__mix_key", "__mix_tokens")
-    return ordered.select(*docs.columns)
+    ordered = copies.withColumn("block", block).select("row", "key", "epoch", "id", "tokens", "turn", "block", "blocks").repartitionById(
+        n, F.expr(f"cast(least(block * {n} div blocks, {n - 1}) AS int)")
+    ).sortWithinPartitions("block", "turn", "id", "epoch", "key", "tokens")
+    return ordered.select("row.*")
