@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from test_llm_operators import CLASHES, DOCS, PATTERNS, brute_components, brute_quality, reference, rows_of, sentence  # noqa: F401
+from test_llm_operators import CLASHES, DOCS, PATTERNS, brute_components, brute_quality, prose, reference, rows_of  # noqa: F401
 
 import corpus_pipeline
 from gradeline.llm import compression, pii
@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 @pytest.fixture(scope="module")
 def folder(spark):
     rng = random.Random(13)
-    prose = [sentence(rng, 120, 900) for _ in range(30)]
-    rows = [(k, t) for k, t in enumerate(prose)]
-    rows += [(100 + k, prose[k % 4]) for k in range(20)]
+    clean = [prose(rng, 120) for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(clean)]
+    rows += [(100 + k, clean[k % 4]) for k in range(20)]
     for k in range(12):
-        w = prose[5].split()
+        w = clean[5].split()
         w[rng.randrange(120)] = f"n{k}"
         rows.append((200 + k, " ".join(w)))
-    rows += [(300, "buy now " * 90), (301, None), (302, ""), (303, "short"), (None, prose[7] + " tail"), (304, sentence(rng, 120, 900) + " mail a.b@c.de or +1 212 555 0100 now")]
-    rows += [(400 + k, sentence(rng, 400, 3000)) for k in range(6)] + [(404, rows[-1][1])]
+    rows += [(300, "buy now " * 90), (301, None), (302, ""), (303, "short"), (None, clean[7] + " tail"), (304, prose(rng, 120) + " mail a.b@c.de or +1 212 555 0100 now")]
+    rows += [(400 + k, prose(rng, 400)) for k in range(6)] + [(404, rows[-1][1])]
     docs = [(i, t, "en", None if (i or 0) % 13 == 4 else "big" if (i or 0) < 300 else f"s{i % 3}", 0) for i, t in rows]
     path = fresh_path(spark, "pipeline-test")
     frame = spark.createDataFrame(docs, DOCS).withColumns({c: F.lit(-1) for c in CLASHES if c not in ("kept", "size")})
