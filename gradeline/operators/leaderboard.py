@@ -122,6 +122,30 @@ def baseline_delta(
     return joined.select(*by, *keep, *[c for v in values for c in (v, f"baseline_{v}")], *points)
 
 
+def with_family(runs: DataFrame, families: DataFrame, model: str = "model", family: str = "family", joint: str = "-") -> DataFrame:
+    """Add the longest name in ``families`` that the model's name is, or begins with up to a joint; null if there is none.
+
+    The beginnings of each distinct model name are looked up by equality, so names are never compared pair by pair.
+    """
+    segments = F.split(F.col(model), F.lit(joint).cast("string"), -1)
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, 1, k), joint))
+    asked = runs.select(model).distinct().select(F.col(model).alias("_model"), F.explode(beginnings).alias("_name"))
+    known = families.select(F.col(family).alias("_name")).distinct()
+    longest = asked.join(known, "_name").groupBy("_model").agg(F.max_by("_name", F.char_length("_name")).alias(family))
+    return runs.join(longest, F.col(model) == F.col("_model"), "left").drop("_model")
+
+
+def family_delta(runs: DataFrame, families: DataFrame, by: list[str], values: list[str], model: str = "model", joint: str = "-") -> DataFrame:
+    """Every run against the run of its family's own name, in points; the columns of :func:`baseline_delta`, with the family.
+
+    ``by`` names what must be equal besides the family, such as the strategy. Runs without a family, or whose family
+    has no run of its own, have null changes.
+    """
+    named = with_family(runs, families, model, joint=joint)
+    keep = [c for c in [model, "store_ord"] if c in runs.columns]
+    return baseline_delta(named, F.col(model) == F.col("family"), ["family", *by], values, keep)
+
+
 def strategy_pivot(runs: DataFrame, strategies: list[str], score: str = "f1") -> DataFrame:
     """Scores of every model by strategy, with the gain of few-shot examples and of reasoning in points."""
     wide = runs.groupBy("model").pivot("strategy", strategies).agg(F.first(score))

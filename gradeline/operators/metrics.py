@@ -180,3 +180,28 @@ def run_invariants(cells: DataFrame, run: list[str] = RUN, labels: tuple[str, ..
         (F.abs(F.col("weighted_recall") - F.col("f1")) <= 0.0001).alias("recall_equals_micro_f1"),
         (F.abs(F.coalesce(harmonic, F.lit(0.0)) - F.col("f1")) <= 0.0001).alias("f1_is_harmonic_mean"),
     )
+
+
+def flip_table(df: DataFrame, before: str, after: str, by: list[str] = RUN) -> DataFrame:
+    """How many rows of each run went from which label to which, the same ones included."""
+    return df.groupBy(*by, before, after).agg(F.count("*").alias("n"))
+
+
+def label_flips(df: DataFrame, before: str, after: str, by: list[str] = RUN) -> DataFrame:
+    """Per run and label: rows with it before and after, and those gained and lost between two extractions of the same rows.
+
+    Both labels stand in one row, so nothing is joined; labels x labels counts a run are all that is shuffled.
+    """
+    moved = F.col(before).eqNullSafe(F.col(after))
+    sides = F.array(
+        F.struct(F.col(before).alias("label"), F.lit(True).alias("old")), F.struct(F.col(after).alias("label"), F.lit(False).alias("old"))
+    )
+    rows = flip_table(df, before, after, by).select(*by, "n", moved.alias("same"), F.inline(sides))
+
+    def total(condition) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("bigint"))
+
+    old, same = F.col("old"), F.col("same")
+    return rows.groupBy(*by, "label").agg(
+        total(old).alias("n_before"), total(~old).alias("n_after"), total(~old & ~same).alias("gained"), total(old & ~same).alias("lost")
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import primary_label
 from ..functions.text import strip_fence
 from ..functions.vocab import Vocabulary
+from ..sources.jsonl import allow_repeated_keys
 
 
 def parse_records(
@@ -18,11 +19,14 @@ def parse_records(
     A record is a JSON object with the keys ``log`` and ``root_cause``, the latter a
     list that is not empty. ``root_cause`` has the texts of that list; ``record`` keeps all of it, and all other keys.
     With ``vocab`` and ``expected`` the label is also compared with the one that was asked for. A lone surrogate in
-    a record becomes a question mark.
+    a record becomes a question mark. Of a repeated key, at any depth, the last value counts. Columns of the input with the names of
+    the four results give way to them.
 
     The results come out of a generator, so that a filter on them is not moved into the parse, which would then run
     once per test.
     """
+    allow_repeated_keys(df.sparkSession)
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("record", "log", "root_cause", "reason")]
     fenced_off = df.withColumn("record", strip_fence(F.col(text)))
     # A JSON reader stops after the first value. The closing element shows that nothing followed the record.
     seal = F.xxhash64("record").cast("string")
@@ -48,7 +52,7 @@ def parse_records(
     )
     log = F.try_variant_get(F.col("_r.log"), "$", "string")
     found = F.struct(F.col("record"), log.alias("log"), texts.alias("root_cause"), reason.alias("reason"))
-    result = staged.select(*df.columns, F.inline(F.array(found)))
+    result = staged.select(*others, F.inline(F.array(found)))
     if vocab is not None and expected is not None:
         other = F.col("reason").isNull() & (primary_label(F.col("root_cause"), vocab) != F.col(expected))
         result = result.withColumn("reason", F.when(other, "label differs").otherwise(F.col("reason")))

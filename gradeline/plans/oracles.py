@@ -134,6 +134,7 @@ CTES: dict[str, str] = {
         ELSE concat('AMF link fail', chr(10), 'auth ok; ', prose) END AS output FROM base""",
     "gold": f"SELECT doc_id AS ex_id, {at('doc_id')} AS gold FROM documents",
     **cascade("ext", "preds", "output"),
+    "flips": f"""SELECT model, strategy, ex_id, codes[1] AS now, CASE WHEN step = 'phrase' THEN {lit(SIGNALLING.default)} ELSE codes[1] END AS was FROM ext""",
     "pairs": "SELECT e.run, e.model, e.strategy, e.ex_id, e.output, g.gold, e.codes[1] AS pred FROM ext e JOIN gold g USING (ex_id)",
     "cells": "SELECT run, model, strategy, gold, pred, count(*) AS n FROM pairs GROUP BY ALL",
     "sides": """SELECT run, model, strategy, gold AS label, CASE WHEN gold = pred THEN n ELSE 0 END AS tp, 0 AS pp, n FROM cells
@@ -478,6 +479,33 @@ ORACLES: dict[str, str] = {
     "t3_label_windows": """SELECT window_start, window_end, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
         time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type FROM events)
         WHERE window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+    "t3_collapse_alarm": """SELECT run_id, period_start, period_start + INTERVAL 1 DAY AS period_end, count(*) AS n_windows,
+        count(*) FILTER (share >= 0.5 AND n >= 4) AS n_collapsed, CAST(sum(n) AS BIGINT) AS n, round_even(max(share), 4) AS top_share FROM (
+          SELECT run_id, date_trunc('day', w)::TIMESTAMP AS period_start, count(*) AS n, count(*) FILTER (event_type = 'view') / count(*) AS share
+          FROM (SELECT user_id % 6 AS run_id, event_type, time_bucket(INTERVAL 4 HOUR, ts) AS w FROM events) GROUP BY run_id, w)
+        WHERE period_start + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)
+        GROUP BY run_id, period_start HAVING count(*) FILTER (share >= 0.5 AND n >= 4) >= 1""",
+    "j8_family_delta": f"""SELECT r.family, r.model, r.store_ord, r.f1, b.f1 AS baseline_f1, r.recall, b.recall AS baseline_recall,
+        {points('r.f1', 'b.f1')} AS f1_change, {points('r.recall', 'b.recall')} AS recall_change FROM (
+          SELECT v.model, v.family, s.f1, s.recall, s.store_ord FROM scored s JOIN (VALUES (0, 'a', 'a'), (1, 'a-x', 'a-x'), (2, 'a-x-y', 'a-x'),
+            (3, 'b-x', NULL), (4, 'a-xy', 'a'), (5, 'a-x-y-z', 'a-x')) v(store_ord, model, family) USING (store_ord)) r
+        LEFT JOIN (SELECT CASE store_ord WHEN 0 THEN 'a' ELSE 'a-x' END AS family, f1, recall FROM scored WHERE store_ord IN (0, 1)) b USING (family)""",
+    "j9_store_diff": """SELECT model, strategy, CASE store_ord WHEN 1 THEN 'removed' WHEN 5 THEN 'added' ELSE 'equal' END AS status,
+        CAST(NULL AS VARCHAR) AS path, CAST(NULL AS DOUBLE) AS "before", CAST(NULL AS DOUBLE) AS "after" FROM scored WHERE store_ord <> 3
+        UNION ALL SELECT model, strategy, 'changed', 'metrics.f1', f1, 2.0 FROM scored WHERE store_ord = 3
+        UNION ALL SELECT model, strategy, 'changed', concat('per_class.normal.', field), value, NULL FROM (
+          SELECT model, strategy, unnest(['f1', 'precision', 'recall', 'n']) AS field, unnest([f1, "precision", recall, CAST(n AS DOUBLE)]) AS value
+          FROM classes WHERE run = 3 AND label = 'normal')""",
+    "k1_write_counts": """SELECT kind, reason, count(*) AS n, any_value(CASE kind WHEN 'valid' THEN n_valid ELSE n_all - n_valid END) AS observed FROM (
+        SELECT CASE WHEN reason IS NULL THEN 'valid' ELSE 'quarantined' END AS kind, reason FROM checked),
+        (SELECT count(*) FILTER (reason IS NULL) AS n_valid, count(*) AS n_all FROM checked) GROUP BY kind, reason""",
+    "k1_repeated_keys": f"""SELECT coalesce(text, '') AS log, {at('doc_id // 3')} AS codes,
+        concat('["', {at('doc_id // 3')}, '"', CASE WHEN doc_id % 3 = 1 THEN ',{{"q":2}}' ELSE '' END, ']') AS items,
+        CASE WHEN doc_id % 3 = 2 THEN concat('{{"q":', doc_id, '}}') END AS extra FROM documents""",
+    "p11_flips": """SELECT model, strategy, label, CAST(sum(old) AS BIGINT) AS n_before, CAST(sum(1 - old) AS BIGINT) AS n_after,
+        CAST(sum(CASE WHEN flip THEN 1 - old ELSE 0 END) AS BIGINT) AS gained, CAST(sum(CASE WHEN flip THEN old ELSE 0 END) AS BIGINT) AS lost
+        FROM (SELECT model, strategy, was AS label, 1 AS old, was <> now AS flip FROM flips
+          UNION ALL SELECT model, strategy, now, 0, was <> now FROM flips) GROUP BY ALL""",
 }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as X
-from ..functions.vocab import SIGNALLING
+from ..functions.vocab import SIGNALLING, Vocabulary
 from ..operators import align, codes, leaderboard, metrics, predict, prompts, runlogs, schedule, sequence, validate
 from ..sources import jsonl, results_store
 from ..sources import runlogs as logs
@@ -23,6 +23,9 @@ QUERIES: dict[str, Query] = {}
 RUN = metrics.RUN
 KEY = [*RUN, "ex_id"]
 STRATEGIES = ["slm", "zero_shot", "five_shot", "five_shot_cot"]
+#: Names under which the runs are looked up as families, by place in the store, and the registered family names.
+FAMILY_RUNS = ("a", "a-x", "a-x-y", "b-x", "a-xy", "a-x-y-z")
+FAMILIES = ("a", "a-x", "c", "a-x-y-z-0")
 MODEL_NAMES = {"m0": "Model Zero", "m1": "Model One", "m2": "Model Two"}
 STRATEGY_NAMES = {"slm": "Fine-tuned", "zero_shot": "Zero-shot", "five_shot": "5-shot"}
 MODEL_KINDS = {"m0": "local", "m1": "hosted", "m2": "hosted"}
@@ -935,3 +938,82 @@ def t3_label_windows(spark, sf_dir):
     jobs.append_to(jobs.label_windows(events, "event_type"), out, state, available_now=True).awaitTermination()
     closed = spark.read.schema("window_start TIMESTAMP, window_end TIMESTAMP, event_type STRING, n BIGINT").parquet(out)
     return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query
+def t3_collapse_alarm(spark, sf_dir):
+    """Days in which a source of events sent almost nothing but views for hours; only closed days."""
+    out, state = fresh_path(spark, "alarms"), fresh_path(spark, "state")
+    schema = fx.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    source = events.select("ts", "event_type", (F.col("user_id") % 6).alias("run_id"))
+    windows = jobs.collapse_windows(source, "event_type", "view", "run_id", width="4 hours", limit=0.5, least=4)
+    jobs.append_to(jobs.collapse_alarm(windows, "run_id"), out, state, available_now=True).awaitTermination()
+    alarms = spark.read.schema(
+        "run_id BIGINT, period_start TIMESTAMP, period_end TIMESTAMP, n_windows BIGINT, n_collapsed BIGINT, n BIGINT, top_share DOUBLE"
+    ).parquet(out)
+    return alarms.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("period_start", "period_end")})
+
+
+@query
+def j8_family_delta(spark, sf_dir):
+    """Runs under names of the kind a, a-x, a-x-y against the run of the longest registered name that they begin with."""
+    names = F.create_map(*[F.lit(x) for r, n in enumerate(FAMILY_RUNS) for x in (r, n)])
+    runs = scored(spark, sf_dir).withColumn("model", F.element_at(names, F.col("store_ord").cast("int")))
+    families = spark.createDataFrame([(f,) for f in FAMILIES], "family STRING")
+    return leaderboard.family_delta(runs, families, [], ["f1", "recall"])
+
+
+@query
+def j9_store_diff(spark, sf_dir):
+    """Two stores on disk: a run goes, one comes, one has another score and a class less, the others are equal."""
+    full, final = fresh_path(spark, "full"), fresh_path(spark, "final")
+    runs = stage(results(spark, sf_dir), "runs")
+    results_store.write_store(runs.filter("store_ord < 5"), full)
+    other = F.col("store_ord") == 3
+    changed = runs.filter("store_ord <> 1").withColumns({
+        "metrics": F.when(other, F.col("metrics").withField("f1", F.lit(2.0))).otherwise(F.col("metrics")),
+        "per_class": F.when(other, F.map_filter("per_class", lambda k, _: k != "normal")).otherwise(F.col("per_class")),
+    })
+    results_store.write_store(changed, final)
+    return results_store.store_diff(results_store.read_store(spark, full), results_store.read_store(spark, final))
+
+
+@query
+def k1_write_counts(spark, sf_dir):
+    """Valid and quarantined records written in one pass, counted while written and again when read."""
+    path = fresh_path(spark, "judged")
+    written, skipped = jsonl.write_judged(validate.parse_records(fx.generated_texts(spark, sf_dir)), path)
+    lines = spark.read.schema("value STRING, kind STRING").text(path)
+    reason = F.when(F.col("kind") == "quarantined", F.get_json_object("value", "$.reason"))
+    observed = F.when(F.col("kind") == "valid", F.lit(written)).otherwise(F.lit(skipped)).cast("bigint")
+    return lines.groupBy("kind", reason.alias("reason")).agg(F.count("*").alias("n"), F.first(observed).alias("observed"))
+
+
+@query
+def k1_repeated_keys(spark, sf_dir):
+    """Records with a key that comes twice, at the top, in an item and in another key: the last value counts."""
+    path = fresh_path(spark, "records")
+    text = F.coalesce("text", F.lit(""))
+    log, label, doc = F.to_json(F.struct(text.alias("log"))), fx.label_at("doc_id div 3"), F.col("doc_id").cast("string")
+    head = F.regexp_replace(log, r"\}$", "")
+    record = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"root_cause":["x"],"log":"first",'), F.substring(head, 2, 1 << 30), F.lit(',"root_cause":["'), label, F.lit('"]}')))
+        .when(F.col("doc_id") % 3 == 1, F.concat(head, F.lit(',"root_cause":["'), label, F.lit('",{"q":1,"q":2}]}')))
+        .otherwise(F.concat(head, F.lit(',"root_cause":["'), label, F.lit('"],"extra":{"q":1,"q":'), doc, F.lit("}}")))
+    )
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ex_id"), record.alias("generated"))
+    jsonl.write_records(validate.valid_records(validate.parse_records(docs)), path)
+    part = lambda key: F.to_json(F.try_variant_get("record", f"$.{key}", "variant"))
+    return jsonl.read_records(spark, path).select(
+        "log", joined("root_cause").alias("codes"), part("root_cause").alias("items"), part("extra").alias("extra")
+    )
+
+
+@query
+def p11_flips(spark, sf_dir):
+    """What a vocabulary with phrases changes against one without: rows that every label gains and loses, by run."""
+    plain = Vocabulary(SIGNALLING.labels, SIGNALLING.default, SIGNALLING.noise)
+    both = L.extract_labels(L.extract_labels(fx.predictions(spark, sf_dir), out="old", vocab=plain), out="new")
+    first = [F.element_at(side, 1).alias(side) for side in ("old", "new")]
+    return metrics.label_flips(both.select(*RUN, *first), "old", "new")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -76,8 +76,31 @@ def write_records(records: DataFrame, path: str, record: str = "record") -> None
     records.select(F.regexp_replace(record, r"[\r\n]+", " ").alias("value")).write.text(path)
 
 
+def write_judged(parsed: DataFrame, path: str, text: str = "generated") -> tuple[int, int]:
+    """Write valid records and rejected texts in one pass over the records, and count both while they are written.
+
+    ``kind=valid`` has the records as :func:`write_records` writes them, ``kind=quarantined`` a JSON line with the reason and the text for each
+    rejected one. Returns (valid, quarantined).
+    """
+    valid = F.col("reason").isNull()
+    seen = Observation()
+    rejected = F.to_json(F.struct("reason", F.col(text).alias("text")), {"ignoreNullFields": "false"})
+    counted = parsed.observe(seen, F.count_if(valid).alias("valid"), F.count_if(~valid).alias("quarantined"))
+    counted.select(
+        F.when(valid, F.lit("valid")).otherwise("quarantined").alias("kind"),
+        F.when(valid, F.regexp_replace("record", r"[\r\n]+", " ")).otherwise(rejected).alias("value"),
+    ).write.partitionBy("kind").text(path)
+    return seen.get["valid"], seen.get["quarantined"]
+
+
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Of a key that comes twice in an object the last value counts, as in most JSON readers; a setting of the session."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Whole records: ``log``, the texts of ``root_cause``, and everything as the variant ``record``."""
+    """Whole records: ``log``, the texts of ``root_cause``, and everything as the variant ``record``. Of a repeated key the last value counts."""
+    allow_repeated_keys(spark)
     lines = spark.read.text(path).filter(strip(F.col("value")) != "")
     parsed = lines.select(F.parse_json("value").alias("record"))
     items = F.try_variant_get("record", "$.root_cause", "array<variant>")

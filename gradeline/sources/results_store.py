@@ -70,3 +70,39 @@ def upsert_store(spark: SparkSession, new: DataFrame, path: str) -> None:
     placed = latest_rows(new).withColumn(STORE_ORDER, F.lit(last + 1).cast("bigint") + F.col(STORE_ORDER))
     writer = placed.hint("rebalance", "model", "strategy").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("model", "strategy").parquet(path)
+
+
+def _leaves(results: DataFrame) -> DataFrame:
+    """(model, strategy, path, value): every number of a run, the per-class ones by label."""
+    metric = [F.struct(F.lit(f"metrics.{f}").alias("path"), F.col(f"metrics.{f}").cast("double").alias("value"))
+              for f in results.schema["metrics"].dataType.names]
+    fields = results.schema["per_class"].dataType.valueType.names
+    entries = F.flatten(F.transform(F.map_entries("per_class"), lambda e: F.array(*[
+        F.struct(F.concat(F.lit("per_class."), e["key"], F.lit(f".{f}")).alias("path"), e["value"][f].cast("double").alias("value")) for f in fields
+    ])))
+    whole = F.concat(F.array(*metric), F.coalesce(entries, F.array().cast("array<struct<path: string, value: double>>")))
+    return results.select("model", "strategy", F.inline(whole))
+
+
+def store_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(model, strategy, status, path, before, after) of two stores.
+
+    ``status`` is added, removed, equal or changed. A changed run has a row per number that differs or that only one
+    side has; other runs have one row. Runs are paired by a hash of all that they hold, so only the hashes are shuffled for all runs, and
+    only the numbers of changed runs are compared one by one. The place in the store is not compared. Two runs of one key are an error of the store.
+    """
+    content = F.xxhash64("metrics", F.array_sort(F.map_entries("per_class")))
+    old, new = (side.select("model", "strategy", content.alias(f"{name}_hash")) for side, name in ((before, "old"), (after, "new")))
+    status = (
+        F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed")
+        .when(F.col("old_hash") == F.col("new_hash"), "equal").otherwise("changed")
+    )
+    paired = old.join(new, ["model", "strategy"], "full_outer").select("model", "strategy", status.alias("status"))
+    changed = paired.filter("status = 'changed'").select("model", "strategy")
+    sides = [_leaves(side.join(changed, ["model", "strategy"], "left_semi")).withColumnRenamed("value", name)
+             for side, name in ((before, "before"), (after, "after"))]
+    numbers = sides[0].join(sides[1], ["model", "strategy", "path"], "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+    whole = paired.filter("status <> 'changed'").select(
+        "model", "strategy", "status", *[F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("before", "double"), ("after", "double"))]
+    )
+    return whole.unionByName(numbers.withColumn("status", F.lit("changed")))

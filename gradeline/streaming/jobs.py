@@ -109,6 +109,44 @@ def label_windows(
     )
 
 
+def collapse_windows(
+    events: DataFrame,
+    label: str,
+    watched: str,
+    run: str,
+    time: str = "ts",
+    width: str = "1 hour",
+    lateness: str = "10 minutes",
+    limit: float = 0.9,
+    least: int = 1,
+) -> DataFrame:
+    """Per run and closed window: rows, rows with the watched label, its share, and whether the run has collapsed there.
+
+    A run has collapsed in a window if at least ``limit`` of its rows, and of at least ``least`` rows, have the label. Two stateful
+    steps follow each other on one watermark: rows are counted by label first, so that however hot a run is, the second step gets as
+    many rows of it as there are labels. Rows without a label count as rows of a label of their own.
+    """
+    stamped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    counts = stamped.groupBy(F.window(time, width), run, label).agg(F.count("*").alias("k"))
+    mine = F.coalesce(F.col(label) == watched, F.lit(False))
+    shares = counts.groupBy(F.window(F.window_time("window"), width), run).agg(
+        F.sum("k").alias("n"), F.sum(F.when(mine, F.col("k")).otherwise(0)).alias("n_watched")
+    )
+    share = F.col("n_watched") / F.col("n")
+    return shares.withColumns({"share": share, "collapsed": (share >= limit) & (F.col("n") >= least)})
+
+
+def collapse_alarm(windows: DataFrame, run: str, period: str = "1 day", least_windows: int = 1) -> DataFrame:
+    """Runs that have collapsed in at least ``least_windows`` of the windows of a closed period; a further step on the same watermark."""
+    periods = windows.groupBy(F.window(F.window_time("window"), period), run).agg(
+        F.count("*").alias("n_windows"), F.count_if("collapsed").alias("n_collapsed"), F.sum("n").alias("n"), F.max("share").alias("top_share")
+    )
+    return periods.filter(F.col("n_collapsed") >= least_windows).select(
+        run, F.col("window.start").alias("period_start"), F.col("window.end").alias("period_end"), "n_windows", "n_collapsed", "n",
+        F.bround("top_share", 4).alias("top_share"),
+    )
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Append a stream to a parquet table."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
