@@ -2,8 +2,8 @@
 
 Paragraphs give points for their length and their commas to their ancestors, less with every step
 up and less with the share of their text that lies in links. The container with the most points, or the
-article around it, is kept together with those siblings that have points of their own. Elements whose
-kind, name or role says that they are not article text never take part.
+article around it, is kept. Outside of an article the siblings of that container belong to the text as well, unless most of theirs is
+links. Elements whose kind, name or role says that they are not article text never take part.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ DROPPED = frozenset(
 )
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
 NOT_TEXT = re.compile(
-    r"^(?:ad|ads|advert.*|adsense|banner.*|sponsor.*|promo.*|side-?bar.*|comments?|comment-.*|disqus.*|replies|cookies?|consent|"
+    r"^(?:ad|ads|advert.*|adsense|banner.*|sponsor.*|promo.*|side-?bar.*|comments?|comment-.*|comments?-?(?:list|form|box|area|section|thread)s?|"
+    r"respond|reactions|disqus.*|replies|cookies?|consent|"
     r"notice|alert|popup|modal|overlay|share|sharing|social|related|recommend.*|breadcrumbs?|menu|nav|navbar|navigation|footer|"
     r"header|masthead|newsletter|subscribe|subscription|widget|pagination|pager|toolbar|login|signup|hidden|skip-link)$"
 )
@@ -69,8 +70,13 @@ class Element:
         self.length = self.linked = self.commas = 0
 
 
-def _is_not_text(name: str) -> bool:
-    """Does a class or id, or its first or last word, name something beside the article? ``has-sidebar`` does not."""
+def _is_not_text(name: str, in_article: bool) -> bool:
+    """Does a class or id name something beside the article? ``has-sidebar`` does not.
+
+    Around the article its first or last word is enough; inside it, where ``share-price`` may be text, the whole name counts.
+    """
+    if in_article:
+        return NOT_TEXT.match(name) is not None
     parts = name.split("-")
     last = [] if len(parts) < 2 or parts[-2] in ("has", "with", "no", "is", "without") else parts[-1:]
     return any(map(NOT_TEXT.match, (name, *parts[:1], *last)))
@@ -94,7 +100,7 @@ def _judge(tag: str, attributes: str, in_article: bool) -> tuple[int, bool]:
         elif name == "style" and HIDDEN.search(value):
             return weight, True
     if tag not in ("html", "body", "article", "main"):
-        if any(map(_is_not_text, names)):
+        if any(_is_not_text(n, in_article) for n in names):
             return weight, True
     if any(TEXT_NAMES.match(n) for n in names):
         weight = max(weight, 25)
@@ -190,7 +196,7 @@ def _best(elements: list[Element]) -> Element | None:
     return max(scored, key=lambda e: (e.points + e.weight) * _unlinked(e)) if scored else None
 
 
-def _kept(root: Element) -> list[Element]:
+def _kept(root: Element) -> list[Element | str]:
     elements = _below(root)
     _measure(elements)
     best = _best(elements)
@@ -203,21 +209,20 @@ def _kept(root: Element) -> list[Element]:
     best = around or best
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * best.points)
-    kept = []
+    article = best.tag in ("article", "main")
+    kept: list[Element | str] = []
     for item in best.parent.items:
-        if type(item) is not Element or item.dropped:
-            continue
-        if item is best or item.points >= least and _unlinked(item) > 0.5:
-            kept.append(item)
-        elif item.tag == "p" and _unlinked(item) > 0.75 and item.length > 80:
+        if type(item) is str:
+            if not article:
+                kept.append(item)
+        elif item is best:
             kept.append(item)
-        elif item.tag in ("h1", "h2") and best.tag not in ("article", "main"):
+        elif not item.dropped and _unlinked(item) > 0.5 and (not article or item.points >= 0.2 * best.points):
             kept.append(item)
     return kept
 
 
-def _texts(element: Element) -> Iterator[str]:
+def _texts(element: Element | str) -> Iterator[str]:
     """Texts in page order, with white space where blocks begin and end."""
     todo: list[Element | str] = [element]
     while todo:
