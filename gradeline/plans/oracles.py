@@ -475,7 +475,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CASE WHEN len(ph) > 0 THEN ph[1] ELSE 'language_en' END AS p FROM lng)""",
     "t1_follow_training": """SELECT run_id, max(step) AS last_step, arg_max(loss, step) AS last_loss, arg_max(epoch, step) AS last_epoch,
         count(*) AS n_points FROM tparsed WHERE step IS NOT NULL GROUP BY run_id""",
-    "t2_incremental_scores": 'SELECT model, strategy, f1, "precision", recall, exact_match, n, store_ord FROM scored',
+    "t2_incremental_scores": """SELECT model, strategy, f1, "precision", recall, exact_match, n, CAST(CASE WHEN model IN ('m0', 'm2')
+        THEN 6 + row_number() OVER (PARTITION BY model IN ('m0', 'm2') ORDER BY model, strategy) - 1
+        ELSE row_number() OVER (ORDER BY model, strategy) - 1 END AS BIGINT) AS store_ord FROM scored""",
     "t3_label_windows": """SELECT window_start, window_end, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
         time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type FROM events)
         WHERE window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",

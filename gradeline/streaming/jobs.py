@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,7 +11,7 @@ from ..functions.vocab import SIGNALLING, Vocabulary
 from ..operators.metrics import RUN, confusion_matrix, run_results
 from ..operators.runlogs import parse_training
 from ..sources import results_store
-from ..sources.workspace import remove, stage
+from ..sources.workspace import exists, scratch, stage
 
 
 def follow_training(
@@ -50,10 +50,10 @@ def score_increments(
 ) -> StreamingQuery:
     """Score arriving predictions (run, ex_id, output) and keep the results of all runs in the store.
 
-    Extraction is stateless. Every batch writes the confusion counts of all batches so far, labels x labels rows a
-    run at most, to a folder of its own number, then scores the runs it saw and puts them into the store; the counts
-    before the last ones are removed. A repeated batch starts from the same counts and replaces what it wrote. Predictions without a
-    gold row are counted with a null gold label and take no part in the scores. ``cells``, ``checkpoint`` and ``store`` belong
+    Extraction is stateless. The confusion counts of every run lie in a folder of its own, labels x labels rows each for its last two
+    batches. A batch reads and rewrites the folders of the runs it saw only, scores those runs and puts them into the store, each at a place
+    of its own in the order of their names. A repeated batch starts from the counts before it and replaces what it wrote. Predictions
+    without a gold row are counted with a null gold label and take no part in the scores. ``cells``, ``checkpoint`` and ``store`` belong
     together: start all anew, or none.
     """
     extracted = extract_labels(predictions, "output", vocab, "codes")
@@ -61,41 +61,47 @@ def score_increments(
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = stage(confusion_matrix(batch), "increment")
-        whole = new if not batch_id else _sum_cells(_read_cells(spark, f"{cells}/batch={batch_id - 1}").unionByName(new))
-        whole.coalesce(1).write.mode("overwrite").parquet(f"{cells}/batch={batch_id}")
-        seen = new.select(*RUN).distinct()
-        scores = scored_runs(spark, cells, vocab, batch_id).join(seen, RUN, "left_semi")
-        order = F.lit(0).cast("bigint")
-        results_store.upsert_store(spark, stage(scores.withColumn(results_store.STORE_ORDER, order), "scores"), store)
-        if batch_id > 1:
-            remove(spark, f"{cells}/batch={batch_id - 2}")
+        with scratch():
+            new = stage(confusion_matrix(batch), "increment")
+            whole = new.select(*RUN, "gold", "pred", "n").withColumn("batch", F.lit(batch_id).cast("bigint"))
+            held = None
+            if exists(spark, cells):
+                earlier = _read_cells(spark, cells).filter(F.col("batch") < batch_id)
+                held = stage(_last_counts(earlier.join(new.select(*RUN).distinct(), RUN, "left_semi")), "held")
+                sums = whole.unionByName(held).groupBy(*RUN, "gold", "pred").agg(F.sum("n").alias("n"))
+                whole = stage(sums.withColumn("batch", F.lit(batch_id).cast("bigint")), "counts")
+            rows = whole if held is None else whole.unionByName(held)
+            writer = rows.hint("rebalance", *RUN).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy(*RUN).parquet(cells)
+            scores = run_results(whole.drop("batch").filter("gold IS NOT NULL"), labels=vocab.labels)
+            place = F.row_number().over(Window.orderBy(*RUN)).cast("bigint") - 1  # one row per run of the batch
+            results_store.upsert_store(spark, stage(scores.withColumn(results_store.STORE_ORDER, place), "scores"), store)
 
     writer = labelled.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
     return _start(writer, available_now)
 
 
-CELLS = "model STRING, strategy STRING, gold STRING, pred STRING, n BIGINT"
+CELLS = "gold STRING, pred STRING, n BIGINT, batch BIGINT, model STRING, strategy STRING"
 
 
 def _read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CELLS).parquet(path)
 
 
-def _sum_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(*RUN, "gold", "pred").agg(F.sum("n").alias("n"))
+def _last_counts(cells: DataFrame) -> DataFrame:
+    """The counts that the last batch of each run left."""
+    last = cells.groupBy(*RUN).agg(F.max("batch").alias("batch"))
+    return cells.join(last, [*RUN, "batch"], "left_semi")
 
 
-def total_cells(spark: SparkSession, cells: str, batch: int | None = None) -> DataFrame:
+def total_cells(spark: SparkSession, cells: str) -> DataFrame:
     """The confusion matrix over all batches so far; ``gold`` is null for predictions without a gold row."""
-    if batch is None:
-        batch = spark.read.schema(f"{CELLS}, batch BIGINT").parquet(cells).agg(F.max("batch")).first()[0]
-    return _read_cells(spark, f"{cells}/batch={batch}")
+    return _last_counts(_read_cells(spark, cells)).select(*RUN, "gold", "pred", "n")
 
 
-def scored_runs(spark: SparkSession, cells: str, vocab: Vocabulary = SIGNALLING, batch: int | None = None) -> DataFrame:
+def scored_runs(spark: SparkSession, cells: str, vocab: Vocabulary = SIGNALLING) -> DataFrame:
     """Results of all runs seen so far, ready for the results store."""
-    return run_results(total_cells(spark, cells, batch).filter("gold IS NOT NULL"), labels=vocab.labels)
+    return run_results(total_cells(spark, cells).filter("gold IS NOT NULL"), labels=vocab.labels)
 
 
 def label_windows(

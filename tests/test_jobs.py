@@ -1,6 +1,7 @@
 """Files, batch prediction and streams."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,33 @@ def test_scores_grow_with_arriving_files(spark, sf_dir, tmp_path):
     preds.filter("ex_id < 2").withColumn("ex_id", F.col("ex_id") + 9000).write.mode("append").parquet(arriving)
     assert run() == second
     assert jobs.total_cells(spark, cells).filter("gold IS NULL").agg(F.sum("n")).first()[0] == 8
-    assert len(list((tmp_path / "cells").glob("batch=*"))) <= 2
+    order = [r.store_ord for r in results_store.read_store(spark, kept).collect()]
+    assert len(set(order)) == len(order) == 6
+    held = spark.read.parquet(cells).groupBy("model", "strategy").agg(F.countDistinct("batch").alias("n")).collect()
+    assert len(held) == 6 and all(r.n <= 2 for r in held)
+
+
+def test_a_batch_touches_only_its_runs_and_may_be_repeated(spark, tmp_path):
+    arriving, cells, kept = (str(tmp_path / n) for n in ("arriving", "cells", "store"))
+    schema = "model STRING, strategy STRING, ex_id BIGINT, output STRING"
+    gold = spark.createDataFrame([(k, "congestion") for k in range(8)], "ex_id BIGINT, gold STRING")
+
+    def arrive(rows, state):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(schema).parquet(arriving)
+        jobs.score_increments(stream, gold, cells, str(tmp_path / state), kept, available_now=True).awaitTermination()
+
+    arrive([("a", "s", 0, '["congestion"]'), ("b", "s", 0, '["normal"]')], "state")
+    untouched = {p.name for p in (tmp_path / "cells").glob("model=b/strategy=s/*.parquet")}
+    shutil.copytree(tmp_path / "state", tmp_path / "before")
+    arrive([("a", "s", 1, '["normal"]')], "state")
+    first = sorted(map(str, jobs.total_cells(spark, cells).collect()))
+    assert {p.name for p in (tmp_path / "cells").glob("model=b/strategy=s/*.parquet")} == untouched
+    # the second batch again, from the checkpoint before it, as after a failure that came late
+    stream = spark.readStream.schema(schema).parquet(arriving)
+    jobs.score_increments(stream, gold, cells, str(tmp_path / "before"), kept, available_now=True).awaitTermination()
+    assert sorted(map(str, jobs.total_cells(spark, cells).collect())) == first
+    assert {(r.model, r.metrics.n) for r in results_store.read_store(spark, kept).collect()} == {("a", 2), ("b", 1)}
 
 
 def test_windows_close_with_the_watermark(spark, tmp_path):
