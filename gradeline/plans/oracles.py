@@ -292,6 +292,9 @@ ORACLES: dict[str, str] = {
     "s7_latest_artifact": f"""SELECT slug, max(concat('output/', slug, '/train-', left(slug, 28), '-', strftime(o_orderdate, '%Y-%m-%d'), '-',
         lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), '/')) AS latest, count(*) AS n_candidates
         FROM (SELECT *, {SLUG.format(at('o_custkey', fx.BASE_MODELS))} AS slug FROM orders) WHERE o_orderstatus <> 'F' GROUP BY slug""",
+    "s7_list_storage": f"""SELECT concat('slug=', slug) AS slug, max(concat('slug=', slug, '/job=', month, '/')) AS latest,
+        count(DISTINCT month) AS n_candidates FROM (SELECT {SLUG.format(at('o_custkey', fx.BASE_MODELS))} AS slug,
+        strftime(o_orderdate, '%Y-%m') AS month FROM orders) WHERE right(month, 2) <> '12' GROUP BY slug""",
     "s7_required_artifacts": f"""SELECT slug, max(concat('output/', slug, '/train-', left(slug, 28), '-', strftime(o_orderdate, '%Y-%m-%d'), '-',
         lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), '/')) AS latest, count(*) AS n_candidates
         FROM (SELECT *, {SLUG.format(at('o_custkey', fx.BASE_MODELS))} AS slug FROM orders) WHERE o_orderstatus <> 'F' GROUP BY slug""",

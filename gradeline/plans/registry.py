@@ -165,6 +165,21 @@ def s7_latest_artifact(spark, sf_dir):
     return runlogs.latest_artifacts(listing, usable=F.col("status") != "F")
 
 
+@query
+def s7_list_storage(spark, sf_dir):
+    """The newest output folder per model, from the storage: one folder per model and month, of which some hold no result file."""
+    base = fresh_path(spark, "output")
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    jobs_done = fx.table(spark, sf_dir, "orders").select(
+        X.slug(fx.label_at("o_custkey", fx.BASE_MODELS)).alias("slug"), month.alias("job"), F.col("o_orderkey").cast("string").alias("value"),
+    )
+    done = jobs_done.hint("rebalance", "slug", "job")
+    done.filter("right(job, 2) <> '12'").write.partitionBy("slug", "job").text(base)
+    done.filter("right(job, 2) = '12'").write.mode("append").partitionBy("slug", "job").option("compression", "gzip").text(base)
+    listing = logs.list_artifacts(spark, base, files="*.txt")
+    return runlogs.latest_artifacts(listing)
+
+
 @query
 def k1_write_examples(spark, sf_dir):
     """Valid generated records written whole as JSON lines and read back, with all their keys and items."""

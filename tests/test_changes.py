@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from gradeline.functions.vocab import SIGNALLING
 from gradeline.operators import leaderboard, metrics, validate
+from gradeline.operators import runlogs
 from gradeline.sources import jsonl, results_store
+from gradeline.sources import runlogs as logs
 from gradeline.sources.workspace import exists, fresh_path, scratch, stage
 from gradeline.streaming import jobs
 
@@ -134,3 +136,18 @@ def test_scratch_tables_go_and_lasting_ones_stay(spark):
         path = stage(spark.range(3), "gone").inputFiles()[0].rsplit("/", 1)[0]
         raise ZeroDivisionError
     assert not exists(spark, path)
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_artifacts_are_listed_from_storage_without_their_content(spark, tmp_path, scheme):
+    base = tmp_path / "output"
+    for name, size in (("m/train-2/model.bin", 5), ("m/train-10/model.bin", 7), ("m/train-10/x/y.bin", 1), ("n/a b/model.bin", 3), ("top.bin", 2), ("m/train-9/log.txt", 9)):
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(b"x" * size)
+    listing = logs.list_artifacts(spark, f"{scheme}{base}/", files="*.bin")
+    got = {(r.slug, r.prefix): (r.n_files, r.n_bytes) for r in listing.collect()}
+    assert got == {("m", "m/train-2/"): (1, 5), ("m", "m/train-10/"): (1, 7), ("m", "m/train-10/x/"): (1, 1), ("n", "n/a b/"): (1, 3)}
+    plan = listing._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "content" not in plan.split("ReadSchema")[1].splitlines()[0]
+    latest = {r.slug: r.latest for r in runlogs.latest_artifacts(listing.filter("prefix LIKE '%/train-%/' AND prefix NOT LIKE '%/%/%/'")).collect()}
+    assert latest == {"m": "m/train-2/"}
