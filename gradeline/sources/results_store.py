@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.leaderboard import latest_rows
-from .workspace import exists
+from .workspace import names_in, put_new, read_small, remove
 
 SCORES = "f1 DOUBLE, precision DOUBLE, recall DOUBLE"
 RESULTS = (
@@ -14,6 +16,7 @@ RESULTS = (
     f"per_class MAP<STRING, STRUCT<{SCORES}, n BIGINT>>"
 )
 STORE_ORDER = "store_ord"
+COMMITS, ROWS = "commits", "rows"
 
 
 def read_results_json(spark: SparkSession, path: str) -> DataFrame:
@@ -48,28 +51,76 @@ def class_rows(results: DataFrame) -> DataFrame:
     ).select("model", "strategy", STORE_ORDER, "label", "score.*")
 
 
+class StoreConflict(RuntimeError):
+    """Another writer has changed the store since this one looked at it."""
+
+
+def _commits(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in names_in(spark, f"{path}/{COMMITS}") if n.isdigit()]
+
+
+def _folder(spark: SparkSession, path: str, commit: str) -> str:
+    return read_small(spark, f"{path}/{COMMITS}/{commit}")
+
+
+def _commit(spark: SparkSession, rows: DataFrame, path: str, commits: list[str]) -> None:
+    """Write all rows aside, then point to them; ``commits`` is what the writer found before it read anything."""
+    number = int(commits[-1]) + 1 if commits else 0
+    before = _folder(spark, path, commits[-1]) if commits else None
+    # Whatever is not in use by now belongs to writers that failed, or that are refused below or were before.
+    unused = [n for n in names_in(spark, f"{path}/{ROWS}") if n != before]
+    folder = uuid.uuid4().hex
+    rows.hint("rebalance").write.parquet(f"{path}/{ROWS}/{folder}")
+    name = f"{number:012d}"
+    first = put_new(spark, f"{path}/{COMMITS}/{name}", folder)
+    if not first or _commits(spark, path)[-1] != name:  # a name that was free may be one that later writers have removed
+        remove(spark, f"{path}/{ROWS}/{folder}")
+        if first:
+            remove(spark, f"{path}/{COMMITS}/{name}")
+        raise StoreConflict(f"{path} has been changed by another writer")
+    for name in unused:
+        remove(spark, f"{path}/{ROWS}/{name}")
+    for old in commits[:-1]:
+        remove(spark, f"{path}/{COMMITS}/{old}")
+
+
 def write_store(results: DataFrame, path: str) -> None:
-    """Create a store with one folder per run."""
-    results.hint("rebalance", "model", "strategy").write.partitionBy("model", "strategy").parquet(path)
+    """Create a store; one that is there already is an error."""
+    spark = results.sparkSession
+    if _commits(spark, path):
+        raise StoreConflict(f"{path} holds a store")
+    _commit(spark, results, path, [])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of the last commit: those of a call to :func:`upsert_store` are all there or none is.
+
+    A frame stays readable while one more commit is made; the rows of the one before that are removed.
+    """
+    commits = _commits(spark, path)
+    if not commits:
+        raise FileNotFoundError(f"no results store at {path}")
     fields = f"metrics STRUCT<{SCORES}, exact_match DOUBLE, n BIGINT>, per_class MAP<STRING, STRUCT<{SCORES}, n BIGINT>>"
-    return spark.read.schema(f"{fields}, {STORE_ORDER} BIGINT, model STRING, strategy STRING").parquet(path)
+    rows = spark.read.schema(f"{fields}, {STORE_ORDER} BIGINT, model STRING, strategy STRING")
+    return rows.parquet(f"{path}/{ROWS}/{_folder(spark, path, commits[-1])}")
 
 
 def upsert_store(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Replace or add runs in place; a store that is not there yet is created.
+    """Replace or add runs; a store that is not there yet is created.
 
-    Of several rows of one run the last one counts. Only the folders of the given runs are rewritten. Nothing reads the
-    path it overwrites except for the highest store position, one number per run, which is fixed before the write starts.
+    Of several rows of one run the last one counts. The store is written anew, one row per run, into a folder of its own, and becomes
+    the store by one file that names the folder: a write that fails, or is killed, leaves the old store. Of two writers that start
+    from one state the second raises :class:`StoreConflict` and may try again. This needs a file system whose rename refuses a target that
+    exists (HDFS, local disks).
     """
-    last = -1
-    if exists(spark, path):
-        last = read_store(spark, path).agg(F.coalesce(F.max(STORE_ORDER), F.lit(-1))).first()[0]
-    placed = latest_rows(new).withColumn(STORE_ORDER, F.lit(last + 1).cast("bigint") + F.col(STORE_ORDER))
-    writer = placed.hint("rebalance", "model", "strategy").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("model", "strategy").parquet(path)
+    commits = _commits(spark, path)
+    rows, last = latest_rows(new), -1
+    if commits:
+        old = read_store(spark, path)
+        last = old.agg(F.coalesce(F.max(STORE_ORDER), F.lit(-1))).first()[0]
+        kept = old.join(rows.select("model", "strategy"), ["model", "strategy"], "left_anti")
+    rows = rows.withColumn(STORE_ORDER, F.lit(last + 1).cast("bigint") + F.col(STORE_ORDER))
+    _commit(spark, kept.unionByName(rows) if commits else rows, path, commits)
 
 
 def _leaves(results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,51 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder, sorted; nothing if there is no such folder."""
+    if not exists(spark, path):
+        return []
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(there)
+    return sorted(f.getPath().getName() for f in found)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in one step, whole or not at all; False if there is one by that name."""
+    sc = spark.sparkContext
+    fs, settings = sc._jvm.org.apache.hadoop.fs, sc._jsc.hadoopConfiguration()
+    folder, _, name = path.rpartition("/")
+    aside, target = fs.Path(f"{folder}/.{name}-{uuid.uuid4().hex}"), fs.Path(path)
+    files = target.getFileSystem(settings)
+    out = files.create(aside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename = getattr(fs, "Options$Rename")
+    options = sc._gateway.new_array(rename, 1)
+    options[0] = rename.NONE  # refuses a target that is there
+    try:
+        fs.FileContext.getFileContext(files.makeQualified(target).toUri(), settings).rename(aside, target, options)
+    except Py4JJavaError as refused:
+        files.delete(aside, False)
+        if "FileAlreadyExistsException" in refused.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    sc = spark.sparkContext
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    opened = there.getFileSystem(sc._jsc.hadoopConfiguration()).open(there)
+    try:
+        return bytes(sc._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
+    finally:
+        opened.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)

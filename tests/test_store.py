@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gradeline.operators import leaderboard, metrics
@@ -99,3 +100,64 @@ def test_stored_document(spark, tmp_path):
     ranked = leaderboard.rank_runs(flat).orderBy("rank").collect()
     assert [(r.model, r.strategy) for r in ranked] == [("x", "two"), ("x", "one"), ("y", "one")]
     assert {b.model: b.f1 for b in leaderboard.best_per(flat, "model").collect()} == {"x": 1.0, "y": 0.75}
+
+
+def test_a_write_that_fails_leaves_the_old_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.write_store(results(spark, [("a", "s", 0.5), ("b", "s", 0.6)]), path)
+    many = results(spark, [(f"m{i}", "s", 0.5) for i in range(40)] + [("a", "s", 0.1)]).repartition(8)
+    name = F.when(F.col("model") == "m39", F.raise_error(F.lit("killed in the middle")).cast("string")).otherwise(F.col("model"))
+    with pytest.raises(Exception, match="killed in the middle"):
+        store.upsert_store(spark, many.withColumn("model", name), path)
+    assert listed(store.read_store(spark, path)) == [("a", "s", 0.5), ("b", "s", 0.6)]
+
+
+def test_a_write_that_is_killed_before_its_pointer_leaves_the_old_store(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store.write_store(results(spark, [("a", "s", 0.5)]), path)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "put_new", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.upsert_store(spark, results(spark, [("a", "s", 0.9), ("b", "s", 0.9)]), path)
+    assert listed(store.read_store(spark, path)) == [("a", "s", 0.5)]
+    assert len(list((tmp_path / "store" / store.ROWS).iterdir())) == 2
+    held = store.read_store(spark, path)
+    store.upsert_store(spark, results(spark, [("c", "s", 0.1)]), path)
+    # what the killed writer left goes; the commit before stays readable
+    assert listed(held) == [("a", "s", 0.5)]
+    assert listed(store.read_store(spark, path)) == [("a", "s", 0.5), ("c", "s", 0.1)]
+    assert len(list((tmp_path / "store" / store.ROWS).iterdir())) == 2
+
+
+@pytest.mark.parametrize("rivals", [1, 3])
+def test_a_second_writer_on_the_same_base_is_refused(spark, tmp_path, monkeypatch, rivals):
+    path = str(tmp_path / "store")
+    store.write_store(results(spark, [("a", "s", 0.5)]), path)
+    put = store.put_new
+
+    def overtaken(*args):
+        monkeypatch.setattr(store, "put_new", put)
+        for i in range(rivals):
+            store.upsert_store(spark, results(spark, [(f"rival{i}", "s", 0.7)]), path)
+        return put(*args)
+
+    monkeypatch.setattr(store, "put_new", overtaken)
+    with pytest.raises(store.StoreConflict):
+        store.upsert_store(spark, results(spark, [("late", "s", 0.9)]), path)
+    want = [("a", "s", 0.5), *[(f"rival{i}", "s", 0.7) for i in range(rivals)]]
+    assert listed(store.read_store(spark, path)) == want
+    store.upsert_store(spark, results(spark, [("late", "s", 0.9)]), path)
+    assert listed(store.read_store(spark, path)) == [*want, ("late", "s", 0.9)]
+
+
+def test_a_store_is_created_once_and_read_only_if_there(spark, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        store.read_store(spark, path)
+    store.write_store(results(spark, [("a", "s", 0.5)]), path)
+    with pytest.raises(store.StoreConflict):
+        store.write_store(results(spark, [("b", "s", 0.5)]), path)
