@@ -478,6 +478,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CASE WHEN len(ph) > 0 THEN ph[1] ELSE 'language_en' END AS p FROM lng)""",
     "t1_follow_training": """SELECT run_id, max(step) AS last_step, arg_max(loss, step) AS last_loss, arg_max(epoch, step) AS last_epoch,
         count(*) AS n_points FROM tparsed WHERE step IS NOT NULL GROUP BY run_id""",
+    "t1_loss_changes": """SELECT *, round(loss - previous_loss, 6) AS loss_change FROM (SELECT run_id, step, loss,
+        lag(loss) OVER (PARTITION BY run_id ORDER BY step) AS previous_loss FROM tparsed WHERE step IS NOT NULL)""",
     "t2_incremental_scores": """SELECT model, strategy, f1, "precision", recall, exact_match, n, CAST(CASE WHEN model IN ('m0', 'm2')
         THEN 6 + row_number() OVER (PARTITION BY model IN ('m0', 'm2') ORDER BY model, strategy) - 1
         ELSE row_number() OVER (ORDER BY model, strategy) - 1 END AS BIGINT) AS store_ord FROM scored""",

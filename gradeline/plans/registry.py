@@ -931,6 +931,19 @@ def t1_follow_training(spark, sf_dir):
     return latest.select("run_id", "last_step", "last_loss", "last_epoch", "n_points")
 
 
+@query
+def t1_loss_changes(spark, sf_dir):
+    """Losses from step to step while logs grow. Of some runs every third line comes late, of the others the steps from 100 on come later."""
+    arriving, store, state = (fresh_path(spark, n) for n in ("arriving", "losses", "state"))
+    lines = stage(logs.read_run_logs(spark, log_files(spark, sf_dir)), "lines")
+    late = F.when(F.crc32("run_id") % 2 == 0, F.crc32("value") % 3 == 0).otherwise(F.rlike("value", F.lit(r"Step\s+\d{3,}")))
+    for part in (~late, late):
+        lines.filter(part).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(lines.schema).parquet(arriving)
+        jobs.follow_losses(stream, store, state, available_now=True).awaitTermination()
+    return jobs.loss_changes(spark, store)
+
+
 @query
 def t2_incremental_scores(spark, sf_dir):
     """Predictions scored as they arrive; every batch puts the runs it saw into the results store, each at a place of its own.

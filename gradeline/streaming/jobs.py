@@ -10,6 +10,7 @@ from ..functions.labels import extract_labels
 from ..functions.vocab import SIGNALLING, Vocabulary
 from ..operators.metrics import RUN, confusion_matrix, run_results
 from ..operators.runlogs import parse_training
+from ..operators.sequence import previous_values
 from ..sources import results_store
 from ..sources.workspace import exists, scratch, stage
 
@@ -39,6 +40,77 @@ def follow_training(
     return _start(writer, available_now)
 
 
+def follow_losses(
+    lines: DataFrame, store: str, checkpoint: str, run: str = "run_id", available_now: bool = False
+) -> StreamingQuery:
+    """Keep the change of the loss from step to step of every training run in a table while its log grows.
+
+    ``lines`` is a stream of (run, ``value``). The state is the last step and loss of every run, as of its last two batches. A batch
+    links its steps to the last one before them, so it reads the states of its runs and not their logs. Steps are chained
+    in ranges, so a run with most lines of a batch is split. Where lines come late, at or before the last step, the steps held of that run are
+    chained anew with them, and the steps whose neighbour they change are written again. A step that is logged again has
+    the loss of the later batch, and in one batch the lowest. A repeated batch starts from the state before it and replaces what it wrote.
+    :func:`loss_changes` reads the table; ``store`` and ``checkpoint`` belong together.
+    """
+    points = parse_training(lines).filter("kind = 'step'").select(run, "step", "loss")
+    key, rows, states = [run, "step"], f"{store}/changes", f"{store}/states"
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        typed = {f.name: f.dataType.simpleString() for f in batch.schema}
+        with scratch():
+            new = stage(batch.groupBy(*key).agg(F.min("loss").alias("loss")), "points")
+            firsts = new.groupBy(run).agg(F.min("step").alias("first_step"))
+            chain = new.select(*key, "loss", F.lit("new").alias("origin"), F.lit(None).cast("double").alias("linked"))
+            held = None
+            if exists(spark, states):
+                earlier = spark.read.schema(f"last_loss DOUBLE, batch BIGINT, last_step BIGINT, `{run}` {typed[run]}").parquet(states)
+                earlier = earlier.filter(F.col("batch") < batch_id).join(firsts, run)
+                held = stage(earlier.groupBy(run, "first_step").agg(
+                    F.max_by(F.struct("last_step", "last_loss", "batch"), "batch").alias("last")
+                ).select(run, "last.*", (F.col("first_step") <= F.col("last.last_step")).alias("late")), "held")
+                ends = held.filter("NOT late").select(
+                    run, F.col("last_step").alias("step"), F.col("last_loss").alias("loss"), F.lit("end").alias("origin"),
+                    F.lit(None).cast("double").alias("linked"),
+                )
+                late = held.filter("late").select(run)
+                told = _told(spark, rows, run, typed[run], batch_id).join(late, run, "left_semi").join(new, key, "left_anti")
+                chain = chain.unionByName(ends).unionByName(
+                    told.select(*key, "loss", F.lit("told").alias("origin"), F.col("previous_loss").alias("linked"))
+                )
+            chained = stage(previous_values(stage(chain, "chain"), {"previous_loss": "loss"}, ["step"], [run]), "chained")
+            fresh = (F.col("origin") == "new") | ((F.col("origin") == "told") & ~F.col("linked").eqNullSafe(F.col("previous_loss")))
+            mark = F.lit(batch_id).cast("bigint").alias("batch")
+            _replace(chained.filter(fresh).select(*key, "loss", "previous_loss", mark), rows, ["batch"])
+            last = chained.groupBy(run).agg(F.max("step").alias("last_step"), F.max_by("loss", "step").alias("last_loss"))
+            last = last.select("last_loss", mark, "last_step", run)
+            if held is not None:
+                last = last.unionByName(held.select("last_loss", "batch", "last_step", run))
+            _replace(last, states, [run])
+
+    writer = points.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
+    return _start(writer, available_now)
+
+
+def _replace(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the folders of the values of ``by`` that the rows have."""
+    writer = rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).parquet(path)
+
+
+def _told(spark: SparkSession, path: str, run: str, kind: str, before: int | None = None) -> DataFrame:
+    """The last word on every step."""
+    rows = spark.read.schema(f"`{run}` {kind}, step BIGINT, loss DOUBLE, previous_loss DOUBLE, batch BIGINT").parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    return rows.groupBy(run, "step").agg(F.max_by(F.struct("loss", "previous_loss"), "batch").alias("told")).select(run, "step", "told.*")
+
+
+def loss_changes(spark: SparkSession, store: str, run: str = "run_id", kind: str = "string") -> DataFrame:
+    """(run, step, loss, previous_loss, loss_change) of all steps that :func:`follow_losses` has seen."""
+    told = _told(spark, f"{store}/changes", run, kind)
+    return told.withColumn("loss_change", F.round(F.col("loss") - F.col("previous_loss"), 6))
+
+
 def score_increments(
     predictions: DataFrame,
     gold: DataFrame,
@@ -70,9 +142,7 @@ def score_increments(
                 held = stage(_last_counts(earlier.join(new.select(*RUN).distinct(), RUN, "left_semi")), "held")
                 sums = whole.unionByName(held).groupBy(*RUN, "gold", "pred").agg(F.sum("n").alias("n"))
                 whole = stage(sums.withColumn("batch", F.lit(batch_id).cast("bigint")), "counts")
-            rows = whole if held is None else whole.unionByName(held)
-            writer = rows.hint("rebalance", *RUN).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy(*RUN).parquet(cells)
+            _replace(whole if held is None else whole.unionByName(held), cells, RUN)
             scores = run_results(whole.drop("batch").filter("gold IS NOT NULL"), labels=vocab.labels)
             place = F.row_number().over(Window.orderBy(*RUN)).cast("bigint") - 1  # one row per run of the batch
             results_store.upsert_store(spark, stage(scores.withColumn(results_store.STORE_ORDER, place), "scores"), store)

@@ -133,6 +133,48 @@ def test_a_batch_touches_only_its_runs_and_may_be_repeated(spark, tmp_path):
     assert {(r.model, r.metrics.n) for r in results_store.read_store(spark, kept).collect()} == {("a", 2), ("b", 1)}
 
 
+def test_losses_of_growing_logs(spark, tmp_path):
+    """In order, late, logged again, without a loss, and a batch that is repeated: as if the log were read whole."""
+    arriving, kept = (str(tmp_path / n) for n in ("arriving", "losses"))
+
+    def line(step, loss):
+        return f"Step {step} | loss: {loss} | epoch: 0.1"
+
+    def follow(state="state"):
+        stream = spark.readStream.schema("run_id STRING, value STRING").parquet(arriving)
+        jobs.follow_losses(stream, kept, str(tmp_path / state), available_now=True).awaitTermination()
+        return {(r.run_id, r.step): (r.loss, r.previous_loss) for r in jobs.loss_changes(spark, kept).collect()}
+
+    def arrive(*rows):
+        spark.createDataFrame([(r, line(*x)) for r, *x in rows], "run_id STRING, value STRING").coalesce(1).write.mode("append").parquet(arriving)
+
+    whole = {}
+
+    def want():
+        runs = {}
+        for (run, step), loss in sorted(whole.items()):
+            runs.setdefault(run, []).append((step, loss))
+        return {(run, s): (x, before) for run, steps in runs.items() for (s, x), (_, before) in zip(steps, [(None, None), *steps])}
+
+    batches = [
+        [("a", 10, 1.0), ("a", 30, 0.5), ("b", 10, 3.0)],
+        [("a", 40, 0.25), ("a", 50, 0.125), ("c", 5, 9.0)],
+        [("a", 20, 0.75), ("b", 20, 2.0), ("a", 60, 0.0625)],
+        [("a", 40, 0.3), ("b", 5, 4.0), ("c", 6, 8.0)],
+    ]
+    for number, batch in enumerate(batches):
+        shutil.copytree(tmp_path / "state", tmp_path / f"before{number}") if number else None
+        arrive(*batch)
+        whole |= {(r, s): x for r, s, x in batch}
+        assert follow() == want()
+        if number:  # the batch once more, from the checkpoint before it
+            assert follow(f"before{number}") == want()
+    arrive()
+    assert follow() == want()
+    states = spark.read.parquet(f"{kept}/states").groupBy("run_id").count().collect()
+    assert {r.run_id for r in states} == {"a", "b", "c"} and all(r["count"] <= 2 for r in states)
+
+
 def test_windows_close_with_the_watermark(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:20:00", "b")]
