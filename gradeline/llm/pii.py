@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 NEAR = 40
 LEAST_SCORE = 0.6
+#: Matches that are added up, and spans that are cut out, in one go; a matter of speed only.
+RUN = 256
 LOCAL = "A-Za-z0-9._%+-"
 
 
@@ -100,20 +102,37 @@ def _spans(kind: Kind) -> str:
     words = f"(?<![a-z0-9_])(?:{'|'.join(kind.context)})(?![a-z0-9_])"
     nearby = f"lower(concat(right({before}, {NEAR}), ' ', left({after}, {NEAR}))) RLIKE {_quoted(words)}"
     score = f"least(1.0D, {kind.prior}D + if({nearby}, 0.25D, 0.0D))"
-    start = f"a.at + length({before})"
+    start = f"element_at(s_{kind.name}, k)"
     span = f"named_struct('start', {start}, 'end', {start} + length({m}), 'kind', '{kind.name}', 'score', {score})"
     valid = kind.valid.replace("(m,", f"({m},").replace("m RLIKE", f"{m} RLIKE")
     none = "cast(array() AS array<struct<start:int,end:int,kind:string,score:double>>)"
-    found = (
-        f"aggregate(sequence(1, size(m_{kind.name})), named_struct('at', 0, 'spans', {none}),"
-        f" (a, k) -> named_struct('at', {start} + length({m}),"
-        f" 'spans', if({valid}, concat(a.spans, array({span})), a.spans)), a -> a.spans)"
-    )
+    found = f"transform(filter(sequence(1, size(m_{kind.name})), k -> {valid}), k -> {span})"
     if not kind.base:
         found = f"filter({found}, x -> x.score >= {LEAST_SCORE})"
     return f"if(size(m_{kind.name}) > 0, {found}, {none})"
 
 
+def _starts(name: str) -> str:
+    """SQL for the positions where the matches of a kind begin.
+
+    Blocks of ``RUN`` matches are added up first, then the positions inside each of them: an array that grows by one element
+    at a time is copied at every step, so none may get long.
+    """
+    before, match = f"element_at(b_{name}, k)", f"element_at(m_{name}, k)"
+    n, none = f"size(m_{name})", "cast(array() AS array<int>)"
+    ks = f"sequence(r * {RUN} + 1, least({n}, (r + 1) * {RUN}))"
+    moved = f"aggregate({ks}, 0, (s, k) -> s + length({before}) + length({match}))"
+    firsts = (
+        f"aggregate(sequence(0, cast(({n} - 1) div {RUN} AS int)), named_struct('at', 0, 'to', {none}),"
+        f" (a, r) -> named_struct('at', a.at + {moved}, 'to', concat(a.to, array(a.at))), a -> a.to)"
+    )
+    inside = (
+        f"aggregate({ks}, named_struct('at', x, 'to', {none}), (a, k) -> named_struct('at', a.at + length({before}) + length({match}),"
+        f" 'to', concat(a.to, array(a.at + length({before})))), a -> a.to)"
+    )
+    return f"if({n} > 0, flatten(transform({firsts}, (x, r) -> {inside})), {none})"
+
+
 def find_spans(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with a column ``out``: a struct with one array of (start, end, kind, score) per kind.
 
@@ -130,6 +149,7 @@ def find_spans(df: DataFrame, text_col: str, out: str) -> DataFrame:
     inner = inner.select("*", *(
         F.expr(f"if(size(m_{k.name}) > 0, split(t, {_quoted(k.pattern)}, -1), {none})").alias(f"b_{k.name}") for k in KINDS
     ))
+    inner = inner.select("*", *(F.expr(_starts(k.name)).alias(f"s_{k.name}") for k in KINDS))
     spans = F.struct(*(F.expr(_spans(k)).alias(k.name) for k in KINDS))
     inner = inner.select("__pii_row", spans.alias("__pii_spans"))
     return inner.select("__pii_row.*", F.col("__pii_spans").alias(out))
@@ -170,11 +190,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     arrays = ", ".join(f"__pii_found.{k.name}" for k in KINDS)
     found = found.withColumn("__pii_all", F.expr(f"array_sort(concat({arrays}))")).drop("__pii_found")
     text = f"`{text_col}`"
-    masked = F.expr(
-        f"aggregate(__pii_all, named_struct('at', 0, 'parts', cast(array() AS array<string>)),"
+    some = f"slice(__pii_all, r * {RUN} + 1, {RUN})"
+    reach = "(s, x) -> greatest(s, x.end)"
+    # The text is cut into pieces of RUN spans first, and a piece at its spans: no cut counts its way from the start of a long text.
+    pieces = (
+        f"aggregate(sequence(0, cast((size(__pii_all) - 1) div {RUN} AS int)), named_struct('at', 0, 'to', cast(array() AS array<struct<b:int,e:int>>)),"
+        f" (a, r) -> named_struct('at', aggregate({some}, a.at, {reach}),"
+        f" 'to', concat(a.to, array(named_struct('b', a.at, 'e', aggregate({some}, a.at, {reach}))))), a -> a.to)"
+    )
+    masked_piece = (
+        f"aggregate({some}, named_struct('at', p.b, 'parts', cast(array() AS array<string>), 'piece', substr({text}, p.b + 1, p.e - p.b)),"
         f" (a, x) -> named_struct('at', greatest(a.at, x.end), 'parts', if(x.start >= a.at,"
-        f" concat(a.parts, array(substr({text}, a.at + 1, x.start - a.at), concat('[', upper(x.kind), ']'))), a.parts)),"
-        f" a -> concat(array_join(a.parts, ''), substr({text}, a.at + 1)))"
+        f" concat(a.parts, array(substr(a.piece, a.at - p.b + 1, x.start - a.at), concat('[', upper(x.kind), ']'))), a.parts), 'piece', a.piece),"
+        f" a -> array_join(a.parts, ''))"
+    )
+    masked = F.expr(
+        f"concat(array_join(transform({pieces}, (p, r) -> {masked_piece}), ''), substr({text}, aggregate(__pii_all, 0, {reach}) + 1))"
     )
     changed = F.when(F.size("__pii_all") > 0, masked).otherwise(F.col(text_col))
     return found.withColumn(text_col, changed).drop("__pii_all")

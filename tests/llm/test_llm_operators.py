@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -518,6 +519,30 @@ def test_redaction_covers_all_spans(private, awkward):
     assert pii.redact(awkward).columns == awkward.columns
 
 
+def test_texts_with_many_spans(spark):
+    """Positions and masks across the borders of the blocks in which they are added up."""
+    rng = random.Random(8)
+    forms = ["é a@b{}.co", "1.2.3.4@x{}.yz ", "no 4111 1111 1111 1111 {}\n", "+49 30 90{:05d} 😀", "x 300.1.1.{} y", "4111 1111 1111 1112 10.0.0.1"]
+    texts = ["".join(rng.choice(forms).format(i % 90) for i in range(n)) for n in (1, 255, 256, 257, 511, 512, 513, 1500)]
+    texts += [" ".join(f"a{i}@b.co" for i in range(n)) for n in (255, 256, 257, 1025)]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    test_redaction_covers_all_spans(many, many)
+    got = {r["doc_id"]: r["base_sha256"] for r in rows_of(pii.personal_data(many))}
+    assert got == {i: hashlib.sha256(",".join(brute_spans(t)).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_spans_of_one_text_cost_linear_time(spark):
+    def seconds(n):
+        text = " ".join(f"user{i}@example.org" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1)
+        began = time.perf_counter()
+        assert rows_of(pii.personal_data(df))[0]["n_email"] == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(64_000) < 8 * max(seconds(16_000), 1.0)  # 16 if quadratic
+
+
 # toxicity
 
 
