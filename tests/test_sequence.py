@@ -1,8 +1,11 @@
 """Ordered operators against brute force, with one group that holds most rows."""
 
 import random
+import re
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradeline.operators import schedule, sequence
 
@@ -68,6 +71,61 @@ def test_previous_value_may_be_null(spark):
     assert got == {1: None, 2: None, 3: 5.0}
 
 
+def test_running_totals_of_nulls_decimals_and_doubles(spark, ranges):
+    """A sum is null until a value is met, also if that was in an earlier range; batches of 7 rows cut sequences."""
+    rng = random.Random(8)
+    rows = []
+    for g, n in (("a", 40), (None, 900), ("c", 3), ("d", 60)):
+        rows += [(g, t, None if g == "d" or rng.random() < 0.3 else Decimal(rng.randint(-999, 999)) / 100, rng.random()) for t in range(n)]
+    df = spark.createDataFrame(rows, "g STRING, t INT, v DECIMAL(8,2), x DOUBLE").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.g, r.t): r for r in sequence.running_totals(df, {"total": "v", "mass": "x"}, ["t"], ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for g in ("a", None, "c", "d"):
+        total, mass = None, 0.0
+        for i, (_, t, v, x) in enumerate(r for r in rows if r[0] == g):
+            total = total if v is None else v + (total or 0)
+            mass += x
+            row = got[g, t]
+            assert (row.ord, row.total, row.v) == (i, total, v) and row.mass == pytest.approx(mass)
+
+
+def test_scan_of_an_empty_table_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "g STRING, t INT, v INT")
+    assert sequence.running_totals(empty, {"total": "v"}, ["t"], ["g"]).collect() == []
+    assert sequence.previous_values(empty, {"p": "v"}, ["t"]).collect() == []
+    named = spark.createDataFrame([("g", 2, 5, "x"), ("g", 1, 4, "y")], "g STRING, t INT, `0` INT, start STRING")
+    got = {r.t: (r.total, r.start) for r in sequence.running_totals(named, {"total": "0"}, ["t"], ["g"]).collect()}
+    assert got == {1: (4, "y"), 2: (9, "x")}
+    assert {r.t: r.p for r in sequence.previous_values(named, {"p": "start"}, ["t"], ["g"]).collect()} == {1: None, 2: "y"}
+
+
+def test_sums_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(1, 2**62), (2, 2**62), (3, 2**62)], "t INT, v BIGINT")
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big"):
+        sequence.running_totals(df, {"total": "v"}, ["t"]).collect()
+    fits = spark.createDataFrame([(1, 2**62), (2, -(2**62)), (3, 2**62)], "t INT, v BIGINT")
+    got = [r.total for r in sequence.running_totals(fits, {"total": "v"}, ["t"]).orderBy("t").collect()]
+    assert got == [2**62, 0, 2**62]
+
+
+def test_rows_move_once(data):
+    """One exchange, by ranges, up to the written table; after it only sums per range move, and one row per range is handed out."""
+    df = data[0]
+    written = sequence._scanned(df, ["g"], ["t"], {"n": F.lit(1)}, {"pv": "v"})
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange rangepartitioning", plan)) == 1
+    assert len(re.findall(r"Exchange (?!Round)", plan)) == 1  # the test's own repartition(5) aside
+    for found in (sequence.running_totals(df, {"s": "v"}, ["t"], ["g"]), sequence.previous_values(df, {"p": "v"}, ["t"], ["g"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and not [line for line in moved if re.search(r"hashpartitioning\([^)]*\bt#", line)]
+        assert not re.search(r"SortMergeJoin|ShuffledHashJoin", plan) and "BroadcastHashJoin" in plan
+
+
 def test_mini_batches(data):
     got = sequence.mini_batches(data[0], 64, ["t"]).groupBy("batch").count().collect()
     assert {r.batch: r["count"] for r in got} == {b: min(64, ROWS - 64 * b) for b in range(-(-ROWS // 64))}
