@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Predictor = Callable[[list[str]], list[str]]
 
+#: Answers that a worker gathers before it hands them back.
+ANSWERS_OUT = 1000
+
 
 def predict_batches(
     df: DataFrame, make: Callable[[], Predictor], prompt: str = "prompt", batch_size: int = 4, default_answer: str = '["normal"]'
@@ -21,19 +24,23 @@ def predict_batches(
     prompts go to the worker. The predictor sees the prompts of a task in batches of at most ``batch_size``. A batch that fails is
     answered with the default and marked, so that the share of failures stays visible; a task of which every batch
     fails (two at least) is an error with the cause of the last failure. Rows never leave their partition, and a lost task is
-    repeated. A worker holds one Arrow batch of prompts, which Spark bounds in bytes.
+    repeated. A worker holds Arrow batches of prompts, which Spark bounds in bytes (the one at work and the next), Python strings of
+    ``batch_size`` prompts only, and at most ``ANSWERS_OUT`` answers besides those of a call.
     """
 
-    @F.pandas_udf("output string, defaulted boolean")
-    def answer(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def handed_back(answers: list, defaulted: list[bool]) -> pa.Array:
+        output = pa.array(answers, pa.string(), from_pandas=True)
+        return pa.StructArray.from_arrays([output, pa.array(defaulted, pa.bool_())], ["output", "defaulted"])
+
+    @F.arrow_udf("output string, defaulted boolean")
+    def answer(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predictor = make()
         failures = batches = 0
         cause = None
         for column in columns:
             answers, defaulted = [], []
-            prompts = column.tolist()
-            for start in range(0, len(prompts), batch_size):
-                batch = prompts[start : start + batch_size]
+            for start in range(0, len(column), batch_size):
+                batch = column.slice(start, batch_size).to_pylist()
                 try:
                     got = list(predictor(batch))
                     if len(got) != len(batch):
@@ -44,7 +51,11 @@ def predict_batches(
                 batches, failures = batches + 1, failures + failed
                 answers += got
                 defaulted += [failed] * len(batch)
-            yield pd.DataFrame({"output": answers, "defaulted": defaulted})
+                if len(answers) >= ANSWERS_OUT:
+                    yield handed_back(answers, defaulted)
+                    answers, defaulted = [], []
+            if answers:
+                yield handed_back(answers, defaulted)
         if batches > 1 and failures == batches:
             raise RuntimeError("every batch of the task failed") from cause
 

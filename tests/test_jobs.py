@@ -71,6 +71,49 @@ def test_a_task_without_a_single_answer_is_an_error(spark):
         predict.predict_batches(df, lambda: broken, batch_size=4).collect()
 
 
+def test_a_worker_holds_few_prompts_and_answers(spark):
+    """Of an Arrow batch of 40 MB, Python holds its bytes, the strings of one call and a bounded number of answers; calls stay as they were."""
+
+    def make():
+        import tracemalloc
+
+        import pandas  # noqa: F401 - imports before memory counts
+
+        tracemalloc.start()
+
+        def predictor(prompts):
+            now = tracemalloc.get_traced_memory()[0]
+            if prompts[-1].endswith("last"):
+                tracemalloc.stop()
+            return [f"{len(prompts)} {now} {p[-4:]}" for p in prompts]
+
+        return predictor
+
+    prompt = F.concat(F.repeat(F.lit("x"), 10_000), F.when(F.col("id") == 3999, "last").otherwise(F.lpad(F.col("id").cast("string"), 4, "0")))
+    df = spark.range(0, 4000, 1, 1).withColumn("prompt", prompt)
+    rows = predict.predict_batches(df, make, batch_size=7).drop("prompt").orderBy("id").collect()
+    calls = [r.output.split(" ") for r in rows]
+    assert [c[2] for c in calls] == [f"{i:04}" for i in range(3999)] + ["last"] and not any(r.defaulted for r in rows)
+    assert [int(c[0]) for c in calls] == [7] * 3997 + [3] * 3
+    assert max(int(c[1]) for c in calls) < 44_000_000
+
+
+def test_answers_of_any_kind_and_count(spark):
+    """Nulls and answers beyond one hand-back keep their places, numbers are refused; null prompts reach the predictor as None."""
+
+    def predictor(prompts):
+        return [None if p is None else float("nan") if p == "2" else p for p in prompts]
+
+    prompt = F.when(F.col("id") % 5 != 0, F.col("id").cast("string"))
+    df = spark.range(0, 2 * predict.ANSWERS_OUT + 3, 1, 1).withColumn("prompt", prompt)
+    for size in (1, 3, 5000):
+        rows = predict.predict_batches(df, lambda: predictor, batch_size=size).orderBy("id").collect()
+        assert [r.output for r in rows] == [None if i % 5 == 0 or i == 2 else str(i) for i in range(len(rows))]
+        assert len(rows) == 2 * predict.ANSWERS_OUT + 3 and not any(r.defaulted for r in rows)
+    with pytest.raises(Exception, match="[Aa]rrow"):
+        predict.predict_batches(df, lambda: lambda prompts: [len(prompts)] * len(prompts), batch_size=7).collect()
+
+
 def test_unpaired_predictions_are_counted_or_an_error(spark):
     gold = spark.createDataFrame([(1, "a"), (2, "b")], "ex_id INT, gold STRING")
     preds = spark.createDataFrame([("m", 1, "a"), ("m", 3, "b"), ("n", 2, "b")], "model STRING, ex_id INT, pred STRING")
